@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from vecloom.llm import decontaminate, licenses, minmax_dedup, shard_tree
+from vecloom.llm import avi_mjpeg, decontaminate, language_zstd, licenses, line_dedup, minmax_dedup, pieces, quality_gam, shard_tree, token_shards
 from vecloom.llm.common import load
 
 SHARDS = 16
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_license_scan(spark, d):
     return licenses.license_hits(load(spark, d, "documents"))
 
@@ -17,15 +29,48 @@ def op2_minmax_dedup(spark, d):
     return minmax_dedup.near_duplicates(load(spark, d, "documents"), k=2, percent=80)
 
 
+def op3_quality_gam(spark, d):
+    return quality_gam.quality(load(spark, d, "documents"), load(spark, d, "labels"))
+
+
+def op4_pieces(spark, d):
+    return pieces.round_trip(load(spark, d, "documents"), piece_model())
+
+
+def op5_language_zstd(spark, d):
+    return language_zstd.languages(load(spark, d, "documents"))
+
+
+def op6_line_dedup(spark, d):
+    return line_dedup.line_report(load(spark, d, "documents"))
+
+
 def op7_decontaminate(spark, d):
     return decontaminate.contained(load(spark, d, "documents"), load(spark, d, "benchmark"))
 
 
+def op8_token_shards(spark, d):
+    return token_shards.token_shards(load(spark, d, "documents"), byte_tokenizer())
+
+
+def op9_avi_mjpeg(spark, d):
+    return avi_mjpeg.read_back(avi_mjpeg.stored(load(spark, d, "documents"))).drop("cuts", "frames")
+
+
 def op10_shard_tree(spark, d):
     return shard_tree.sharded(load(spark, d, "documents"), shard_tree.tree(SHARDS))
 
 
-REGISTERED = [op1_license_scan, op2_minmax_dedup, op7_decontaminate, op10_shard_tree]
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
+REGISTERED = [
+    op1_license_scan, op2_minmax_dedup, op3_quality_gam, op4_pieces, op5_language_zstd, op6_line_dedup, op7_decontaminate, op8_token_shards, op9_avi_mjpeg,
+    op10_shard_tree, pipeline,
+]
 
 
 def queries() -> dict:
