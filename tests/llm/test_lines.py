@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -6,7 +7,7 @@ from vecloom.llm.line_dedup import deduplicated, line_report
 
 
 def brute(rows):
-    lines = [(d, i, set((x or "").encode().lower().replace(b"\n", b" ").split())) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
+    lines = [(d, i, set(w for w in re.split("[ \\t\\x0b\\f\\r]+", x.lower()) if w)) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
     lines.sort(key=lambda x: (x[0] is not None, x[0], x[1]))
     gone = set()
     for j, (d, i, s) in enumerate(lines):
