@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import slices
 
-SPACE, UNKNOWN, CACHE = "▁", 10.0, 250_000
+SPACE, UNKNOWN, CACHE = "▁", 10.0, 300_000
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -45,16 +45,30 @@ class Codec:
         for i in plain:
             self.auto.add_word(self.pieces[i], (len(self.pieces[i]), self.scores[i], i))
         self.auto.make_automaton()
+        self.single = {self.pieces[i] for i in plain if len(self.pieces[i]) == 1}
         self.by_words = all(SPACE not in self.pieces[i].lstrip(SPACE) for i in plain)
         self.kind = "<u2" if n <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
-        self.blanks = [p.replace(SPACE, " ") for p in self.pieces]
-        self.special = {i for i in range(n) if sp.is_control(i) or i == self.unk}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        silent = {i for i in range(n) if sp.is_control(i) or i == self.unk}
+        self.raw = [b"" if i in silent else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        for b, i in self.bytes.items():
+            self.raw[i] = bytes([b])
 
     def viterbi(self, s: str) -> list[int]:
         """Ids of the best segmentation; among equal ones the longer last piece."""
         n = len(s)
+        if self.single.issuperset(s):  # no unknown characters: every position is reached
+            best, back = [0.0] + [-np.inf] * n, [(0, 0)] * (n + 1)
+            for e, (size, score, i) in self.auto.iter(s):
+                new = best[e + 1 - size] + score
+                if new > best[e + 1]:
+                    best[e + 1], back[e + 1] = new, (size, i)
+            out = []
+            while n:
+                size, i = back[n]
+                out.append(i)
+                n -= size
+            return out[::-1]
         best, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
         done = 0
 
@@ -118,13 +132,8 @@ class Codec:
         return np.frombuffer(b"".join(parts), self.kind)
 
     def decode(self, ids: list[int]) -> str:
-        if not self.byte_of.keys().isdisjoint(ids) or not self.special.isdisjoint(ids):
-            out = bytearray()
-            for i in ids:
-                out += bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.special else self.blanks[i].encode()
-            text = out.decode(errors="replace")
-        else:
-            text = "".join([self.blanks[i] for i in ids])
+        """Bytes of the pieces in a row; byte pieces and text pieces take the same path."""
+        text = b"".join([self.raw[i] for i in ids]).decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
 

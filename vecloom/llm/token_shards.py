@@ -8,7 +8,7 @@ Documents are dealt out by ranges of doc_id and sorted, so the images, in order
 written by Spark as rows of a Parquet table in the shared folder, about SHARD_IDS ids each, and read back from there.
 
 Texts are cut where a blank and a word begin - always an end of a pre-token of byte-level BPE - and the encodings of the cuts are kept,
-CACHE at most; the tokenizers library encodes what is not there. A null text is an empty text: just the end id. Null ids come
+CACHE of them and PARTS pre-tokens at most; the tokenizers library encodes what is not there. A null text is an empty text: just the end id. Null ids come
 first and stay null. Repeated rows are encoded each. An empty table has no shards.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import slices, stash
 
 MAGIC, SAMPLE = b"VLTS\x01\x00\x00\x00", 64
-SHARD_IDS, CACHE = 1 << 20, 250_000
+SHARD_IDS, CACHE, PARTS = 1 << 20, 300_000, 1_000_000
 END_ID = 0
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _ODD, _CUT = re.compile(r" (?:\s|$)"), re.compile(r"(?= \S)")
@@ -115,6 +115,16 @@ class Shard:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
+def pre_tokens(piece: str) -> list[str]:
+    """The pre-tokens of a piece. Most are a word, or a word and a mark; only the others need the pattern."""
+    word = piece[1:] if piece.startswith(" ") else piece
+    if word.isalpha():
+        return [piece]
+    if word[-1:] in (".", ",") and word[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return _PRE.findall(piece)
+
+
 class Encoder:
     """Ids of texts as bytes, with a bounded memory of pieces."""
 
@@ -131,12 +141,17 @@ class Encoder:
     def _learn(self, missing: set[str]) -> None:
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        if len(self.parts) > CACHE:
+        if len(self.parts) > PARTS:
             self.parts.clear()
-        split = {p: _PRE.findall(p) for p in missing}
-        new = list({x for parts in split.values() for x in parts} - self.parts.keys())
-        for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[x] = np.array(e.ids, self.kind).tobytes()
+        split = {p: pre_tokens(p) for p in missing}
+        known = self.parts
+        new = list({x for parts in split.values() for x in parts if x not in known})
+        if new:  # one call for all: each stays a pre-token of its own
+            e = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
+            at = np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1))
+            raw = np.array(e.ids, self.kind)
+            for x, i, j in zip(new, at, at[1:], strict=False):
+                known[x] = raw[i:j].tobytes()
         for p, parts in split.items():
             self.pieces[p] = b"".join([self.parts[x] for x in parts])
 
