@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-HEADER = struct.Struct("<ii")
+HEADER, HEADER_BYTES = "<ii", 8
 
 
 def _open(path: str):
@@ -29,7 +29,7 @@ def _open(path: str):
 
 def header(path: str) -> tuple[int, int]:
     with _open(path) as f:  # a missing file raises
-        return HEADER.unpack(f.read(HEADER.size))
+        return struct.unpack(HEADER, f.read(HEADER_BYTES))
 
 
 def _ranges(spark: SparkSession, path: str, records: int, width: int, schema: str, parse: Callable, block_mb: int = 32) -> DataFrame:
@@ -41,7 +41,7 @@ def _ranges(spark: SparkSession, path: str, records: int, width: int, schema: st
             for start in batch.column(0).to_pylist():
                 n = min(step, records - start)
                 with _open(path) as f:
-                    raw = f.read_at(n * width, HEADER.size + start * width)
+                    raw = f.read_at(n * width, HEADER_BYTES + start * width)
                 if len(raw) != n * width:
                     raise ValueError(f"{path} ends early")
                 yield parse(raw, start, n)
@@ -95,21 +95,21 @@ def read_image(spark: SparkSession, path: str) -> DataFrame:
 
 def write_vectors(path: str, x: np.ndarray) -> None:
     with open(path, "wb") as f:
-        f.write(HEADER.pack(x.shape[1], x.shape[0]) + np.ascontiguousarray(x, "<f4").tobytes())
+        f.write(struct.pack(HEADER, x.shape[1], x.shape[0]) + np.ascontiguousarray(x, "<f4").tobytes())
 
 
 def write_graph(path: str, n_nodes: int, arcs: np.ndarray) -> None:
     with open(path, "wb") as f:
-        f.write(HEADER.pack(n_nodes, len(arcs)) + (np.asarray(arcs) + 1).astype("<i4").tobytes())
+        f.write(struct.pack(HEADER, n_nodes, len(arcs)) + (np.asarray(arcs) + 1).astype("<i4").tobytes())
 
 
 def write_matrix(path: str, x: np.ndarray) -> None:
     with open(path, "wb") as f:
-        f.write(HEADER.pack(*x.shape) + np.ascontiguousarray(x, "<f8").tobytes())
+        f.write(struct.pack(HEADER, *x.shape) + np.ascontiguousarray(x, "<f8").tobytes())
 
 
 def write_gray_image(path: str, rgb: np.ndarray) -> None:
     """An RGB array (rows, columns, 3) as the mean of its channels."""
     gray = rgb.astype(np.float64).mean(axis=2)
     with open(path, "wb") as f:
-        f.write(HEADER.pack(gray.shape[1], gray.shape[0]) + gray.astype("<f4").tobytes())
+        f.write(struct.pack(HEADER, gray.shape[1], gray.shape[0]) + gray.astype("<f4").tobytes())
