@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import slices, stash
 
 MAGIC, SAMPLE = b"VLTS\x01\x00\x00\x00", 64
-SHARD_IDS, CACHE, PARTS = 1 << 20, 300_000, 1_000_000
+SHARD_IDS, CACHE, PARTS = 1 << 20, 600_000, 1_000_000
 END_ID = 0
+#: Cuts texts before each blank.
+MARK = "\0 "
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _ODD, _CUT = re.compile(r" (?:\s|$)"), re.compile(r"(?= \S)")
 
@@ -143,17 +145,18 @@ class Encoder:
             self.pieces.clear()
         if len(self.parts) > PARTS:
             self.parts.clear()
-        split = {p: pre_tokens(p) for p in missing}
-        known = self.parts
-        new = list({x for parts in split.values() for x in parts if x not in known})
+        whole = {p for p in missing if p[p[0] == " " :].isalpha()}
+        split = {p: pre_tokens(p) for p in missing - whole}
+        new = list(whole.union(*split.values()).difference(self.parts))
         if new:  # one call for all: each stays a pre-token of its own
             e = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
-            at = np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1))
-            raw = np.array(e.ids, self.kind)
-            for x, i, j in zip(new, at, at[1:], strict=False):
-                known[x] = raw[i:j].tobytes()
+            at = (np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1)) * self.width).tolist()
+            raw = np.array(e.ids, self.kind).tobytes()
+            self.parts.update(zip(new, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
+        get = self.parts.__getitem__
+        self.pieces.update(zip(whole, map(get, whole), strict=True))
         for p, parts in split.items():
-            self.pieces[p] = b"".join([self.parts[x] for x in parts])
+            self.pieces[p] = b"".join(map(get, parts))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = []
@@ -163,17 +166,20 @@ class Encoder:
             elif _ODD.search(t):
                 cut.append(_CUT.split(t))
             else:
-                head, *rest = t.split(" ")
-                cut.append([head, *[" " + p for p in rest]] if head else [" " + p for p in rest])
-        missing = {p for pieces in cut for p in pieces if p not in self.pieces}
+                # the mark is no character of a piece's end: a text that has it is cut by the pattern
+                cut.append(t.replace(" ", MARK).split("\0") if "\0" not in t else _CUT.split(t))
+                if not cut[-1][0]:
+                    del cut[-1][0]
         kept = self.pieces
+        used = set().union(*cut)
+        missing = used.difference(kept)
         if missing:
             if len(kept) > CACHE:  # what this call needs of the old pieces stays
-                own = {p: kept[p] for pieces in cut for p in pieces if p in kept}
+                own = {p: kept[p] for p in used - missing}
                 kept.clear()
                 kept.update(own)
             self._learn(missing)
-        return [b"".join([kept[p] for p in pieces]) for pieces in cut]
+        return [b"".join(map(kept.__getitem__, pieces)) for pieces in cut]
 
 
 IMAGES = "part int, seq int, docs long, ids long, image binary"
