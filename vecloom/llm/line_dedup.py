@@ -1,13 +1,15 @@
-"""Line dedup: an exact set-similarity join of the lines of all documents. Native: DataFrame functions only.
+"""Line dedup: an exact set-similarity join of the lines of all documents. Tokens, prefixes and sketches are made in
+Arrow batches, as the interpreted array functions missed the limits; joins and verification are DataFrame functions.
 
 A line's tokens are its distinct words (lower case, parted by the six ASCII blanks). Lines of percent / 100 Jaccard or more
 match; of two that match the later one, by (doc_id, line number), is removed, whether or not the earlier one stays.
 
 1. Words are counted over all documents in BUCKETS hashed buckets, a table of one byte each (the count's logarithm). Tokens of all
    lines are sorted by it, rarest first. Any one order keeps the join exact; this one keeps prefixes rare.
-2. Lines of equal text, and then of equal token sets, are one class, named by its first line.
+2. Lines of equal token sets (two 64-bit hashes) are one class, named by its first line.
 3. Similar classes of n tokens share one among the n - ceil(n percent / 100) + 1 rarest of each, the prefix; of one more, two. Prefix
    tokens with counts under 2^HOT are join keys by themselves, pairs of the others are keys: no key is very frequent.
+   Keys of one class alone are left out before the join.
 4. Of classes that meet, those stay that pass the length filter, the positional filter (what can still be common after the first common
    token) and the parity sketch (two tokens sets differ in at least as many tokens as their sketches in bits).
 5. What stays is verified on the words themselves.
@@ -18,10 +20,14 @@ that repeat an id are taken for the same document: their lines share places, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import discard, stash
+from vecloom.llm.common import BLANK_WORDS, STEP, discard, mix, slices, stash, text_bytes
 
 BUCKETS, HOT, HASH_BITS = 1 << 18, 10, 57
 #: Lines of more tokens have both halves of the sketch.
@@ -36,84 +42,124 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(flat, " ", -1), "")
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """BUCKETS bytes: the logarithm of the number of words of each bucket."""
-    w = docs.select(F.explode(words(F.col("text"))).alias("w"))
-    counts = w.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.lit(31), F.floor(F.log2("n"))).cast("int")
-    byte = F.lpad(F.hex(F.coalesce(level, F.lit(0))), 2, "0")
-    every = docs.sparkSession.range(BUCKETS).join(counts, "id", "left").select("id", byte.alias("b"))
-    # a table of a fixed number of bytes
-    table = every.agg(F.array_sort(F.collect_list(F.struct("id", "b"))).alias("t"))
-    return bytes(table.select(F.unhex(F.array_join(F.transform("t", lambda x: x["b"]), ""))).first()[0])
-
-
-def tokens(line: Column, table: bytes) -> Column:
-    """Sorted array of longs, one a distinct word, rarest first."""
-    # folded once into a literal array, so that a look-up is one step
-    levels = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-
-    def key(h: Column) -> Column:
-        level = F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.shiftleft(level.cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
-
-    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, key))
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, t1, t2): lines with two hashes of their text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.withColumns({"t1": F.xxhash64("line"), "t2": F.xxhash64(F.lit(1), "line")})
+def _hashed_lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each line, number of each line in its row, word hashes, first word of each line and the number of words)."""
+    raw, at = text_bytes(col)
+    breaks = np.flatnonzero(raw == 10) + 1
+    # a row begins a line even where it is empty: rows come before the breaks at the same place, as stable sorting leaves them
+    starts = np.concatenate([at[:-1], breaks])
+    row = np.concatenate([np.arange(len(col)), np.searchsorted(at, breaks - 1, side="right") - 1])
+    order = np.lexsort((starts, row))
+    row, starts = row[order], starts[order]
+    number = np.arange(len(row)) - np.searchsorted(row, row)
+    h, first = BLANK_WORDS.hashes(raw, np.append(starts, len(raw)))
+    return row, number, h, first
 
 
-def needed(n: Column, percent: int) -> Column:
-    return F.floor((n * percent + 99) / 100).cast("int")
-
-
-def prefix_keys(toks: Column, cold: Column, p: Column) -> Column:
-    """array<struct<key, pos>> of a sorted token array, of whose first p tokens the first cold are rare."""
-    single = F.transform(F.slice(toks, F.lit(1), cold), lambda k, i: F.struct(k.alias("key"), i.alias("pos")))
-    hot = F.slice(toks, cold + 1, F.greatest(p + 1 - cold, F.lit(0)))
-    pairs = F.flatten(
-        F.transform(hot, lambda x, i: F.transform(F.slice(hot, i + 2, F.size(hot)), lambda y: F.struct(F.xxhash64(x, y).alias("key"), (cold + i).alias("pos"))))
-    )
-    # a cold token in place p + 1 makes no pair, as nothing follows it
-    return F.when(cold >= p, single).otherwise(F.concat(single, pairs))
-
-
-def _parity(toks: Column, one) -> Column:
-    return F.aggregate(toks, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one(k), k.bitwiseAND(F.lit(63)).cast("int"))))
-
+def rarity(docs: DataFrame) -> bytes:
+    """BUCKETS bytes: the logarithm of the number of words of each bucket."""
 
-def sketch(toks: Column, n: Column) -> tuple[Column, Column]:
-    """Parity bits of the tokens: 64 and none for short lines; for long ones 64 of half the tokens, and 64 of the others. Both
-    halves together, by exclusive or, are what a short line has."""
-    half = lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1)).cast("long")
-    zero = F.lit(0).cast("long")
-    odd = F.when(n > LONG, _parity(toks, half)).otherwise(zero)
-    return F.when(n > LONG, _parity(toks, lambda k: F.lit(1).cast("long") - half(k))).otherwise(_parity(toks, lambda k: F.lit(1).cast("long"))), odd
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                h, _ = BLANK_WORDS.hashes(*text_bytes(batch.column(0).slice(a, b - a)))
+                n += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        ids = np.flatnonzero(n)
+        for i in range(0, len(ids), 1 << 16):
+            some = ids[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["id", "n"])
+
+    counts = docs.select(F.lower("text").alias("text")).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    got = counts.select("id", F.least(F.lit(31), F.floor(F.log2("n"))).cast("int").alias("level")).toArrow()  # at most BUCKETS rows
+    table = np.zeros(BUCKETS, np.uint8)
+    table[got.column("id").to_numpy()] = got.column("level").to_numpy()
+    return table.tobytes()
+
+
+def needed(n: np.ndarray, percent: int) -> np.ndarray:
+    return (n * percent + 99) // 100
+
+
+def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.Array]:
+    """The lines with words of some texts: row, line_no, h1, h2 (two hashes of the token set), n (tokens), s0, s1 (parity bits:
+    of all tokens, and none; for lines of more than LONG tokens of one half of them, and of the other) and keys."""
+    row, number, h, first = _hashed_lines(col)
+    level = table[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
+    tok = level << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS)
+    line = np.repeat(np.arange(len(row)), np.diff(first))
+    order = np.lexsort((tok, line))
+    tok, line = tok[order], line[order]
+    new = np.ones(len(tok), bool)
+    new[1:] = (tok[1:] != tok[:-1]) | (line[1:] != line[:-1])
+    tok, line = tok[new], line[new]
+    lines, start, n = np.unique(line, return_index=True, return_counts=True)
+    pos = np.arange(len(tok)) - np.repeat(start, n)
+    add = lambda x: np.add.reduceat(x, start) if len(start) else np.zeros(0, x.dtype)
+    xor = lambda x: np.bitwise_xor.reduceat(x, start) if len(start) else np.zeros(0, x.dtype)
+    bit = np.uint64(1) << (tok & np.uint64(63))
+    odd = (tok >> np.uint64(6) & np.uint64(1)).astype(bool)
+    s_odd, s_all = xor(np.where(odd, bit, np.uint64(0))), xor(bit)
+    long = n > LONG
+    p = n - needed(n, percent) + 1
+    rare = (tok < np.uint64(HOT << HASH_BITS)) & (pos < np.repeat(p, n))
+    cold = add(rare.astype(np.int64))
+    owners, keys, places = [np.repeat(np.arange(len(n)), n)[rare]], [tok[rare]], [pos[rare]]
+    # where fewer than p tokens are rare: pairs of the p + 1 first that are not; a rare token in place p + 1 makes no pair
+    hot = np.where(cold < p, np.minimum(p + 1, n) - cold, 0)
+    for m in np.unique(hot[hot > 1]):
+        own = np.flatnonzero(hot == m)
+        i, j = np.triu_indices(m, 1)
+        at = start[own] + cold[own]
+        x, y = tok[at[:, None] + i], tok[at[:, None] + j]
+        owners.append(np.repeat(own, len(i)))
+        keys.append(mix(mix(x) * np.uint64(STEP) + y).ravel())
+        places.append((cold[own][:, None] + i).ravel())
+    owner = np.concatenate(owners)
+    by = np.argsort(owner, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)[by].view(np.int64)), pa.array(np.concatenate(places)[by].astype(np.int32))], ["key", "pos"])
+    return {
+        "row": pa.array(row[lines]),
+        "line_no": pa.array(number[lines].astype(np.int32)),
+        "h1": pa.array(add(mix(tok)).view(np.int64)),
+        "h2": pa.array(add(mix(tok ^ np.uint64(STEP))).view(np.int64)),
+        "n": pa.array(n.astype(np.int32)),
+        "s0": pa.array(np.where(long, s_all ^ s_odd, s_all).view(np.int64)),
+        "s1": pa.array(np.where(long, s_odd, np.uint64(0)).view(np.int64)),
+        "keys": pa.ListArray.from_arrays(ends, pairs),
+    }
+
+
+LINES = "doc_id long, line_no int, h1 long, h2 long, n int, s0 long, s1 long, keys array<struct<key: long, pos: int>>"
+
+
+def lines_of(docs: DataFrame, percent: int) -> DataFrame:
+    """LINES: a row a line with words."""
+    levels = rarity(docs)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(levels, np.uint8)
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                got = line_arrays(batch.column(1).slice(a, b - a), table, percent)
+                ids = batch.column(0).slice(a, b - a).take(got.pop("row"))
+                yield pa.RecordBatch.from_pydict({"doc_id": ids} | got)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(scan, LINES)
 
 
 def classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(texts, sets): a row a distinct line text, and a row a distinct token set with its join keys."""
-    table = rarity(docs)
-    rows = lines_of(docs).withColumn("toks", tokens(F.col("line"), table)).withColumn("n", F.size("toks"))
-    rows = rows.withColumn("p", F.col("n") - needed(F.col("n"), percent) + 1)
-    rows = rows.withColumn("cold", F.size(F.filter(F.slice("toks", F.lit(1), F.col("p")), lambda k: k < F.lit(HOT << HASH_BITS))))
-    s0, s1 = sketch(F.col("toks"), F.col("n"))
-    full = rows.select(
-        "t1", "t2", F.struct("doc_id", "line_no").alias("at"), F.xxhash64("toks").alias("h1"), F.xxhash64(F.lit(1), "toks").alias("h2"), "n",
-        s0.alias("s0"), s1.alias("s1"), prefix_keys(F.col("toks"), F.col("cold"), F.col("p")).alias("keys"),
-    )
-    payload = [F.first(c).alias(c) for c in ("h1", "h2", "n", "s0", "s1", "keys")]
-    # lines without words go after the sums: before them, the filter would make all tokens once more
-    wide = stash(full.groupBy("t1", "t2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), *payload).where("n > 0"), "line-wide")
-    texts = stash(wide.select("t1", "t2", "at", "lines", "h1", "h2"), "line-texts")
-    least = stash(texts.groupBy("h1", "h2").agg(F.min("at").alias("first_at")), "line-leaders")
-    sets = stash(wide.join(least, ["h1", "h2"]).where("at = first_at").select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "at", "n", "s0", "s1", "keys"), "line-sets")
-    discard(wide, least)
-    return texts, sets
+    """(lines, sets): a row a line, and a row a distinct token set with its join keys."""
+    wide = stash(lines_of(docs, percent), "line-wide")
+    lines = wide.select("h1", "h2", F.struct("doc_id", "line_no").alias("at"))
+    least = stash(lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines")), "line-leaders")
+    led = wide.withColumn("own", F.struct("doc_id", "line_no")).join(least, ["h1", "h2"]).where("own <=> at")
+    # rows that repeat an id name one class twice
+    once = led.groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in ("at", "lines", "n", "s0", "s1", "keys")))
+    sets = stash(once.withColumn("cid", F.monotonically_increasing_id()), "line-sets")
+    discard(least)
+    return wide, sets
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
@@ -121,6 +167,8 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     rows = sets.select("cid", "n", "s0", "s1", F.inline("keys")).select(
         "key", "cid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np"), "s0", "s1"
     )
+    shared = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1").drop("_n")
+    rows = stash(shared, "line-keys")
     n = lambda x: F.shiftrightunsigned(F.col(f"{x}.np"), 32)
     pos = lambda x: F.col(f"{x}.np").bitwiseAND(F.lit(0xFFFFFFFF))
     na, nb = n("a"), n("b")
@@ -153,16 +201,12 @@ def matches(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def removals(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, gone): the numbers, from 0, of the lines to remove, a row a document that has any."""
-    texts, sets = classes(docs, percent)
-    later = stash(matches(docs, sets, percent), "line-later")
-    led = sets.join(later, "cid").select("h1", "h2").withColumn("later", F.lit(True))
-    leaders = sets.select("h1", "h2", F.col("at").alias("lead")).join(led, ["h1", "h2"], "left")
-    status = texts.select("t1", "t2", "at", "lines", "h1", "h2").join(leaders, ["h1", "h2"])
-    all_gone = F.col("later").isNotNull() | (F.col("at") != F.col("lead"))
-    status = stash(status.select("t1", "t2", "at", all_gone.alias("all_gone"), "lines").where("all_gone OR lines > 1").drop("lines"), "line-status")
-    discard(texts, sets, later)
-    place = F.struct("doc_id", "line_no")
-    gone = lines_of(docs).select("t1", "t2", "doc_id", "line_no").join(status, ["t1", "t2"]).where(F.col("all_gone") | (place != F.col("at")))
+    wide, sets = classes(docs, percent)
+    later = stash(matches(docs, sets, percent), "line-later").withColumn("later", F.lit(True))
+    status = sets.select("cid", "h1", "h2", "at", "lines").join(later, "cid", "left")
+    status = stash(status.where("later OR lines > 1").select("h1", "h2", "at", F.coalesce("later", F.lit(False)).alias("later")), "line-status")
+    gone = wide.select("h1", "h2", "doc_id", "line_no").join(status, ["h1", "h2"])
+    gone = gone.where(F.col("later") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("at")))
     return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))  # as many as a document has lines
 
 
