@@ -152,23 +152,18 @@ def lines_of(docs: DataFrame, percent: int) -> DataFrame:
 def classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(lines, sets): a row a line, and a row a distinct token set with its join keys."""
     wide = stash(lines_of(docs, percent), "line-wide")
-    lines = wide.select("h1", "h2", F.struct("doc_id", "line_no").alias("at"))
-    least = stash(lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines")), "line-leaders")
-    led = wide.withColumn("own", F.struct("doc_id", "line_no")).join(least, ["h1", "h2"]).where("own <=> at")
-    # rows that repeat an id name one class twice
-    once = led.groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in ("at", "lines", "n", "s0", "s1", "keys")))
+    # all lines of a class have the same arrays, so any of them will do
+    alike = [F.first(c).alias(c) for c in ("n", "s0", "s1", "keys")]
+    once = wide.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("lines"), *alike)
     sets = stash(once.withColumn("cid", F.monotonically_increasing_id()), "line-sets")
-    discard(least)
     return wide, sets
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: pairs of classes that pass all filters."""
-    rows = sets.select("cid", "n", "s0", "s1", F.inline("keys")).select(
-        "key", "cid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np"), "s0", "s1"
-    )
-    shared = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1").drop("_n")
-    rows = stash(shared, "line-keys")
+    rows = sets.select("cid", "n", F.inline("keys")).select("key", "cid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
+    shared = stash(rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1").drop("_n"), "line-keys")
+    rows = shared.join(sets.select("cid", "s0", "s1"), "cid")
     n = lambda x: F.shiftrightunsigned(F.col(f"{x}.np"), 32)
     pos = lambda x: F.col(f"{x}.np").bitwiseAND(F.lit(0xFFFFFFFF))
     na, nb = n("a"), n("b")
