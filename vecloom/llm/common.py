@@ -21,12 +21,17 @@ SLICE_BYTES = 1 << 20
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: later stages and retries read files, not lineage.
-    Shuffle files of the finished stages are released."""
+    Shuffle files of the finished stages are released, before and after."""
     spark = df.sparkSession
+
+    def release() -> None:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+    release()
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release()
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

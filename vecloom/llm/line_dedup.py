@@ -9,7 +9,6 @@ match; of two that match the later one, by (doc_id, line number), is removed, wh
 2. Lines of equal token sets (two 64-bit hashes) are one class, named by its first line.
 3. Similar classes of n tokens share one among the n - ceil(n percent / 100) + 1 rarest of each, the prefix; of one more, two. Prefix
    tokens with counts under 2^HOT are join keys by themselves, pairs of the others are keys: no key is very frequent.
-   Keys of one class alone are left out before the join.
 4. Of classes that meet, those stay that pass the length filter, the positional filter (what can still be common after the first common
    token) and the parity sketch (two tokens sets differ in at least as many tokens as their sketches in bits).
 5. What stays is verified on the words themselves.
@@ -24,14 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import BLANK_WORDS, STEP, discard, mix, slices, stash, text_bytes
 
 BUCKETS, HOT, HASH_BITS = 1 << 18, 10, 57
-#: Lines of more tokens have both halves of the sketch.
-LONG = 100
 
 
 def words(text: Column) -> Column:
@@ -82,8 +79,8 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.Array]:
-    """The lines with words of some texts: row, line_no, h1, h2 (two hashes of the token set), n (tokens), s0, s1 (parity bits:
-    of all tokens, and none; for lines of more than LONG tokens of one half of them, and of the other) and keys."""
+    """The lines with words of some texts: row, line_no, h1, h2 (two hashes of the token set), n (tokens), s (64 parity bits of
+    the tokens) and keys."""
     row, number, h, first = _hashed_lines(col)
     level = table[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
     tok = level << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS)
@@ -96,11 +93,7 @@ def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.
     lines, start, n = np.unique(line, return_index=True, return_counts=True)
     pos = np.arange(len(tok)) - np.repeat(start, n)
     add = lambda x: np.add.reduceat(x, start) if len(start) else np.zeros(0, x.dtype)
-    xor = lambda x: np.bitwise_xor.reduceat(x, start) if len(start) else np.zeros(0, x.dtype)
     bit = np.uint64(1) << (tok & np.uint64(63))
-    odd = (tok >> np.uint64(6) & np.uint64(1)).astype(bool)
-    s_odd, s_all = xor(np.where(odd, bit, np.uint64(0))), xor(bit)
-    long = n > LONG
     p = n - needed(n, percent) + 1
     rare = (tok < np.uint64(HOT << HASH_BITS)) & (pos < np.repeat(p, n))
     cold = add(rare.astype(np.int64))
@@ -125,13 +118,12 @@ def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.
         "h1": pa.array(add(mix(tok)).view(np.int64)),
         "h2": pa.array(add(mix(tok ^ np.uint64(STEP))).view(np.int64)),
         "n": pa.array(n.astype(np.int32)),
-        "s0": pa.array(np.where(long, s_all ^ s_odd, s_all).view(np.int64)),
-        "s1": pa.array(np.where(long, s_odd, np.uint64(0)).view(np.int64)),
+        "s": pa.array(np.bitwise_xor.reduceat(bit, start).view(np.int64) if len(start) else np.zeros(0, np.int64)),
         "keys": pa.ListArray.from_arrays(ends, pairs),
     }
 
 
-LINES = "doc_id long, line_no int, h1 long, h2 long, n int, s0 long, s1 long, keys array<struct<key: long, pos: int>>"
+LINES = "doc_id long, line_no int, h1 long, h2 long, n int, s long, keys array<struct<key: long, pos: int>>"
 
 
 def lines_of(docs: DataFrame, percent: int) -> DataFrame:
@@ -153,25 +145,25 @@ def classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(lines, sets): a row a line, and a row a distinct token set with its join keys."""
     wide = stash(lines_of(docs, percent), "line-wide")
     # all lines of a class have the same arrays, so any of them will do
-    alike = [F.first(c).alias(c) for c in ("n", "s0", "s1", "keys")]
+    alike = [F.first(c).alias(c) for c in ("n", "s", "keys")]
     once = wide.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("lines"), *alike)
     sets = stash(once.withColumn("cid", F.monotonically_increasing_id()), "line-sets")
-    return wide, sets
+    lines = stash(wide.select("h1", "h2", "doc_id", "line_no"), "line-places")
+    discard(wide)
+    return lines, sets
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: pairs of classes that pass all filters."""
-    rows = sets.select("cid", "n", F.inline("keys")).select("key", "cid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
-    shared = stash(rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1").drop("_n"), "line-keys")
-    rows = shared.join(sets.select("cid", "s0", "s1"), "cid")
+    np_ = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    rows = sets.select("cid", "n", "s", F.inline("keys")).select("key", "cid", np_.alias("np"), "s")
     n = lambda x: F.shiftrightunsigned(F.col(f"{x}.np"), 32)
     pos = lambda x: F.col(f"{x}.np").bitwiseAND(F.lit(0xFFFFFFFF))
     na, nb = n("a"), n("b")
     length = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
     most = F.least(na - pos("a"), nb - pos("b"))
     place = most * (100 + percent) >= (na + nb) * percent
-    d0, d1 = (F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("s0", "s1"))
-    bits = F.when(F.least(na, nb) > LONG, F.bit_count(d0) + F.bit_count(d1)).otherwise(F.bit_count(d0.bitwiseXOR(d1)))
+    bits = F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s")))
     parity = bits * (100 + percent) <= (na + nb) * (100 - percent)
     met = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") < F.col("b.cid")) & length & place & parity)
     return met.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
@@ -196,11 +188,11 @@ def matches(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def removals(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, gone): the numbers, from 0, of the lines to remove, a row a document that has any."""
-    wide, sets = classes(docs, percent)
+    lines, sets = classes(docs, percent)
     later = stash(matches(docs, sets, percent), "line-later").withColumn("later", F.lit(True))
     status = sets.select("cid", "h1", "h2", "at", "lines").join(later, "cid", "left")
     status = stash(status.where("later OR lines > 1").select("h1", "h2", "at", F.coalesce("later", F.lit(False)).alias("later")), "line-status")
-    gone = wide.select("h1", "h2", "doc_id", "line_no").join(status, ["h1", "h2"])
+    gone = lines.join(status, ["h1", "h2"])
     gone = gone.where(F.col("later") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("at")))
     return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))  # as many as a document has lines
 
