@@ -4,13 +4,13 @@ Arrow batches, as the interpreted array functions missed the limits; joins and v
 A line's tokens are its distinct words (lower case, parted by the six ASCII blanks). Lines of percent / 100 Jaccard or more
 match; of two that match the later one, by (doc_id, line number), is removed, whether or not the earlier one stays.
 
-1. Words are counted over all documents in BUCKETS hashed buckets, a table of one byte each (the count's logarithm). Tokens of all
-   lines are sorted by it, rarest first. Any one order keeps the join exact; this one keeps prefixes rare.
+1. Words are counted over all documents in BUCKETS hashed buckets, a table of one byte each (the count's logarithm). Tasks hand over
+   CHUNK counts a row. Tokens of all lines are sorted by the table, rarest first. Any one order keeps the join exact; this one keeps prefixes rare.
 2. Lines of equal token sets (two 64-bit hashes) are one class, named by its first line.
 3. Similar classes of n tokens share one among the n - ceil(n percent / 100) + 1 rarest of each, the prefix; of one more, two. Prefix
    tokens with counts under 2^HOT are join keys by themselves, pairs of the others are keys: no key is very frequent.
 4. Of classes that meet, those stay that pass the length filter, the positional filter (what can still be common after the first common
-   token) and the parity sketch (two tokens sets differ in at least as many tokens as their sketches in bits).
+   token) and the parity sketch of 128 bits (two token sets differ in at least as many tokens as their sketches in bits).
 5. What stays is verified on the words themselves.
 
 Lines without words are never removed and match nothing. A null text stays null. Null ids come first in the order. Rows
@@ -19,7 +19,7 @@ that repeat an id are taken for the same document: their lines share places, so
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,12 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import BLANK_WORDS, STEP, discard, mix, slices, stash, text_bytes
 
-BUCKETS, HOT, HASH_BITS = 1 << 18, 10, 57
+BUCKETS, CHUNK, HOT = 1 << 21, 1 << 12, 10
+#: A token is its level and this many bits of its hash; with a line's number of at most LINE_BITS bits that makes one sort key.
+HASH_BITS, LEVEL_BITS = 39, 5
+LINE_BITS = 64 - HASH_BITS - LEVEL_BITS
+#: Text bytes that are tokenized at once: their arrays stay in a core's cache.
+BLOCK = 1 << 17
 
 
 def words(text: Column) -> Column:
@@ -57,20 +62,33 @@ def rarity(docs: DataFrame) -> bytes:
     """BUCKETS bytes: the logarithm of the number of words of each bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.int64)
+        n = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            for a, b in slices(batch.column(0)):
+            for a, b in slices(batch.column(0), BLOCK):
                 h, _ = BLANK_WORDS.hashes(*text_bytes(batch.column(0).slice(a, b - a)))
-                n += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        ids = np.flatnonzero(n)
-        for i in range(0, len(ids), 1 << 16):
-            some = ids[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["id", "n"])
-
-    counts = docs.select(F.lower("text").alias("text")).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    got = counts.select("id", F.least(F.lit(31), F.floor(F.log2("n"))).cast("int").alias("level")).toArrow()  # at most BUCKETS rows
-    table = np.zeros(BUCKETS, np.uint8)
-    table[got.column("id").to_numpy()] = got.column("level").to_numpy()
+                np.add.at(n, (h & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
+        if n.any():
+            yield from chunks(n.reshape(-1, CHUNK), range(BUCKETS // CHUNK))
+
+    def chunks(n: np.ndarray, ids: Iterable[int]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(ids), pa.int32()), "n": pa.array([row.tobytes() for row in n], pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = total.setdefault(chunk, np.zeros(CHUNK, np.int64))
+                own += np.frombuffer(n, np.uint32)
+        if total:
+            levels = np.minimum(np.log2(np.maximum(np.array(list(total.values())), 1)), (1 << LEVEL_BITS) - 1).astype(np.uint8)
+            yield from chunks(levels, total)
+
+    schema = "chunk int, n binary"
+    counts = docs.select(F.lower("text").alias("text")).mapInArrow(count, schema).repartition("chunk").mapInArrow(merge, schema)
+    table = np.zeros((BUCKETS // CHUNK, CHUNK), np.uint8)
+    got = counts.toArrow()  # BUCKETS bytes
+    for chunk, level in zip(got.column("chunk").to_pylist(), got.column("n").to_pylist()):
+        table[chunk] = np.frombuffer(level, np.uint8)
     return table.tobytes()
 
 
@@ -79,21 +97,33 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.Array]:
-    """The lines with words of some texts: row, line_no, h1, h2 (two hashes of the token set), n (tokens), s (64 parity bits of
-    the tokens) and keys."""
+    """The lines with words of some texts: row, line_no, h1, h2 (two hashes of the token set), n (tokens), s1 and s2 (128 parity
+    bits of the tokens) and keys."""
     row, number, h, first = _hashed_lines(col)
     level = table[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
     tok = level << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS)
     line = np.repeat(np.arange(len(row)), np.diff(first))
-    order = np.lexsort((tok, line))
-    tok, line = tok[order], line[order]
-    new = np.ones(len(tok), bool)
-    new[1:] = (tok[1:] != tok[:-1]) | (line[1:] != line[:-1])
-    tok, line = tok[new], line[new]
-    lines, start, n = np.unique(line, return_index=True, return_counts=True)
+    if len(row) <= 1 << LINE_BITS:
+        both = np.sort(line.astype(np.uint64) << np.uint64(64 - LINE_BITS) | tok)
+        new = np.ones(len(both), bool)
+        np.not_equal(both[1:], both[:-1], out=new[1:])
+        both = both[new]
+        line, tok = (both >> np.uint64(64 - LINE_BITS)).astype(np.int64), both & np.uint64((1 << (64 - LINE_BITS)) - 1)
+    else:
+        order = np.lexsort((tok, line))
+        tok, line = tok[order], line[order]
+        new = np.ones(len(tok), bool)
+        new[1:] = (tok[1:] != tok[:-1]) | (line[1:] != line[:-1])
+        tok, line = tok[new], line[new]
+    edge = np.ones(len(line), bool)
+    np.not_equal(line[1:], line[:-1], out=edge[1:])
+    start = np.flatnonzero(edge)
+    lines, n = line[start], np.diff(np.append(start, len(line)))
     pos = np.arange(len(tok)) - np.repeat(start, n)
     add = lambda x: np.add.reduceat(x, start) if len(start) else np.zeros(0, x.dtype)
     bit = np.uint64(1) << (tok & np.uint64(63))
+    high = (tok & np.uint64(64)) > 0
+    parity = lambda part: pa.array(np.bitwise_xor.reduceat(np.where(part, bit, np.uint64(0)), start).view(np.int64) if len(start) else np.zeros(0, np.int64))
     p = n - needed(n, percent) + 1
     rare = (tok < np.uint64(HOT << HASH_BITS)) & (pos < np.repeat(p, n))
     cold = add(rare.astype(np.int64))
@@ -118,12 +148,15 @@ def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.
         "h1": pa.array(add(mix(tok)).view(np.int64)),
         "h2": pa.array(add(mix(tok ^ np.uint64(STEP))).view(np.int64)),
         "n": pa.array(n.astype(np.int32)),
-        "s": pa.array(np.bitwise_xor.reduceat(bit, start).view(np.int64) if len(start) else np.zeros(0, np.int64)),
+        "s1": parity(~high),
+        "s2": parity(high),
         "keys": pa.ListArray.from_arrays(ends, pairs),
     }
 
 
-LINES = "doc_id long, line_no int, h1 long, h2 long, n int, s long, keys array<struct<key: long, pos: int>>"
+#: Stands for a null id in places: below every other id.
+NO_ID = str(-(1 << 63) - 1)
+LINES = "doc_id long, line_no int, h1 long, h2 long, n int, s1 long, s2 long, keys array<struct<key: long, pos: int>>"
 
 
 def lines_of(docs: DataFrame, percent: int) -> DataFrame:
@@ -133,7 +166,7 @@ def lines_of(docs: DataFrame, percent: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(levels, np.uint8)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), BLOCK):
                 got = line_arrays(batch.column(1).slice(a, b - a), table, percent)
                 ids = batch.column(0).slice(a, b - a).take(got.pop("row"))
                 yield pa.RecordBatch.from_pydict({"doc_id": ids} | got)
@@ -144,9 +177,14 @@ def lines_of(docs: DataFrame, percent: int) -> DataFrame:
 def classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(lines, sets): a row a line, and a row a distinct token set with its join keys."""
     wide = stash(lines_of(docs, percent), "line-wide")
-    # all lines of a class have the same arrays, so any of them will do
-    alike = [F.first(c).alias(c) for c in ("n", "s", "keys")]
-    once = wide.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("lines"), *alike)
+    # all lines of a class have the same arrays: as grouping keys, and places as one number, they keep the aggregation hashed
+    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
+    alike = ("n", "s1", "s2", "keys")
+    grouped = wide.groupBy("h1", "h2", *alike)
+    once = grouped.agg(F.min(place).alias("first"), F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("none"), F.count(F.lit(1)).alias("lines"))
+    first_id = F.when(~F.col("none"), F.col("id"))
+    first_line = F.col("first") - F.coalesce(first_id.cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)")
+    once = once.select("h1", "h2", F.struct(first_id.alias("doc_id"), first_line.cast("int").alias("line_no")).alias("at"), "lines", *alike)
     sets = stash(once.withColumn("cid", F.monotonically_increasing_id()), "line-sets")
     lines = stash(wide.select("h1", "h2", "doc_id", "line_no"), "line-places")
     discard(wide)
@@ -156,14 +194,14 @@ def classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: pairs of classes that pass all filters."""
     np_ = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    rows = sets.select("cid", "n", "s", F.inline("keys")).select("key", "cid", np_.alias("np"), "s")
+    rows = sets.select("cid", "n", "s1", "s2", F.inline("keys")).select("key", "cid", np_.alias("np"), "s1", "s2")
     n = lambda x: F.shiftrightunsigned(F.col(f"{x}.np"), 32)
     pos = lambda x: F.col(f"{x}.np").bitwiseAND(F.lit(0xFFFFFFFF))
     na, nb = n("a"), n("b")
     length = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
     most = F.least(na - pos("a"), nb - pos("b"))
     place = most * (100 + percent) >= (na + nb) * percent
-    bits = F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s")))
+    bits = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
     parity = bits * (100 + percent) <= (na + nb) * (100 - percent)
     met = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") < F.col("b.cid")) & length & place & parity)
     return met.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
