@@ -7,11 +7,14 @@ match; of two that match the later one, by (doc_id, line number), is removed, wh
 1. Words are counted over all documents in BUCKETS hashed buckets, a table of one byte each (the count's logarithm). Tasks hand over
    CHUNK counts a row. Tokens of all lines are sorted by the table, rarest first. Any one order keeps the join exact; this one keeps prefixes rare.
 2. Lines of equal token sets (two 64-bit hashes) are one class, named by its first line.
-3. Similar classes of n tokens share one among the n - ceil(n percent / 100) + 1 rarest of each, the prefix; of one more, two. Prefix
+3. Classes are numbered by their first lines. A class that agrees with an earlier one in two minimum hashes is first compared with the
+   earliest such class (four pairs of hashes). What matches is settled: large groups of near copies need no pairs among themselves.
+   This only saves work. What is not settled is searched for in full, against all classes:
+4. Similar classes of n tokens share one among the n - ceil(n percent / 100) + 1 rarest of each, the prefix; of one more, two. Prefix
    tokens with counts under 2^HOT are join keys by themselves, pairs of the others are keys: no key is very frequent.
-4. Of classes that meet, those stay that pass the length filter, the positional filter (what can still be common after the first common
+5. Of classes that meet, those stay that pass the length filter, the positional filter (what can still be common after the first common
    token) and the parity sketch of 128 bits (two token sets differ in at least as many tokens as their sketches in bits).
-5. What stays is verified on the words themselves.
+6. What stays is verified on the words themselves.
 
 Lines without words are never removed and match nothing. A null text stays null. Null ids come first in the order. Rows
 that repeat an id are taken for the same document: their lines share places, so equal lines at equal places are both first.
@@ -34,6 +37,7 @@ HASH_BITS, LEVEL_BITS = 39, 5
 LINE_BITS = 64 - HASH_BITS - LEVEL_BITS
 #: Text bytes that are tokenized at once: their arrays stay in a core's cache.
 BLOCK = 1 << 17
+BANDS = 4
 
 
 def words(text: Column) -> Column:
@@ -92,13 +96,22 @@ def rarity(docs: DataFrame) -> bytes:
     return table.tobytes()
 
 
+def bands_of(tok: np.ndarray, start: np.ndarray) -> pa.Array:
+    """BANDS numbers a line, each of two minimum hashes of its tokens."""
+    out = np.zeros((len(start), BANDS), np.int32)
+    for band in range(BANDS) if len(start) else ():
+        x, y = (np.minimum.reduceat(mix(tok * np.uint64(STEP) + np.uint64(2 * band + i + 1)), start) for i in (0, 1))
+        out[:, band] = (mix(x ^ (y << np.uint64(1))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return pa.ListArray.from_arrays(np.arange(0, out.size + 1, BANDS, dtype=np.int32), pa.array(out.ravel()))
+
+
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return (n * percent + 99) // 100
 
 
 def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.Array]:
     """The lines with words of some texts: row, line_no, h1, h2 (two hashes of the token set), n (tokens), s1 and s2 (128 parity
-    bits of the tokens) and keys."""
+    bits of the tokens), bands and keys."""
     row, number, h, first = _hashed_lines(col)
     level = table[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
     tok = level << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS)
@@ -150,13 +163,14 @@ def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.
         "n": pa.array(n.astype(np.int32)),
         "s1": parity(~high),
         "s2": parity(high),
+        "bands": bands_of(tok, start),
         "keys": pa.ListArray.from_arrays(ends, pairs),
     }
 
 
 #: Stands for a null id in places: below every other id.
 NO_ID = str(-(1 << 63) - 1)
-LINES = "doc_id long, line_no int, h1 long, h2 long, n int, s1 long, s2 long, keys array<struct<key: long, pos: int>>"
+LINES = "doc_id long, line_no int, h1 long, h2 long, n int, s1 long, s2 long, bands array<int>, keys array<struct<key: long, pos: int>>"
 
 
 def lines_of(docs: DataFrame, percent: int) -> DataFrame:
@@ -179,55 +193,78 @@ def classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     wide = stash(lines_of(docs, percent), "line-wide")
     # all lines of a class have the same arrays: as grouping keys, and places as one number, they keep the aggregation hashed
     place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
-    alike = ("n", "s1", "s2", "keys")
+    alike = ("n", "s1", "s2", "bands", "keys")
     grouped = wide.groupBy("h1", "h2", *alike)
     once = grouped.agg(F.min(place).alias("first"), F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("none"), F.count(F.lit(1)).alias("lines"))
     first_id = F.when(~F.col("none"), F.col("id"))
     first_line = F.col("first") - F.coalesce(first_id.cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)")
-    once = once.select("h1", "h2", F.struct(first_id.alias("doc_id"), first_line.cast("int").alias("line_no")).alias("at"), "lines", *alike)
+    once = once.select("h1", "h2", F.struct(first_id.alias("doc_id"), first_line.cast("int").alias("line_no")).alias("at"), "lines", *alike, "first").orderBy("first", "h1", "h2").drop("first")
     sets = stash(once.withColumn("cid", F.monotonically_increasing_id()), "line-sets")
     lines = stash(wide.select("h1", "h2", "doc_id", "line_no"), "line-places")
     discard(wide)
     return lines, sets
 
 
-def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs of classes that pass all filters."""
+def fits(na: Column, nb: Column, percent: int) -> Column:
+    """The length filter and the parity sketch of rows a and b."""
+    bits = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (bits * (100 + percent) <= (na + nb) * (100 - percent))
+
+
+def leaders(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: classes with the earliest class of a band, as far as they pass the filters."""
+    rows = sets.select("cid", F.posexplode("bands").alias("band", "value"))
+    first = rows.groupBy("band", "value").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = rows.join(first, ["band", "value"]).where("a < cid").select("a", F.col("cid").alias("b")).distinct()
+    side = sets.select("cid", F.col("n").cast("long").alias("n"), "s1", "s2")
+    both = met.join(side.alias("a"), F.col("a") == F.col("a.cid")).join(side.alias("b"), F.col("b") == F.col("b.cid"))
+    return both.where(fits(F.col("a.n"), F.col("b.n"), percent)).select(met["a"], met["b"])
+
+
+def candidates(sets: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, b not settled: pairs of classes that pass all filters."""
     np_ = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    rows = sets.select("cid", "n", "s1", "s2", F.inline("keys")).select("key", "cid", np_.alias("np"), "s1", "s2")
+    keyed = lambda t: t.select("cid", "n", "s1", "s2", F.inline("keys")).select("key", "cid", np_.alias("np"), "s1", "s2")
     n = lambda x: F.shiftrightunsigned(F.col(f"{x}.np"), 32)
     pos = lambda x: F.col(f"{x}.np").bitwiseAND(F.lit(0xFFFFFFFF))
     na, nb = n("a"), n("b")
-    length = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
     most = F.least(na - pos("a"), nb - pos("b"))
     place = most * (100 + percent) >= (na + nb) * percent
-    bits = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
-    parity = bits * (100 + percent) <= (na + nb) * (100 - percent)
-    met = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") < F.col("b.cid")) & length & place & parity)
+    left = sets.join(settled, "cid", "left_anti")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") < F.col("b.cid")) & place & fits(na, nb, percent)
+    met = keyed(sets).alias("a").join(keyed(left).alias("b"), on)
     return met.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
 
 
-def matches(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(cid) of the classes that an earlier class matches."""
-    pairs = stash(candidates(sets, percent), "line-pairs")
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(cid) of the classes b of pairs (a, b), a stashed table, that match their a."""
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = sets.join(ids, "cid").select("cid", "at", "h1")
+    wanted = stash(sets.select("cid", "at.*").join(ids, "cid"), "line-wanted")  # of known size, as Spark chooses the next join by it
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.split("text", "\n", -1).alias("lines"))
-    got = texts.join(wanted, F.col("id").eqNullSafe(F.col("at.doc_id")))
-    line = F.get("lines", F.col("at.line_no"))
+    line = F.get("lines", F.col("line_no"))
     # rows that repeat an id may hold another text at that place; a set verified on it would name another class
-    words_of = stash(got.select("cid", "at", F.array_distinct(words(line)).alias("w")).where(line.isNotNull()), "line-words")
-    side = lambda c, w, at: words_of.select(F.col("cid").alias(c), F.col("w").alias(w), F.col("at").alias(at))
-    both = pairs.join(side("a", "wa", "aa"), "a").join(side("b", "wb", "ab"), "b")
+    got = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")))
+    words_of = stash(got.select("cid", F.array_distinct(words(line)).alias("w")).where(line.isNotNull()), "line-words")
+    side = lambda c, w: words_of.select(F.col("cid").alias(c), F.col("w").alias(w))
+    both = pairs.join(side("a", "wa"), "a").join(side("b", "wb"), "b")
     inter = F.size(F.array_intersect("wa", "wb"))
     same = inter * 100 >= (F.size("wa") + F.size("wb") - inter) * percent
-    return both.where(same).select(F.when(F.col("aa") < F.col("ab"), F.col("b")).otherwise(F.col("a")).alias("cid")).distinct()
+    later = stash(both.where(same).select(F.col("b").alias("cid")).distinct(), "line-later")
+    discard(wanted, words_of)
+    return later
+
+
+def matches(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cid) of the classes that an earlier class matches."""
+    near = verified(docs, sets, stash(leaders(sets, percent), "line-leaders"), percent)
+    rest = verified(docs, sets, stash(candidates(sets, near, percent), "line-pairs"), percent)
+    return near.union(rest)
 
 
 def removals(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, gone): the numbers, from 0, of the lines to remove, a row a document that has any."""
     lines, sets = classes(docs, percent)
-    later = stash(matches(docs, sets, percent), "line-later").withColumn("later", F.lit(True))
+    later = matches(docs, sets, percent).withColumn("later", F.lit(True))
     status = sets.select("cid", "h1", "h2", "at", "lines").join(later, "cid", "left")
     status = stash(status.where("later OR lines > 1").select("h1", "h2", "at", F.coalesce("later", F.lit(False)).alias("later")), "line-status")
     gone = lines.join(status, ["h1", "h2"])
