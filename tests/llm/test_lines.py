@@ -48,3 +48,20 @@ def test_against_all_pairs(spark, monkeypatch):
 
 def test_empty(spark):
     assert line_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_of_one_id(spark, tmp_path):
+    rows = [(None, "x y z\nu1"), (None, "u2\nx y z"), (None, None), (7, "a b\nc d"), (7, "a b\ne f"), (7, "g h"), (8, "p q"), (8, "p q")]
+    want = [(None, "x y z\nu1"), (None, "u2"), (None, None), (7, "a b\nc d"), (7, "e f"), (7, "g h"), (8, "p q"), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/docs")
+    for d in (docs, spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/docs").where("true")):
+        for out in (line_report(d), deduplicated(d)):
+            assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_one_file_read_twice(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b\nc d"), (2, "e f")], "doc_id long, text string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/docs")
+    got = line_report(spark.read.parquet(f"{tmp_path}/docs", f"{tmp_path}/docs")).collect()
+    assert sorted((r.doc_id, r.n_removed, r.text) for r in got) == [(1, 0, "a b\nc d"), (1, 2, ""), (2, 0, "e f"), (2, 1, "")]

@@ -1,4 +1,4 @@
-"""Shared parts: tables kept in the shared folder, and word hashes of Arrow text columns."""
+"""Shared parts: tables kept in the shared folder, row numbers, and word hashes of Arrow text columns."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vecloom.plans.session import shared_dir
 
@@ -44,6 +46,46 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that can be numbered: numbers take ROW_BITS bits.
+ROW_BITS = 31
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name and a number, such that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}{i}" for i in range(len(taken)))) if n.lower() not in taken)
+
+
+def _file_rows(df: DataFrame) -> list | None:
+    """(file, rows) of the Parquet files that df reads as they are; None for other frames and for files that are read twice."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return None
+    meta = df.metadataColumn("_metadata")
+    try:
+        at = df.select(meta["file_path"].alias("file"), meta["row_index"].alias("at"))
+    except AnalysisException:
+        return None
+    files = at.groupBy("file").agg((F.max("at") + 1).alias("top"), F.count(F.lit(1)).alias("n")).collect()
+    return sorted((r.file, r.top) for r in files) if all(r.n <= r.top for r in files) else None
+
+
+def numbered(df: DataFrame, name: str, stashed: str) -> DataFrame:
+    """df with a number for each row, from 0, as column name: the place in its Parquet file, after the files before it, so that each
+    scan gives a row the same number. What is no plain read of Parquet files is stashed first."""
+    files = _file_rows(df)
+    if files is None:
+        df = stash(df, stashed)
+        files = _file_rows(df)
+    starts = [0, *np.cumsum([n for _, n in files], dtype=np.int64).tolist()]
+    if starts[-1] > 1 << ROW_BITS:
+        raise ValueError(f"more than 2^{ROW_BITS} rows")
+    meta = df.metadataColumn("_metadata")
+    file, at, start = (free_name(df, f"{name}_{x}") for x in ("file", "at", "start"))
+    first = df.sparkSession.createDataFrame([(f, s) for (f, _), s in zip(files, starts, strict=False)], f"`{file}` string, `{start}` long")
+    placed = df.select("*", meta["file_path"].alias(file), meta["row_index"].alias(at)).join(F.broadcast(first), file)
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(start) + F.col(at)).alias(name))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

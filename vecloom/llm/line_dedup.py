@@ -2,7 +2,7 @@
 Arrow batches, as the interpreted array functions missed the limits; joins and verification are DataFrame functions.
 
 A line's tokens are its distinct words (lower case, parted by the six ASCII blanks). Lines of percent / 100 Jaccard or more
-match; of two that match the later one, by (doc_id, line number), is removed, whether or not the earlier one stays.
+match; of two that match the later one, by (doc_id, row, line number), is removed, whether or not the earlier one stays.
 
 1. Words are counted over all documents in BUCKETS hashed buckets, a table of one byte each (the count's logarithm). Tasks hand over
    CHUNK counts a row. Tokens of all lines are sorted by the table, rarest first. Any one order keeps the join exact; this one keeps prefixes rare.
@@ -16,8 +16,8 @@ match; of two that match the later one, by (doc_id, line number), is removed, wh
    token) and the parity sketch of 128 bits (two token sets differ in at least as many tokens as their sketches in bits).
 6. What stays is verified on the words themselves.
 
-Lines without words are never removed and match nothing. A null text stays null. Null ids come first in the order. Rows
-that repeat an id are taken for the same document: their lines share places, so equal lines at equal places are both first.
+Lines without words are never removed and match nothing. A null text stays null. Null ids come first in the order. Each row is a
+document of its own, also where ids are null or repeat: lines are kept by row numbers (common.numbered), which order rows of one id.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import BLANK_WORDS, STEP, discard, mix, slices, stash, text_bytes
+from vecloom.llm.common import BLANK_WORDS, ROW_BITS, STEP, discard, free_name, mix, numbered, slices, stash, text_bytes
 
 BUCKETS, CHUNK, HOT = 1 << 21, 1 << 12, 10
 #: A token is its level and this many bits of its hash; with a line's number of at most LINE_BITS bits that makes one sort key.
@@ -170,11 +170,18 @@ def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.
 
 #: Stands for a null id in places: below every other id.
 NO_ID = str(-(1 << 63) - 1)
-LINES = "doc_id long, line_no int, h1 long, h2 long, n int, s1 long, s2 long, bands array<int>, keys array<struct<key: long, pos: int>>"
+#: A line's number in its row takes at most so many bits, as a text has fewer bytes than 2^31.
+PLACE_BITS = 31
+LINES = "doc_id long, doc_row long, line_no int, h1 long, h2 long, n int, s1 long, s2 long, bands array<int>, keys array<struct<key: long, pos: int>>"
+
+
+def place(row: Column, line_no: Column) -> Column:
+    """One number a line, ascending by row and line."""
+    return F.shiftleft(row, PLACE_BITS).bitwiseOR(line_no.cast("long"))
 
 
 def lines_of(docs: DataFrame, percent: int) -> DataFrame:
-    """LINES: a row a line with words."""
+    """LINES of docs (doc_id, text, doc_row): a row a line with words."""
     levels = rarity(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,25 +189,26 @@ def lines_of(docs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column(1), BLOCK):
                 got = line_arrays(batch.column(1).slice(a, b - a), table, percent)
-                ids = batch.column(0).slice(a, b - a).take(got.pop("row"))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids} | got)
+                own = got.pop("row")
+                ids, rows = (batch.column(c).slice(a, b - a).take(own) for c in (0, 2))
+                yield pa.RecordBatch.from_pydict({"doc_id": ids, "doc_row": rows} | got)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(scan, LINES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), "doc_row").mapInArrow(scan, LINES)
 
 
 def classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(lines, sets): a row a line, and a row a distinct token set with its join keys."""
     wide = stash(lines_of(docs, percent), "line-wide")
-    # all lines of a class have the same arrays: as grouping keys, and places as one number, they keep the aggregation hashed
-    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
+    # all lines of a class have the same arrays: as grouping keys, and order as one number, they keep the aggregation hashed
+    ids = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)"))
+    span = F.lit(1 << (ROW_BITS + PLACE_BITS)).cast("decimal(20,0)")
+    order = (ids * span).cast("decimal(38,0)") + place(F.col("doc_row"), F.col("line_no")).cast("decimal(20,0)")
     alike = ("n", "s1", "s2", "bands", "keys")
-    grouped = wide.groupBy("h1", "h2", *alike)
-    once = grouped.agg(F.min(place).alias("first"), F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("none"), F.count(F.lit(1)).alias("lines"))
-    first_id = F.when(~F.col("none"), F.col("id"))
-    first_line = F.col("first") - F.coalesce(first_id.cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)")
-    once = once.select("h1", "h2", F.struct(first_id.alias("doc_id"), first_line.cast("int").alias("line_no")).alias("at"), "lines", *alike, "first").orderBy("first", "h1", "h2").drop("first")
+    once = wide.groupBy("h1", "h2", *alike).agg(F.min(order.cast("decimal(38,0)")).alias("first"), F.count(F.lit(1)).alias("lines"))
+    at = F.pmod("first", span).cast("long").alias("at")
+    once = once.select("h1", "h2", at, "lines", *alike, "first").orderBy("first", "h1", "h2").drop("first")
     sets = stash(once.withColumn("cid", F.monotonically_increasing_id()), "line-sets")
-    lines = stash(wide.select("h1", "h2", "doc_id", "line_no"), "line-places")
+    lines = stash(wide.select("h1", "h2", "doc_row", "line_no"), "line-places")
     discard(wide)
     return lines, sets
 
@@ -239,12 +247,12 @@ def candidates(sets: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(cid) of the classes b of pairs (a, b), a stashed table, that match their a."""
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = stash(sets.select("cid", "at.*").join(ids, "cid"), "line-wanted")  # of known size, as Spark chooses the next join by it
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.split("text", "\n", -1).alias("lines"))
+    line_of = F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    wanted = sets.select("cid", F.shiftright("at", PLACE_BITS).alias("doc_row"), line_of.alias("line_no")).join(ids, "cid")
+    wanted = stash(wanted, "line-wanted")  # of known size, as Spark chooses the next join by it
+    got = docs.select("doc_row", F.split("text", "\n", -1).alias("lines")).join(wanted, "doc_row")
     line = F.get("lines", F.col("line_no"))
-    # rows that repeat an id may hold another text at that place; a set verified on it would name another class
-    got = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")))
-    words_of = stash(got.select("cid", F.array_distinct(words(line)).alias("w")).where(line.isNotNull()), "line-words")
+    words_of = stash(got.select("cid", F.array_distinct(words(line)).alias("w")), "line-words")
     side = lambda c, w: words_of.select(F.col("cid").alias(c), F.col("w").alias(w))
     both = pairs.join(side("a", "wa"), "a").join(side("b", "wb"), "b")
     inter = F.size(F.array_intersect("wa", "wb"))
@@ -262,30 +270,32 @@ def matches(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def removals(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, gone): the numbers, from 0, of the lines to remove, a row a document that has any."""
+    """(doc_row, gone) of docs (doc_id, text, doc_row): the numbers, from 0, of the lines to remove, a row a document that has any."""
     lines, sets = classes(docs, percent)
     later = matches(docs, sets, percent).withColumn("later", F.lit(True))
     status = sets.select("cid", "h1", "h2", "at", "lines").join(later, "cid", "left")
     status = stash(status.where("later OR lines > 1").select("h1", "h2", "at", F.coalesce("later", F.lit(False)).alias("later")), "line-status")
     gone = lines.join(status, ["h1", "h2"])
-    gone = gone.where(F.col("later") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("at")))
-    return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))  # as many as a document has lines
+    gone = gone.where(F.col("later") | (place(F.col("doc_row"), F.col("line_no")) != F.col("at")))
+    return gone.groupBy("doc_row").agg(F.collect_set("line_no").alias("gone"))  # as many as a document has lines
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs, all columns, with the remaining lines as text."""
-    own = next(n for n in (f"_gone{i}" for i in range(len(docs.columns) + 1)) if n.lower() not in {c.lower() for c in docs.columns})
-    gone = removals(docs, percent).select(F.struct("doc_id", "gone").alias(own))
+    own, row = free_name(docs, "_gone"), free_name(docs, "_row")
+    rows = numbered(docs, row, "line-docs")
+    gone = removals(rows.select("doc_id", "text", F.col(row).alias("doc_row")), percent).select(F.struct("doc_row", "gone").alias(own))
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(own)["gone"], i))
     text = F.when(F.col(own).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own)["doc_id"]), "left")
+    joined = rows.join(gone, F.col(row) == F.col(own)["doc_row"], "left")
     return joined.withColumn("text", text).select(*docs.columns)
 
 
 def line_report(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_lines, n_removed, text)"""
-    gone = removals(docs, percent).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows = numbered(docs, row := free_name(docs, "_row"), "line-docs")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("doc_row"))
+    rows = rows.join(removals(rows, percent), "doc_row", "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
