@@ -65,3 +65,21 @@ def test_one_file_read_twice(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/docs")
     got = line_report(spark.read.parquet(f"{tmp_path}/docs", f"{tmp_path}/docs")).collect()
     assert sorted((r.doc_id, r.n_removed, r.text) for r in got) == [(1, 0, "a b\nc d"), (1, 2, ""), (2, 0, "e f"), (2, 1, "")]
+
+
+def test_words_with_one_key(spark):
+    import numpy as np
+
+    from vecloom.llm.common import BLANK_WORDS
+    from vecloom.llm.line_dedup import HASH_BITS
+
+    size = 7
+    raw = np.frombuffer("".join(f"{i:0{size}d}" for i in range(3_000_000)).encode(), np.uint8)
+    h, _ = BLANK_WORDS.hashes(raw, np.arange(0, len(raw) + 1, size))
+    top = h >> np.uint64(64 - HASH_BITS)
+    order = np.argsort(top)
+    x = int(np.flatnonzero(top[order[1:]] == top[order[:-1]])[0])
+    a, b = (f"{i:0{size}d}" for i in order[x : x + 2])
+    rows = [(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}"), (5, f"{a} k l m n"), (6, f"{b} k l m n")]
+    got = {r.doc_id: r.text for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) == dict(rows) | {4: ""}

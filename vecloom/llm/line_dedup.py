@@ -6,7 +6,7 @@ match; of two that match the later one, by (doc_id, row, line number), is remove
 
 1. Words are counted over all documents in BUCKETS hashed buckets, a table of one byte each (the count's logarithm). Tasks hand over
    CHUNK counts a row. Tokens of all lines are sorted by the table, rarest first. Any one order keeps the join exact; this one keeps prefixes rare.
-2. Lines of equal token sets (two 64-bit hashes) are one class, named by its first line.
+2. Lines of equal token sets (two 64-bit sums over the 64-bit hashes of the words) are one class, named by its first line.
 3. Classes are numbered by their first lines. A class that agrees with an earlier one in two minimum hashes is first compared with the
    earliest such class (four pairs of hashes). What matches is settled: large groups of near copies need no pairs among themselves.
    This only saves work. What is not settled is searched for in full, against all classes:
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import BLANK_WORDS, ROW_BITS, STEP, discard, free_name, mix, numbered, slices, stash, text_bytes
 
 BUCKETS, CHUNK, HOT = 1 << 21, 1 << 12, 10
-#: A token is its level and this many bits of its hash; with a line's number of at most LINE_BITS bits that makes one sort key.
+#: A token's sort and join key is its level and this many bits of its hash; with a line's number of at most LINE_BITS bits it fills 64.
+#: Words that share a key stay apart by their whole hashes: in h1, h2 and n.
 HASH_BITS, LEVEL_BITS = 39, 5
 LINE_BITS = 64 - HASH_BITS - LEVEL_BITS
 #: Text bytes that are tokenized at once: their arrays stay in a core's cache.
@@ -116,18 +117,15 @@ def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.
     level = table[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
     tok = level << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS)
     line = np.repeat(np.arange(len(row)), np.diff(first))
-    if len(row) <= 1 << LINE_BITS:
-        both = np.sort(line.astype(np.uint64) << np.uint64(64 - LINE_BITS) | tok)
-        new = np.ones(len(both), bool)
-        np.not_equal(both[1:], both[:-1], out=new[1:])
-        both = both[new]
-        line, tok = (both >> np.uint64(64 - LINE_BITS)).astype(np.int64), both & np.uint64((1 << (64 - LINE_BITS)) - 1)
-    else:
-        order = np.lexsort((tok, line))
-        tok, line = tok[order], line[order]
-        new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (line[1:] != line[:-1])
-        tok, line = tok[new], line[new]
+    # tokens are told apart by all 64 bits of their hashes; those that are alike in tok are ordered by them
+    order = np.argsort(line.astype(np.uint64) << np.uint64(64 - LINE_BITS) | tok) if len(row) <= 1 << LINE_BITS else np.lexsort((h, tok, line))
+    alike = lambda x: x[order[1:]] == x[order[:-1]]
+    if (alike(tok) & alike(line) & ~alike(h)).any():
+        order = np.lexsort((h, tok, line))
+    new = np.ones(len(order), bool)
+    new[1:] = ~(alike(h) & alike(line))
+    order = order[new]
+    h, tok, line = h[order], tok[order], line[order]
     edge = np.ones(len(line), bool)
     np.not_equal(line[1:], line[:-1], out=edge[1:])
     start = np.flatnonzero(edge)
@@ -158,8 +156,8 @@ def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.
     return {
         "row": pa.array(row[lines]),
         "line_no": pa.array(number[lines].astype(np.int32)),
-        "h1": pa.array(add(mix(tok)).view(np.int64)),
-        "h2": pa.array(add(mix(tok ^ np.uint64(STEP))).view(np.int64)),
+        "h1": pa.array(add(mix(h)).view(np.int64)),
+        "h2": pa.array(add(mix(h ^ np.uint64(STEP))).view(np.int64)),
         "n": pa.array(n.astype(np.int32)),
         "s1": parity(~high),
         "s2": parity(high),
