@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import decontaminate, line_dedup, minmax_dedup, pieces, quality_gam
-from vecloom.llm.common import load, stash
+from vecloom.llm.common import free_name, load, numbered, stash
 from vecloom.llm.registry import piece_model
 
 
@@ -22,9 +22,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: shingles of five words, similarity 0.8."""
-    kept = minmax_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each group, also where ids are null or repeat: shingles of five words, similarity 0.8."""
+    row, own = free_name(docs, "_row"), free_name(docs, "_kept")
+    rows = numbered(docs, row, "near-docs")
+    kept = minmax_dedup.representatives(rows.select("doc_id", "text", F.col(row).alias("doc_row"))).withColumnRenamed("doc_row", own)
+    return rows.join(kept, F.col(row) == F.col(own), "left_semi").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

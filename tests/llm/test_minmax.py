@@ -82,3 +82,15 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     got = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for e in links if e[0] != e[1] for x in e}
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    long = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, long("a")), (1, long("a")), (1, long("b")), (None, long("c")), (None, long("c")), (None, long("d")), (2, long("d")), (3, ""), (3, ""), (4, None)]
+    want = [(1, long("a")), (1, long("b")), (None, long("c")), (2, long("d")), (3, ""), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("x"))
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)

@@ -57,11 +57,12 @@ def bands(s: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, cid, bands): size and digest of each set, and its band hashes (none for an empty set)."""
+    """(doc_id, n, cid, bands): size and digest of each set, and its band hashes (none for an empty set); and doc_row if docs has it."""
+    rows = [c for c in docs.columns if c == "doc_row"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, text = batch.columns
+            ids, text, *numbers = batch.columns
             for a, b in slices(text):
                 s, at = shingles(*BLANK_WORDS.hashes(*text_bytes(text.slice(a, b - a))), k)
                 sets = [np.unique(s[at[i] : at[i + 1]]) for i in range(b - a)]
@@ -73,11 +74,11 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                     for i, row in zip(some, bands(joined, first).view(np.int64), strict=True):
                         flat[i] = row
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array([len(u) for u in sets], pa.int64()), pa.array([digest(u) if len(u) else None for u in sets], pa.binary()), pa.array(flat, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "cid", "bands"],
+                    [ids.slice(a, b - a), pa.array([len(u) for u in sets], pa.int64()), pa.array([digest(u) if len(u) else None for u in sets], pa.binary()), pa.array(flat, pa.list_(pa.int64())), *(x.slice(a, b - a) for x in numbers)],
+                    ["doc_id", "n", "cid", "bands", *rows],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n long, cid binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rows).mapInArrow(scan, ", ".join(["doc_id long, n long, cid binary, bands array<long>", *(f"{c} long" for c in rows)]))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -143,9 +144,8 @@ def _labels(pairs: DataFrame, col: str, labels: DataFrame, out: str) -> DataFram
     return pairs.join(own, col, "left").withColumn(out, F.coalesce(out, col))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text): the size of its set of k-word shingles, the
-    least doc_id that links of percent / 100 Jaccard or more reach, and whether that is its own."""
+def _grouped(docs: DataFrame, k: int, percent: int, *more: str) -> DataFrame:
+    """(doc_id, n_shingles, cid, component_id, more) of each row of docs; of more, doc_row is a column of docs and root names the group."""
     s = stash(signed(docs, k), "mm-signed")
     grouped = s.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stash(grouped.withColumn("rid", F.monotonically_increasing_id()), "mm-classes")
@@ -159,12 +159,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = classes.select("cid", "rid", "min_doc")
     named = _labels(named, "rid", labels, "root")
     roots = stash(named.groupBy("root").agg(F.min("min_doc").alias("component_id")), "mm-roots")
-    ids = stash(named.join(roots, "root").select("cid", "component_id"), "mm-ids")
-    out = s.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(ids, "cid", "left")
+    ids = stash(named.join(roots, "root").select("cid", "component_id", *(c for c in more if c == "root")), "mm-ids")
+    return s.select("doc_id", F.col("n").alias("n_shingles"), "cid", *(c for c in more if c != "root")).join(ids, "cid", "left")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text): the size of its set of k-word shingles, the
+    least doc_id that links of percent / 100 Jaccard or more reach, and whether that is its own."""
+    out = _grouped(docs, k, percent)
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_row) of docs (doc_id, text, doc_row): one row of each group, the first of its least id, and every row without shingles."""
+    out = _grouped(docs, k, percent, "doc_row", "root")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_row")).alias("c")
+    return out.where("n_shingles > 0").groupBy("root").agg(least).select("c.doc_row").union(out.where("n_shingles = 0").select("doc_row"))
+
+
 def _component_labels(docs: DataFrame, classes: DataFrame, stars: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of the classes that have links."""
     members = stars.select("rid").union(stars.select("centre")).distinct()
