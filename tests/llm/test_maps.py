@@ -34,6 +34,22 @@ def test_token_shards(docs):
     assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
 
 
+def test_registered_shards_have_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from vecloom.llm.registry import op8_token_shards
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x  {end}  y\n{end}\n", f" {end}", f"{end} ", f"<|endoftext|{end}|>", f"it's{end}'s a", "<|endoftext| >", "", None, "plain  text ", " b  c", f"a{end} b  c"]
+    texts += [x for _, x in TEXTS]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(byte_tokenizer())
+    ids = [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+    assert ids[0] == [64, 220, 50256, 275, 0]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in op8_token_shards(spark, str(tmp_path)).collect()}
+    assert got == {d: (len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, i in enumerate(ids)}
+
+
 def test_elias_fano():
     r = np.random.default_rng(0)
     for n, bound in ((0, 1), (1, 10), (1000, 1000), (1000, 10**9), (300, 20)):

@@ -50,7 +50,8 @@ def op7_decontaminate(spark, d):
 
 
 def op8_token_shards(spark, d):
-    return token_shards.token_shards(load(spark, d, "documents"), byte_tokenizer())
+    """The library's ids without special tokens put in; those that a text holds are matched."""
+    return token_shards.token_shards(load(spark, d, "documents"), byte_tokenizer(), added=True)
 
 
 def op9_avi_mjpeg(spark, d):

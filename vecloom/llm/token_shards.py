@@ -130,11 +130,18 @@ def pre_tokens(piece: str) -> list[str]:
 class Encoder:
     """Ids of texts as bytes, with a bounded memory of pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = True  # of what is between the added tokens; these are split off before
+        tokens = self.tok.get_added_tokens_decoder() if added else {}
+        for t in tokens.values():
+            if t.lstrip or t.rstrip or t.single_word or (t.normalized and self.tok.normalizer):
+                raise ValueError(f"added token {t.content!r} is not matched as it is written")
+        self.added = {t.content: i for i, t in tokens.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.at_added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.pieces: dict[str, bytes] = {}
@@ -159,6 +166,15 @@ class Encoder:
             self.pieces[p] = b"".join(map(get, parts))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        some = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        if not some:
+            return self._encode(texts)
+        parts = [self.at_added.split(t) if i in some else [t] for i, t in enumerate(texts)]  # every second is an added token
+        plain = iter(self._encode([x for p in parts for x in p[::2]]))
+        token = {t: np.array([i], self.kind).tobytes() for t, i in self.added.items()}
+        return [b"".join(token[x] if j % 2 else next(plain) for j, x in enumerate(p)) for p in parts]
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = []
         for t in texts:
             if not t:
@@ -168,8 +184,8 @@ class Encoder:
             else:
                 # the mark is no character of a piece's end: a text that has it is cut by the pattern
                 cut.append(t.replace(" ", MARK).split("\0") if "\0" not in t else _CUT.split(t))
-                if not cut[-1][0]:
-                    del cut[-1][0]
+            if cut[-1] and not cut[-1][0]:  # a text that begins with a blank and a word
+                del cut[-1][0]
         kept = self.pieces
         used = set().union(*cut)
         missing = used.difference(kept)
@@ -185,13 +201,13 @@ class Encoder:
 IMAGES = "part int, seq int, docs long, ids long, image binary"
 
 
-def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, added: bool = False) -> DataFrame:
     """Shard images (part, seq, docs, ids, image) of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(tokenizer)
+        enc = _encoder(tokenizer, added)
         end = np.array([END_ID], enc.kind).tobytes()
         seq, part = 0, None
         ids, parts, ends, size = [], [], [], 0
@@ -218,14 +234,14 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     return rows.mapInArrow(scan, IMAGES)
 
 
-_made: dict[str, Encoder] = {}
+_made: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, added: bool) -> Encoder:
     """One for a worker: its memory lasts over tasks."""
-    if path not in _made:
-        _made[path] = Encoder(path)
-    return _made[path]
+    if (path, added) not in _made:
+        _made[path, added] = Encoder(path, added)
+    return _made[path, added]
 
 
 def offsets(images: DataFrame) -> DataFrame:
@@ -259,6 +275,6 @@ def read_documents(images: DataFrame) -> DataFrame:
     return docs.join(offsets(images), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_shards(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_shards(docs: DataFrame, tokenizer: str, added: bool = False) -> DataFrame:
     """Encode, store, read back: (doc_id, start, n_tokens, ids_crc32)."""
-    return read_documents(stash(encoded(docs, tokenizer), "token-shards"))
+    return read_documents(stash(encoded(docs, tokenizer, added), "token-shards"))
