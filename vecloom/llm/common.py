@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -21,33 +20,48 @@ BASE, STEP, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E
 SLICE_BYTES = 1 << 20
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: later stages and retries read files, not lineage.
-    Shuffle files of the finished stages are released, before and after."""
-    spark = df.sparkSession
+#: Paths of the tables that are stashed and not yet discarded.
+_stashed: list[str] = []
 
-    def release() -> None:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
 
-    release()
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: later stages and retries read files, not lineage.
+    Spark removes the shuffle files of the query when it has ended."""
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release()
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
+    _stashed.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stashed tables that no later stage reads."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stash_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t._stash_path)
+        _stashed.remove(t._stash_path)
+
+
+def sweep(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Delete what is stashed but for keep: for callers that have written the results that read it."""
+    for path in [p for p in _stashed if p not in keep]:
+        _delete(spark, path)
+        _stashed.remove(path)
 
 
 #: Rows that can be numbered: numbers take ROW_BITS bits.
-ROW_BITS = 31
+ROW_BITS = 35
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -1,56 +1,71 @@
 """Line dedup: an exact set-similarity join of the lines of all documents. Tokens, prefixes and sketches are made in
-Arrow batches, as the interpreted array functions missed the limits; joins and verification are DataFrame functions.
+Arrow batches, as the interpreted array functions missed the limits.
 
-A line's tokens are its distinct words (lower case, parted by the six ASCII blanks). Lines of percent / 100 Jaccard or more
-match; of two that match the later one, by (doc_id, row, line number), is removed, whether or not the earlier one stays.
+A line's tokens are its distinct words (lower case, parted by the six ASCII blanks), told apart by 64-bit hashes. Lines of
+percent / 100 Jaccard or more match; of two that match the later one, by (doc_id, row, line number), is removed, whether or not the
+earlier one stays.
 
 1. Words are counted over all documents in BUCKETS hashed buckets, a table of one byte each (the count's logarithm). Tasks hand over
    CHUNK counts a row. Tokens of all lines are sorted by the table, rarest first. Any one order keeps the join exact; this one keeps prefixes rare.
-2. Lines of equal token sets (two 64-bit sums over the 64-bit hashes of the words) are one class, named by its first line.
-3. Classes are numbered by their first lines. A class that agrees with an earlier one in two minimum hashes is first compared with the
-   earliest such class (four pairs of hashes). What matches is settled: large groups of near copies need no pairs among themselves.
-   This only saves work. What is not settled is searched for in full, against all classes:
-4. Similar classes of n tokens share one among the n - ceil(n percent / 100) + 1 rarest of each, the prefix; of one more, two. Prefix
-   tokens with counts under 2^HOT are join keys by themselves, pairs of the others are keys: no key is very frequent.
-5. Of classes that meet, those stay that pass the length filter, the positional filter (what can still be common after the first common
-   token) and the parity sketch of 128 bits (two token sets differ in at least as many tokens as their sketches in bits).
-6. What stays is verified on the words themselves.
-
-Lines without words are never removed and match nothing. A null text stays null. Null ids come first in the order. Each row is a
-document of its own, also where ids are null or repeat: lines are kept by row numbers (common.numbered), which order rows of one id.
+2. Lines of equal token sets (equal size and two 64-bit sums over the hashes) are one class, named by the place of its first line.
+3. Similar classes of n tokens share one among the n - ceil(n percent / 100) + 1 rarest of each, the prefix. The first one that they share is
+   either cold, with a bucket's count under 2^HOT, or hot, and then all that they share are hot. Cold tokens of the prefix are keys.
+   Where a prefix has hot tokens, neighbours among the hot tokens of a longer prefix are keys, in pairs: of d + 1 shared tokens in
+   a row, d pairs, each token that is not shared parts at most one, and there are at most a + b - 2 o of these (o: the least overlap
+   of sizes a and b). One pair more is left whole. So a line has at most about 0.4 n keys, at any size of corpus.
+4. A cold key has fewer than 2^HOT classes, so its pairs are made in Arrow tasks, out of blocks of keys that are dealt by key. Pair
+   keys have no such bound: they meet in a join that Spark can split. There, classes that share a key with more than LEAD others are first
+   compared with the earliest of these; what matches is settled, and large groups of near copies need no pairs among themselves.
+   This only saves work: what is not settled is compared with all.
+5. Of classes that meet, those stay that pass the length filter, the positional filter (what can still be common) and the parity
+   sketch of 64 bits (two token sets differ in at least as many tokens as their sketches in bits).
+6. What stays is verified on full token sets, which another pass makes of the lines that are named in pairs.
+
+Lines without words are never removed and match nothing. A null text stays null. Null ids come first in the order, with the least
+long. Each row is a document of its own, also where ids are null or repeat: lines are kept by row numbers (common.numbered), which order rows
+of one id. An empty table gives no rows. Columns besides doc_id and text are kept by deduplicated and not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import BLANK_WORDS, ROW_BITS, STEP, discard, free_name, mix, numbered, slices, stash, text_bytes
+from vecloom.llm.common import BLANK_WORDS, STEP, discard, free_name, mix, numbered, slices, stash, text_bytes
 
-BUCKETS, CHUNK, HOT = 1 << 21, 1 << 12, 10
-#: A token's sort and join key is its level and this many bits of its hash; with a line's number of at most LINE_BITS bits it fills 64.
-#: Words that share a key stay apart by their whole hashes: in h1, h2 and n.
-HASH_BITS, LEVEL_BITS = 39, 5
-LINE_BITS = 64 - HASH_BITS - LEVEL_BITS
+BUCKETS, CHUNK, HOT, LEAD = 1 << 21, 1 << 12, 10, 32
 #: Text bytes that are tokenized at once: their arrays stay in a core's cache.
 BLOCK = 1 << 17
-BANDS = 4
+#: A line's place is its row number and its number in the row.
+PLACE_BITS = 28
+#: Cold keys are compared by their first bits; the size of a set fills the 64. Words that share these stay apart when pairs are verified.
+HASH_BITS = 39
+#: Cold keys of a block, and pairs that are looked at together.
+PART_KEYS, PAIRS = 1 << 19, 1 << 18
+#: Bits of the filter of wanted lines: about 16 a line, in chunks; more lines than it can hold only let other lines pass.
+FILTER_BITS = 1 << 27
+LEAST = -(1 << 63)
 
 
-def words(text: Column) -> Column:
-    """Plain replacements and a split at one character are several times as fast as regular expressions."""
-    flat = F.lower(text)
-    for gap in "\n\t\x0b\f\r":
-        flat = F.replace(flat, F.lit(gap), F.lit(" "))
-    return F.array_remove(F.split(flat, " ", -1), "")
+def lowered(col: pa.Array) -> pa.Array:
+    return pc.utf8_lower(col)
 
 
 def _hashed_lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row of each line, number of each line in its row, word hashes, first word of each line and the number of words)."""
+    raw, starts, row, number = _lines(col)
+    h, first = BLANK_WORDS.hashes(raw, np.append(starts, len(raw)))
+    return row, number, h, first
+
+
+def _lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start of each line, its row, its number in the row)."""
     raw, at = text_bytes(col)
     breaks = np.flatnonzero(raw == 10) + 1
     # a row begins a line even where it is empty: rows come before the breaks at the same place, as stable sorting leaves them
@@ -59,118 +74,129 @@ def _hashed_lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     order = np.lexsort((starts, row))
     row, starts = row[order], starts[order]
     number = np.arange(len(row)) - np.searchsorted(row, row)
-    h, first = BLANK_WORDS.hashes(raw, np.append(starts, len(raw)))
-    return row, number, h, first
+    if len(number) and number.max() >> PLACE_BITS:
+        raise ValueError(f"a text of more than 2^{PLACE_BITS} lines")
+    return raw, starts, row, number
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """BUCKETS bytes: the logarithm of the number of words of each bucket."""
+def chunked(df: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], np.ndarray], merged: Callable[[np.ndarray], np.ndarray], kind: str, size: int, join: np.ufunc = np.add) -> np.ndarray:
+    """Sums (or another join) over tasks: made gives a task's table of size numbers (kind), handed over CHUNK numbers a row where they
+    are not all 0; merged makes the bytes that the driver gets, size of them at most, from the rows' sums."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.uint32)
-        for batch in batches:
-            for a, b in slices(batch.column(0), BLOCK):
-                h, _ = BLANK_WORDS.hashes(*text_bytes(batch.column(0).slice(a, b - a)))
-                np.add.at(n, (h & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
-        if n.any():
-            yield from chunks(n.reshape(-1, CHUNK), range(BUCKETS // CHUNK))
+    def rows(table: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(ids, pa.int32()), "n": pa.array([x.tobytes() for x in table], pa.binary())})
 
-    def chunks(n: np.ndarray, ids: Iterable[int]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(ids), pa.int32()), "n": pa.array([row.tobytes() for row in n], pa.binary())})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = made(batches).reshape(-1, CHUNK)
+        some = np.flatnonzero(table.any(axis=1))
+        if len(some):
+            yield from rows(table[some], some)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = total.setdefault(chunk, np.zeros(CHUNK, np.int64))
-                own += np.frombuffer(n, np.uint32)
+                join(own, np.frombuffer(n, kind), out=own, casting="unsafe")
         if total:
-            levels = np.minimum(np.log2(np.maximum(np.array(list(total.values())), 1)), (1 << LEVEL_BITS) - 1).astype(np.uint8)
-            yield from chunks(levels, total)
+            yield from rows(merged(np.array(list(total.values()))), np.array(list(total)))
 
     schema = "chunk int, n binary"
-    counts = docs.select(F.lower("text").alias("text")).mapInArrow(count, schema).repartition("chunk").mapInArrow(merge, schema)
-    table = np.zeros((BUCKETS // CHUNK, CHUNK), np.uint8)
-    got = counts.toArrow()  # BUCKETS bytes
-    for chunk, level in zip(got.column("chunk").to_pylist(), got.column("n").to_pylist()):
-        table[chunk] = np.frombuffer(level, np.uint8)
-    return table.tobytes()
+    got = df.mapInArrow(count, schema).repartition("chunk").mapInArrow(merge, schema).toArrow()
+    table = np.zeros((size // CHUNK, CHUNK), np.uint8)
+    for chunk, n in zip(got.column("chunk").to_pylist(), got.column("n").to_pylist(), strict=True):
+        table[chunk] = np.frombuffer(n, np.uint8)
+    return table.ravel()
+
+
+def rarity(docs: DataFrame) -> bytes:
+    """BUCKETS bytes: the logarithm of the number of words of each bucket."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        n = np.zeros(BUCKETS, np.uint32)
+        for batch in batches:
+            for a, b in slices(batch.column(0), BLOCK):
+                h, _ = BLANK_WORDS.hashes(*text_bytes(lowered(batch.column(0).slice(a, b - a))))
+                np.add.at(n, (h & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
+        return n
 
-def bands_of(tok: np.ndarray, start: np.ndarray) -> pa.Array:
-    """BANDS numbers a line, each of two minimum hashes of its tokens."""
-    out = np.zeros((len(start), BANDS), np.int32)
-    for band in range(BANDS) if len(start) else ():
-        x, y = (np.minimum.reduceat(mix(tok * np.uint64(STEP) + np.uint64(2 * band + i + 1)), start) for i in (0, 1))
-        out[:, band] = (mix(x ^ (y << np.uint64(1))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return pa.ListArray.from_arrays(np.arange(0, out.size + 1, BANDS, dtype=np.int32), pa.array(out.ravel()))
+    return chunked(docs.select("text"), count, lambda n: np.log2(np.maximum(n, 1)).astype(np.uint8), "<u4", BUCKETS).tobytes()
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return (n * percent + 99) // 100
 
 
-def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.Array]:
-    """The lines with words of some texts: row, line_no, h1, h2 (two hashes of the token set), n (tokens), s1 and s2 (128 parity
-    bits of the tokens), bands and keys."""
-    row, number, h, first = _hashed_lines(col)
-    level = table[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
-    tok = level << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS)
-    line = np.repeat(np.arange(len(row)), np.diff(first))
-    # tokens are told apart by all 64 bits of their hashes; those that are alike in tok are ordered by them
-    order = np.argsort(line.astype(np.uint64) << np.uint64(64 - LINE_BITS) | tok) if len(row) <= 1 << LINE_BITS else np.lexsort((h, tok, line))
+@lru_cache(1 << 16)
+def prefixes(a: int, percent: int) -> tuple[int, int]:
+    """Of a set of a tokens: the prefix that a similar other set meets, and the longer one in which two neighbours meet if all
+    tokens that they share are hot."""
+    b = np.arange(int(needed(np.int64(a), percent)), a * 100 // percent + 1, dtype=np.int64)
+    o = -(-percent * (a + b) // (100 + percent))
+    other = (o <= np.minimum(a, b)) & ((a != b) | (o < a))
+    if not other.any():
+        return 0, 0
+    return int(a - needed(np.int64(a), percent) + 1), int((2 * a + b - 3 * o + 2)[other].max())
+
+
+def token_sets(h: np.ndarray, first: np.ndarray, level: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, their levels, lines with tokens, the first token of each): the tokens of each line once, by level and hash."""
+    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    lv = level[(h & np.uint64(len(level) - 1)).astype(np.int64)] if level is not None else np.zeros(len(h), np.uint8)
+    # as one number: level, line and most of the hash; where that can't tell two tokens apart, by all of them
+    lines = max(1, len(first) - 1).bit_length()
+    order = np.argsort(line.astype(np.uint64) << np.uint64(64 - lines) | lv.astype(np.uint64) << np.uint64(59 - lines) | h >> np.uint64(5 + lines)) if lines < 30 else np.lexsort((h, lv, line))
     alike = lambda x: x[order[1:]] == x[order[:-1]]
-    if (alike(tok) & alike(line) & ~alike(h)).any():
-        order = np.lexsort((h, tok, line))
+    if lines < 30 and (alike(lv) & alike(line) & (h[order[1:]] < h[order[:-1]])).any():
+        order = np.lexsort((h, lv, line))
     new = np.ones(len(order), bool)
     new[1:] = ~(alike(h) & alike(line))
     order = order[new]
-    h, tok, line = h[order], tok[order], line[order]
+    line = line[order]
     edge = np.ones(len(line), bool)
     np.not_equal(line[1:], line[:-1], out=edge[1:])
     start = np.flatnonzero(edge)
-    lines, n = line[start], np.diff(np.append(start, len(line)))
-    pos = np.arange(len(tok)) - np.repeat(start, n)
-    add = lambda x: np.add.reduceat(x, start) if len(start) else np.zeros(0, x.dtype)
-    bit = np.uint64(1) << (tok & np.uint64(63))
-    high = (tok & np.uint64(64)) > 0
-    parity = lambda part: pa.array(np.bitwise_xor.reduceat(np.where(part, bit, np.uint64(0)), start).view(np.int64) if len(start) else np.zeros(0, np.int64))
-    p = n - needed(n, percent) + 1
-    rare = (tok < np.uint64(HOT << HASH_BITS)) & (pos < np.repeat(p, n))
-    cold = add(rare.astype(np.int64))
-    owners, keys, places = [np.repeat(np.arange(len(n)), n)[rare]], [tok[rare]], [pos[rare]]
-    # where fewer than p tokens are rare: pairs of the p + 1 first that are not; a rare token in place p + 1 makes no pair
-    hot = np.where(cold < p, np.minimum(p + 1, n) - cold, 0)
-    for m in np.unique(hot[hot > 1]):
-        own = np.flatnonzero(hot == m)
-        i, j = np.triu_indices(m, 1)
-        at = start[own] + cold[own]
-        x, y = tok[at[:, None] + i], tok[at[:, None] + j]
-        owners.append(np.repeat(own, len(i)))
-        keys.append(mix(mix(x) * np.uint64(STEP) + y).ravel())
-        places.append((cold[own][:, None] + i).ravel())
-    owner = np.concatenate(owners)
-    by = np.argsort(owner, kind="stable")
-    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int32)
-    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)[by].view(np.int64)), pa.array(np.concatenate(places)[by].astype(np.int32))], ["key", "pos"])
+    return h[order], lv[order], line[start], start
+
+
+def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary for each count: so many of the 64-bit values."""
+    ends = np.concatenate([[0], np.cumsum(counts) * 8]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
+
+
+def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.Array]:
+    """The lines with words of some texts: row, line_no, h1, h2 (two hashes of the token set), n (tokens), s1 (parity bits of the
+    tokens), cold and hot (keys; a key's place among both is the place of its token, or of the first of its two, in the line)."""
+    row, number, h, first = _hashed_lines(col)
+    h, level, lines, start = token_sets(h, first, table)
+    n = np.diff(np.append(start, len(h)))
+    if not len(n):
+        return {}
+    sizes, own = np.unique(n, return_inverse=True)
+    p1, p2 = (x[own] for x in np.array([prefixes(a, percent) for a in sizes.tolist()]).T)
+    of = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(len(h)) - start[of]
+    cool = level < HOT
+    cold = cool & (pos < p1[of])
+    pair = np.zeros(len(h), bool)
+    pair[:-1] = ~cool[:-1] & (pos[:-1] + 1 < p2[of[:-1]]) & (of[1:] == of[:-1])
+    pair &= (np.add.reduceat(cool.astype(np.int64), start) < p1)[of]
+    at = np.flatnonzero(pair)
+    count = lambda some: np.add.reduceat(some.astype(np.int64), start)
     return {
         "row": pa.array(row[lines]),
         "line_no": pa.array(number[lines].astype(np.int32)),
-        "h1": pa.array(add(mix(h)).view(np.int64)),
-        "h2": pa.array(add(mix(h ^ np.uint64(STEP))).view(np.int64)),
+        "h1": pa.array(np.add.reduceat(mix(h), start).view(np.int64)),
+        "h2": pa.array(np.add.reduceat(mix(h ^ np.uint64(STEP)), start).view(np.int64)),
         "n": pa.array(n.astype(np.int32)),
-        "s1": parity(~high),
-        "s2": parity(high),
-        "bands": bands_of(tok, start),
-        "keys": pa.ListArray.from_arrays(ends, pairs),
+        "s1": pa.array(np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start).view(np.int64)),
+        "cold": binaries(h[cold], count(cold)),
+        "hot": binaries(mix(mix(h[at]) * np.uint64(STEP) + h[at + 1]), count(pair)),
     }
 
 
-#: Stands for a null id in places: below every other id.
-NO_ID = str(-(1 << 63) - 1)
-#: A line's number in its row takes at most so many bits, as a text has fewer bytes than 2^31.
-PLACE_BITS = 31
-LINES = "doc_id long, doc_row long, line_no int, h1 long, h2 long, n int, s1 long, s2 long, bands array<int>, keys array<struct<key: long, pos: int>>"
+LINES = "d long, doc_row long, line_no int, h1 long, h2 long, n int, s1 long, cold binary, hot binary"
 
 
 def place(row: Column, line_no: Column) -> Column:
@@ -179,123 +205,266 @@ def place(row: Column, line_no: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, percent: int) -> DataFrame:
-    """LINES of docs (doc_id, text, doc_row): a row a line with words."""
+    """LINES of docs (d, text, doc_row): a row a line with words."""
     levels = rarity(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(levels, np.uint8)
         for batch in batches:
             for a, b in slices(batch.column(1), BLOCK):
-                got = line_arrays(batch.column(1).slice(a, b - a), table, percent)
-                own = got.pop("row")
-                ids, rows = (batch.column(c).slice(a, b - a).take(own) for c in (0, 2))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids, "doc_row": rows} | got)
+                got = line_arrays(lowered(batch.column(1).slice(a, b - a)), table, percent)
+                if got:
+                    own = got.pop("row")
+                    ids, rows = (batch.column(c).slice(a, b - a).take(own) for c in (0, 2))
+                    yield pa.RecordBatch.from_pydict({"d": ids, "doc_row": rows} | got)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), "doc_row").mapInArrow(scan, LINES)
+    return docs.select("d", "text", "doc_row").mapInArrow(scan, LINES)
 
 
-def classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(lines, sets): a row a line, and a row a distinct token set with its join keys."""
-    wide = stash(lines_of(docs, percent), "line-wide")
+def classes(wide: DataFrame) -> DataFrame:
+    """A row a distinct token set of wide (LINES): the place at and the id d of its first line, the number of lines, its keys."""
     # all lines of a class have the same arrays: as grouping keys, and order as one number, they keep the aggregation hashed
-    ids = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)"))
-    span = F.lit(1 << (ROW_BITS + PLACE_BITS)).cast("decimal(20,0)")
-    order = (ids * span).cast("decimal(38,0)") + place(F.col("doc_row"), F.col("line_no")).cast("decimal(20,0)")
-    alike = ("n", "s1", "s2", "bands", "keys")
-    once = wide.groupBy("h1", "h2", *alike).agg(F.min(order.cast("decimal(38,0)")).alias("first"), F.count(F.lit(1)).alias("lines"))
-    at = F.pmod("first", span).cast("long").alias("at")
-    once = once.select("h1", "h2", at, "lines", *alike, "first").orderBy("first", "h1", "h2").drop("first")
-    sets = stash(once.withColumn("cid", F.monotonically_increasing_id()), "line-sets")
-    lines = stash(wide.select("h1", "h2", "doc_row", "line_no"), "line-places")
-    discard(wide)
-    return lines, sets
-
-
-def fits(na: Column, nb: Column, percent: int) -> Column:
+    whole = lambda c: c.cast("decimal(20,0)")
+    span = whole(F.lit(1 << 62)) * 2
+    order = (whole(F.col("d")) * span).cast("decimal(38,0)") + whole(place(F.col("doc_row"), F.col("line_no")))
+    once = wide.groupBy("h1", "h2", "n", "s1", "cold", "hot").agg(F.min(order.cast("decimal(38,0)")).alias("first"), F.min("d").alias("d"), F.count(F.lit(1)).alias("lines"))
+    return once.select("h1", "h2", "n", "s1", "cold", "hot", "d", "lines", F.pmod("first", span).cast("long").alias("at"))
+
+
+def keys_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, row of each, its number in the row) of a binary column."""
+    raw, at = text_bytes(col)
+    count = np.diff(at) // 8
+    own = np.repeat(np.arange(len(col)), count)
+    return raw.view(np.uint64), own, np.arange(len(own)) - (at[:-1] // 8)[own]
+
+
+COLD = np.dtype([("key", "<u8"), ("at", "<i8"), ("s1", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+
+
+def met(x: np.ndarray, percent: int) -> np.ndarray:
+    """(pairs, 2) places, the lesser first, of the rows (COLD) that share a key's first HASH_BITS bits and pass the filters."""
+    low = np.uint64(64 - HASH_BITS)
+    sized = lambda n: np.minimum(n, (1 << (64 - HASH_BITS)) - 1).astype(np.uint64)
+    key = x["key"] >> low << low
+    code = key | sized(x["n"])
+    order = np.argsort(code)
+    x, key, code = x[order], key[order], code[order]
+    # by key and size: a row's partners are the next ones, up to the size that the length filter lets pass
+    ends = np.searchsorted(code, key | sized(x["n"].astype(np.int64) * 100 // percent), side="right")
+    many = ends - np.arange(1, len(x) + 1)
+    total = np.concatenate([[0], np.cumsum(many)])
+    out, done = [], 0
+    n, pos, s1, place_of = x["n"].astype(np.int64), x["pos"].astype(np.int64), x["s1"], x["at"]
+    while done < len(x):
+        upto = max(done + 1, int(np.searchsorted(total, total[done] + PAIRS, side="right")) - 1)
+        a = np.repeat(np.arange(done, upto), many[done:upto])
+        b = a + 1 + np.arange(len(a)) - (total[done:upto] - total[done])[a - done]
+        both = n[a] + n[b]
+        ok = (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) * (100 + percent) >= both * percent)
+        a, b, both = a[ok], b[ok], both[ok]
+        ok = (np.bitwise_count(s1[a] ^ s1[b]).astype(np.int64) * (100 + percent) <= both * (100 - percent)) & (place_of[a] != place_of[b])
+        a, b = place_of[a[ok]], place_of[b[ok]]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        done = upto
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+
+def cold_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: places of classes that share a cold key and pass the filters. Keys are dealt by a hash, in blocks of bytes, as
+    a row a key would cost more than the work on it. A key has fewer than 2^HOT rows."""
+    spark = sets.sparkSession
+    n = sets.agg(F.sum(F.octet_length("cold") / 8)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n / PART_KEYS) + 1)
+    parts = min(4 * tasks, 1 << 31)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, own, pos = keys_of(batch.column(3))
+            if not len(key):
+                continue
+            x = np.empty(len(key), COLD)
+            x["key"], x["pos"] = key, pos
+            x["at"], x["n"] = (batch.column(c).to_numpy()[own] for c in (0, 1))
+            x["s1"] = batch.column(2).to_numpy().view(np.uint64)[own]
+            part = (x["key"] >> np.uint64(64 - HASH_BITS)) % np.uint64(parts)
+            order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
+            x, part = x[order], part[order]
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part[cut[:-1]].astype(np.int64)), "rows": pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = [], None
+
+        def pairs() -> pa.RecordBatch:
+            got = met(np.frombuffer(b"".join(held), COLD), percent)
+            return pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(got[:, 0])), "b": pa.array(np.ascontiguousarray(got[:, 1]))})
+
+        for batch in batches:
+            for p, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != part and held:
+                    yield pairs()
+                    held = []
+                part = p
+                held.append(rows)
+        if held:
+            yield pairs()
+
+    dealt = sets.select("at", "n", "s1", "cold").mapInArrow(deal, "part long, rows binary")
+    return dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long")
+
+
+def hot_keys(sets: DataFrame) -> DataFrame:
+    """(key, d, at, n, pos, s1): a row a pair key."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, own, pos = keys_of(batch.column(5))
+            before = np.diff(text_bytes(batch.column(4))[1]) // 8
+            own = pa.array(own)
+            take = lambda c: batch.column(c).take(own)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "d": take(0), "at": take(1), "n": take(2), "pos": pa.array((pos + before[own.to_numpy()]).astype(np.int32)), "s1": take(3)})
+
+    some = sets.where(F.octet_length("hot") > 0)
+    return some.select("d", "at", "n", "s1", "cold", "hot").mapInArrow(scan, "key long, d long, at long, n int, pos int, s1 long")
+
+
+def fits(a: str, b: str, percent: int) -> Column:
     """The length filter and the parity sketch of rows a and b."""
-    bits = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
+    na, nb = (F.col(f"{x}.n").cast("long") for x in (a, b))
+    bits = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")))
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (bits * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def leaders(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: classes with the earliest class of a band, as far as they pass the filters."""
-    rows = sets.select("cid", F.posexplode("bands").alias("band", "value"))
-    first = rows.groupBy("band", "value").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = rows.join(first, ["band", "value"]).where("a < cid").select("a", F.col("cid").alias("b")).distinct()
-    side = sets.select("cid", F.col("n").cast("long").alias("n"), "s1", "s2")
-    both = met.join(side.alias("a"), F.col("a") == F.col("a.cid")).join(side.alias("b"), F.col("b") == F.col("b.cid"))
-    return both.where(fits(F.col("a.n"), F.col("b.n"), percent)).select(met["a"], met["b"])
-
-
-def candidates(sets: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, b not settled: pairs of classes that pass all filters."""
-    np_ = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    keyed = lambda t: t.select("cid", "n", "s1", "s2", F.inline("keys")).select("key", "cid", np_.alias("np"), "s1", "s2")
-    n = lambda x: F.shiftrightunsigned(F.col(f"{x}.np"), 32)
-    pos = lambda x: F.col(f"{x}.np").bitwiseAND(F.lit(0xFFFFFFFF))
-    na, nb = n("a"), n("b")
-    most = F.least(na - pos("a"), nb - pos("b"))
-    place = most * (100 + percent) >= (na + nb) * percent
-    left = sets.join(settled, "cid", "left_anti")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") < F.col("b.cid")) & place & fits(na, nb, percent)
-    met = keyed(sets).alias("a").join(keyed(left).alias("b"), on)
-    return met.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
-
-
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(cid) of the classes b of pairs (a, b), a stashed table, that match their a."""
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    line_of = F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-    wanted = sets.select("cid", F.shiftright("at", PLACE_BITS).alias("doc_row"), line_of.alias("line_no")).join(ids, "cid")
-    wanted = stash(wanted, "line-wanted")  # of known size, as Spark chooses the next join by it
-    got = docs.select("doc_row", F.split("text", "\n", -1).alias("lines")).join(wanted, "doc_row")
-    line = F.get("lines", F.col("line_no"))
-    words_of = stash(got.select("cid", F.array_distinct(words(line)).alias("w")), "line-words")
-    side = lambda c, w: words_of.select(F.col("cid").alias(c), F.col("w").alias(w))
-    both = pairs.join(side("a", "wa"), "a").join(side("b", "wb"), "b")
+def leaders(hot: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes with the earliest class of a pair key that more than LEAD classes share."""
+    heavy = hot.groupBy("key").agg(F.min(F.struct("d", "at", "n", "s1")).alias("a"), F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAD)
+    both = hot.alias("b").join(heavy.select("key", "a").alias("h"), "key")
+    return both.where((F.col("a.at") != F.col("b.at")) & fits("a", "b", percent)).select(F.col("a.at").alias("a"), F.col("b.at").alias("b")).distinct()
+
+
+def hot_pairs(hot: DataFrame, settled: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): classes that share a pair key and pass the filters, b the later one and not settled."""
+    left = hot if settled is None else hot.join(settled, "at", "left_anti").select(hot.columns)
+    na, nb, pa_, pb = (F.col(x).cast("long") for x in ("a.n", "b.n", "a.pos", "b.pos"))
+    most = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
+    earlier = (F.col("a.d") < F.col("b.d")) | ((F.col("a.d") == F.col("b.d")) & (F.col("a.at") < F.col("b.at")))
+    on = (F.col("a.key") == F.col("b.key")) & earlier & (most * (100 + percent) >= (na + nb) * percent) & fits("a", "b", percent)
+    return hot.alias("a").join(left.alias("b"), on).select(F.col("a.at").alias("a"), F.col("b.at").alias("b"))
+
+
+def _spots(at: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(at.view(np.uint64) + np.uint64(STEP)) % np.uint64(bits)).astype(np.int64)
+
+
+def token_rows(docs: DataFrame, pairs: DataFrame, named: int) -> DataFrame:
+    """(at, d, w): the token sets of the lines that are named in pairs, about named of them, and of some others."""
+    bits = min(FILTER_BITS, 8 * CHUNK << max(0, (2 * named // CHUNK).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(bits, bool)
+        for batch in batches:
+            for c in batch.columns:
+                out[_spots(c.to_numpy(), bits)] = True
+        return np.packbits(out, bitorder="little")
+
+    def merged(n: np.ndarray) -> np.ndarray:
+        return n.astype(np.uint8)
+
+    marks = chunked(pairs.select("a", "b"), mark, merged, "u1", bits // 8, np.bitwise_or).tobytes()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.frombuffer(marks, np.uint8)
+        for batch in batches:
+            for a, b in slices(batch.column(1), BLOCK):
+                raw, starts, row, number = _lines(lowered(batch.column(1).slice(a, b - a)))
+                doc = batch.column(2).slice(a, b - a).to_numpy()
+                at = (doc[row] << PLACE_BITS) | number
+                spot = _spots(at, bits)
+                some = np.flatnonzero(marked[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+                if not len(some):
+                    continue
+                ends = np.append(starts, len(raw))
+                own = np.concatenate([raw[starts[i] : ends[i + 1]] for i in some])
+                h, first = BLANK_WORDS.hashes(own, np.concatenate([[0], np.cumsum(ends[some + 1] - starts[some])]))
+                h, _, lines, start = token_sets(h, first, None)
+                lists = pa.ListArray.from_arrays(np.append(start, len(h)).astype(np.int32), h.view(np.int64))
+                of = some[lines]
+                yield pa.RecordBatch.from_pydict({"at": pa.array(at[of]), "d": batch.column(0).slice(a, b - a).take(pa.array(row[of])), "w": lists})
+
+    return docs.select("d", "text", "doc_row").mapInArrow(scan, "at long, d long, w array<long>")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(at) of the later classes of pairs (a, b), a stashed table, that match the other."""
+    rows = token_rows(docs, pairs, 2 * pairs.count())
+    side = lambda c: rows.select(F.col("at").alias(c), F.col("d").alias(f"d{c}"), F.col("w").alias(f"w{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     inter = F.size(F.array_intersect("wa", "wb"))
     same = inter * 100 >= (F.size("wa") + F.size("wb") - inter) * percent
-    later = stash(both.where(same).select(F.col("b").alias("cid")).distinct(), "line-later")
-    discard(wanted, words_of)
-    return later
+    b_later = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    later = both.where(same).select(F.when(b_later, F.col("b")).otherwise(F.col("a")).alias("at")).distinct()
+    return stash(later, "line-later")
 
 
 def matches(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(cid) of the classes that an earlier class matches."""
-    near = verified(docs, sets, stash(leaders(sets, percent), "line-leaders"), percent)
-    rest = verified(docs, sets, stash(candidates(sets, near, percent), "line-pairs"), percent)
-    return near.union(rest)
+    """(at) of the classes that an earlier class matches, a stashed table."""
+    hot, settled, temporary = hot_keys(sets), None, []
+    first = stash(leaders(hot, percent), "line-leaders")
+    temporary.append(first)
+    if not first.isEmpty():
+        settled = verified(docs, first, percent)
+        temporary.append(settled)
+    pairs = stash(cold_pairs(sets, percent).union(hot_pairs(hot, settled, percent)).distinct(), "line-pairs")
+    temporary.append(pairs)
+    rest = verified(docs, pairs, percent)
+    if settled is None:
+        out = rest
+    else:
+        out = stash(settled.union(rest).distinct(), "line-matches")
+        temporary.append(rest)
+    discard(*temporary)
+    return out
 
 
 def removals(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_row, gone) of docs (doc_id, text, doc_row): the numbers, from 0, of the lines to remove, a row a document that has any."""
-    lines, sets = classes(docs, percent)
-    later = matches(docs, sets, percent).withColumn("later", F.lit(True))
-    status = sets.select("cid", "h1", "h2", "at", "lines").join(later, "cid", "left")
-    status = stash(status.where("later OR lines > 1").select("h1", "h2", "at", F.coalesce("later", F.lit(False)).alias("later")), "line-status")
-    gone = lines.join(status, ["h1", "h2"])
+    if not 70 <= percent <= 100:
+        raise ValueError("percent from 70 to 100")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("d"), "text", "doc_row")
+    wide = stash(lines_of(docs, percent), "line-wide")
+    sets = stash(classes(wide), "line-sets")
+    later = matches(docs, sets, percent)
+    status = sets.select("h1", "h2", "n", "at", "lines").join(later.withColumn("later", F.lit(True)), "at", "left")
+    status = status.where("later OR lines > 1").select("h1", "h2", "n", "at", F.coalesce("later", F.lit(False)).alias("later"))
+    gone = wide.select("h1", "h2", "n", "doc_row", "line_no").join(status, ["h1", "h2", "n"])
     gone = gone.where(F.col("later") | (place(F.col("doc_row"), F.col("line_no")) != F.col("at")))
-    return gone.groupBy("doc_row").agg(F.collect_set("line_no").alias("gone"))  # as many as a document has lines
+    out = stash(gone.groupBy("doc_row").agg(F.collect_list("line_no").alias("gone")), "line-gone")  # as many as a document has lines
+    discard(wide, sets, later)
+    return out
+
+
+def _rest(rows: DataFrame, gone: DataFrame, row: str, own: str, cut: str) -> DataFrame:
+    """rows with own, the numbers of the lines to remove, cut, the lines, and the remaining text in the column text."""
+    joined = rows.join(gone.select(F.col("doc_row").alias(row), F.col("gone").alias(own)), row, "left").withColumn(cut, F.split("text", "\n", -1))
+    # numbers that stay, by a hashed difference: linear in the lines. The lines are a column that is used twice, so not split anew for each
+    stay = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(own))
+    text = F.array_join(F.transform(stay, lambda i: F.get(F.col(cut), i)), "\n")
+    return joined.withColumn("text", F.when(F.col(own).isNull() | F.col("text").isNull(), F.col("text")).otherwise(text))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs, all columns, with the remaining lines as text."""
-    own, row = free_name(docs, "_gone"), free_name(docs, "_row")
+    own, row, cut = (free_name(docs, x) for x in ("_gone", "_row", "_cut"))
     rows = numbered(docs, row, "line-docs")
-    gone = removals(rows.select("doc_id", "text", F.col(row).alias("doc_row")), percent).select(F.struct("doc_row", "gone").alias(own))
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(own)["gone"], i))
-    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    joined = rows.join(gone, F.col(row) == F.col(own)["doc_row"], "left")
-    return joined.withColumn("text", text).select(*docs.columns)
+    gone = removals(rows.select("doc_id", "text", F.col(row).alias("doc_row")), percent)
+    return _rest(rows, gone, row, own, cut).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_report(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_lines, n_removed, text)"""
     rows = numbered(docs, row := free_name(docs, "_row"), "line-docs")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("doc_row"))
-    rows = rows.join(removals(rows, percent), "doc_row", "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    count = F.coalesce(F.size("gone"), F.lit(0))
-    return rows.select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(count).alias("n_removed"), left.alias("text"))
+    out = _rest(rows, removals(rows, percent), "doc_row", "gone", "cut")
+    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    return out.select("doc_id", count("cut").alias("n_lines"), count("gone").alias("n_removed"), "text")
