@@ -133,6 +133,12 @@ def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         a = min(b, len(col))
 
 
+def spread(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places begins[i], begins[i] + 1, ..., counts[i] of them each, one after another."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - (ends - counts), counts)
+
+
 class Words:
     """Byte classes of a word rule: lower-cases A-Z; bytes in separators part the words."""
 

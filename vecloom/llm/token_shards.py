@@ -7,9 +7,10 @@ unary; every SAMPLE-th one's place is kept, so that select finds an offset witho
 Documents are dealt out by ranges of doc_id and sorted, so the images, in order of (part, seq), hold them in ascending order. Images are
 written by Spark as rows of a Parquet table in the shared folder, about SHARD_IDS ids each, and read back from there.
 
-Texts are cut where a blank and a word begin - always an end of a pre-token of byte-level BPE - and the encodings of the cuts are kept,
-CACHE of them and PARTS pre-tokens at most; the tokenizers library encodes what is not there. A null text is an empty text: just the end id. Null ids come
-first and stay null. Repeated rows are encoded each. An empty table has no shards.
+Texts are cut where a blank and a word begin and at line ends - always an end of a pre-token of byte-level BPE. Each distinct cut of SLICE
+text bytes is looked up once, among CACHE encodings that are kept; the tokenizers library encodes what is not there. A null text is an
+empty text: just the end id. Null ids come first and stay null. Repeated rows are encoded each. An empty table has no shards. Columns
+besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -21,19 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import slices, stash
+from vecloom.llm.common import slices, spread, stash, text_bytes
 
 MAGIC, SAMPLE = b"VLTS\x01\x00\x00\x00", 64
-SHARD_IDS, CACHE, PARTS = 1 << 20, 600_000, 1_000_000
+SHARD_IDS, CACHE, SLICE = 1 << 20, 500_000, 1 << 22
 END_ID = 0
-#: Cuts texts before each blank.
-MARK = "\0 "
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-_ODD, _CUT = re.compile(r" (?:\s|$)"), re.compile(r"(?= \S)")
+_GRAPH = np.zeros(256, bool)
+_GRAPH[33:127] = True
+#: Bytes that begin a character which is no white space: white space beyond ASCII begins with C2, E1, E2 or E3.
+_SOLID = _GRAPH.copy()
+_SOLID[0xC3:] = True
+_SOLID[[0xE1, 0xE2, 0xE3]] = False
 
 
 class EliasFano:
@@ -127,8 +132,18 @@ def pre_tokens(piece: str) -> list[str]:
     return _PRE.findall(piece)
 
 
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Whether each byte begins a piece: a blank before what is surely no white space, a line end after a mark or letter of ASCII, and what
+    is surely no white space after a line end. Byte-level BPE ends a pre-token at each of them."""
+    out = np.zeros(len(raw), bool)
+    solid, line = _SOLID[raw], raw == 10
+    out[:-1] |= (raw[:-1] == 32) & solid[1:]
+    out[1:] |= line[1:] & _GRAPH[raw[:-1]] | line[:-1] & solid[1:]
+    return out
+
+
 class Encoder:
-    """Ids of texts as bytes, with a bounded memory of pieces."""
+    """Ids of texts, with a bounded memory of pieces."""
 
     def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
@@ -144,58 +159,54 @@ class Encoder:
         self.at_added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.pieces) > CACHE:
+    def _learn(self, used: list[bytes], missing: list[bytes]) -> None:
+        if len(self.pieces) > CACHE:  # what this call needs of the old pieces stays
+            own = {p: self.pieces[p] for p in set(used).difference(missing)}
             self.pieces.clear()
-        if len(self.parts) > PARTS:
-            self.parts.clear()
-        whole = {p for p in missing if p[p[0] == " " :].isalpha()}
-        split = {p: pre_tokens(p) for p in missing - whole}
-        new = list(whole.union(*split.values()).difference(self.parts))
-        if new:  # one call for all: each stays a pre-token of its own
-            e = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
-            at = (np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1)) * self.width).tolist()
-            raw = np.array(e.ids, self.kind).tobytes()
-            self.parts.update(zip(new, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
-        get = self.parts.__getitem__
-        self.pieces.update(zip(whole, map(get, whole), strict=True))
-        for p, parts in split.items():
-            self.pieces[p] = b"".join(map(get, parts))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        some = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
-        if not some:
-            return self._encode(texts)
-        parts = [self.at_added.split(t) if i in some else [t] for i, t in enumerate(texts)]  # every second is an added token
-        plain = iter(self._encode([x for p in parts for x in p[::2]]))
-        token = {t: np.array([i], self.kind).tobytes() for t, i in self.added.items()}
-        return [b"".join(token[x] if j % 2 else next(plain) for j, x in enumerate(p)) for p in parts]
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            if not t:
-                cut.append([])
-            elif _ODD.search(t):
-                cut.append(_CUT.split(t))
-            else:
-                # the mark is no character of a piece's end: a text that has it is cut by the pattern
-                cut.append(t.replace(" ", MARK).split("\0") if "\0" not in t else _CUT.split(t))
-            if cut[-1] and not cut[-1][0]:  # a text that begins with a blank and a word
-                del cut[-1][0]
-        kept = self.pieces
-        used = set().union(*cut)
-        missing = used.difference(kept)
+            self.pieces.update(own)
+        split = [pre_tokens(p.decode()) for p in missing]
+        new = list({x for parts in split for x in parts})
+        # one call for all: each stays a pre-token of its own
+        e = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
+        at = (np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1)) * self.width).tolist()
+        raw = np.array(e.ids, self.kind).tobytes()
+        ids = dict(zip(new, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
+        for p, parts in zip(missing, split, strict=True):
+            self.pieces[p] = ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts))
+
+    def encode_all(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, their number by text)"""
+        text = text.fill_null("")
+        if not any(pc.any(pc.match_substring(text, t)).as_py() for t in self.added):
+            return self._plain(text)
+        parts = [self.at_added.split(t) for t in text.to_pylist()]  # every second is an added token
+        flat, n = self._plain(pa.array([x for p in parts for x in p[::2]], pa.string()))
+        between = iter(np.split(flat, np.cumsum(n)[:-1]))
+        own = [[np.array([self.added[x]], flat.dtype) if j % 2 else next(between) for j, x in enumerate(p)] for p in parts]
+        return np.concatenate([x for p in own for x in p]), np.array([sum(map(len, p)) for p in own])
+
+    def _plain(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, at = text_bytes(text)
+        counts = np.zeros(len(text), np.int64)
+        if not len(raw):
+            return np.zeros(0, self.kind), counts
+        some = np.diff(at) > 0
+        begin = cuts(raw)
+        begin[at[:-1][some]] = True
+        start = np.flatnonzero(begin)
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(start, len(raw)).astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        used = pieces.dictionary.to_pylist()
+        missing = [p for p in used if p not in self.pieces]
         if missing:
-            if len(kept) > CACHE:  # what this call needs of the old pieces stays
-                own = {p: kept[p] for p in used - missing}
-                kept.clear()
-                kept.update(own)
-            self._learn(missing)
-        return [b"".join(map(kept.__getitem__, pieces)) for pieces in cut]
+            self._learn(used, missing)
+        ids = list(map(self.pieces.__getitem__, used))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        which = pieces.indices.to_numpy()
+        n = size[which]
+        counts[some] = np.add.reduceat(n, np.searchsorted(start, at[:-1][some]))
+        return np.frombuffer(b"".join(ids), self.kind)[spread((np.cumsum(size) - size)[which], n)], counts
 
 
 IMAGES = "part int, seq int, docs long, ids long, image binary"
@@ -208,26 +219,28 @@ def encoded(docs: DataFrame, tokenizer: str, added: bool = False) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer, added)
-        end = np.array([END_ID], enc.kind).tobytes()
-        seq, part = 0, None
-        ids, parts, ends, size = [], [], [], 0
+        seq, part, ids, flats, sizes = 0, None, [], [], []
 
         def flush() -> pa.RecordBatch:
-            blob = image(ids, np.array(ends), b"".join(parts), enc.width)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "docs": [len(ids)], "ids": [size], "image": [blob]})
+            flat, ends = np.concatenate(flats), np.cumsum(np.concatenate(sizes))
+            blob = image([x for d in ids for x in d.to_pylist()], ends, flat.tobytes(), enc.width)
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "docs": [len(ends)], "ids": [len(flat)], "image": [blob]})
 
         for batch in batches:
-            for a, b in slices(batch.column(2)):
-                for d, raw in zip(batch.column(1).slice(a, b - a).to_pylist(), enc.encode(batch.column(2).slice(a, b - a).to_pylist()), strict=True):
-                    part = batch.column(0)[0].as_py()
-                    ids.append(d)
-                    parts.append(raw + end)
-                    size += len(parts[-1]) // enc.width
-                    ends.append(size)
-                    if size >= SHARD_IDS:
-                        yield flush()
-                        seq += 1
-                        ids, parts, ends, size = [], [], [], 0
+            for a, b in slices(batch.column(2), SLICE):
+                part = batch.column(0)[0].as_py()
+                got, n = enc.encode_all(batch.column(2).slice(a, b - a))
+                flat = np.full(len(got) + len(n), END_ID, enc.kind)
+                own = np.ones(len(flat), bool)
+                own[np.cumsum(n + 1) - 1] = False
+                flat[own] = got
+                ids.append(batch.column(1).slice(a, b - a))
+                flats.append(flat)
+                sizes.append(n + 1)
+                if sum(map(len, flats)) >= SHARD_IDS:
+                    yield flush()
+                    seq += 1
+                    ids, flats, sizes = [], [], []
         if ids:
             yield flush()
 
@@ -261,8 +274,8 @@ def read_documents(images: DataFrame) -> DataFrame:
         for batch in batches:
             for part, seq, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = Shard(raw)
-                ends = s.ends.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                ends = np.array([s.ends.select(i) for i in range(s.ends.n)], np.int64)
+                starts = np.concatenate([[0], ends[:-1]])
                 wide = s.ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 n = len(ends)
