@@ -3,7 +3,7 @@
 A document descends region, rack and shard. At each node every child draws -ln(u) / weight, with u from a hash of the document's
 id and the child's name, and the least draw wins; a node's weight is the sum of its shards'. A change of weights inside one subtree
 changes draws on the path to it only, so rows move into or out of that subtree and between no others. A tree grows by a new region of one
-rack and one shard: only draws of the root change, and rows move into the new shard alone.
+rack and one shard, and shards are never regrouped: only draws of the root change, and rows move into the new shard alone.
 
 Law: key. Nulls: a null text has size 1 and the checksum of no bytes; null ids draw as the text "null". Equal ids go to
 one shard; repeated rows get slots of their own, in an order that among equal rows is arbitrary. An empty table gives no rows.
@@ -36,23 +36,29 @@ class Node:
         return sum(c.weight for c in self.children) if self.children else self.own
 
 
-def tree(shards: int, racks: int = 2, per_rack: int = 4, weights: dict[int, float] | None = None) -> Node:
-    """Regions of racks x per_rack shards; what doesn't fill a region gets a region a shard."""
+def tree(shards: int, base: int = 0, racks: int = 2, per_rack: int = 4, weights: dict[int, float] | None = None) -> Node:
+    """The first base shards, a multiple of racks x per_rack, are in regions of so many from the start; each later one has a region of
+    its own for ever. So with one base, a tree of n + 1 shards is the grown tree of n."""
     w = weights or {}
+    size = racks * per_rack
+    if base % size or not base <= shards or shards < 1:
+        raise ValueError(f"{shards} shards on a base of {base}, which is to be a multiple of {size}")
     leaf = lambda s: Node(f"s{s}", (), s, w.get(s, 1.0))
-    size, regions = racks * per_rack, []
-    for g in range(shards // size):
+    regions = []
+    for g in range(base // size):
         own = [Node(f"g{g}k{k}", tuple(leaf(g * size + k * per_rack + i) for i in range(per_rack))) for k in range(racks)]
         regions.append(Node(f"g{g}", tuple(own)))
-    for s in range(shards // size * size, shards):
-        regions.append(Node(f"x{s}", (Node(f"x{s}k", (leaf(s),)),)))
-    return Node("root", tuple(regions))
+    return Node("root", (*regions, *(_alone(s, w.get(s, 1.0)) for s in range(base, shards))))
+
+
+def _alone(s: int, weight: float) -> Node:
+    return Node(f"x{s}", (Node(f"x{s}k", (Node(f"s{s}", (), s, weight),)),))
 
 
 def grow(root: Node, weight: float = 1.0) -> Node:
     """One more shard, in a region of its own."""
     s = 1 + max(x.shard for g in root.children for k in g.children for x in k.children)
-    return Node(root.name, (*root.children, Node(f"x{s}", (Node(f"x{s}k", (Node(f"s{s}", (), s, weight),)),))))
+    return Node(root.name, (*root.children, _alone(s, weight)))
 
 
 def _unit(key: Column, name: str) -> Column:
@@ -60,24 +66,28 @@ def _unit(key: Column, name: str) -> Column:
     return (head + F.lit(0.5)) / F.lit(float(1 << BITS))
 
 
+def _alone_in(node: Node) -> Node:
+    """The node, or the shard under it if there is but one way down."""
+    return _alone_in(node.children[0]) if len(node.children) == 1 else node
+
+
 def _pick(key: Column, children: tuple) -> Column:
-    """Name of the child that wins."""
+    """Name of the child that wins, or of the only shard under it."""
     if len(children) == 1:
-        return F.lit(children[0].name)
-    return F.array_min(F.array(*[F.struct((-F.ln(_unit(key, c.name)) / F.lit(float(c.weight))).alias("d"), F.lit(c.name).alias("n")) for c in children]))["n"]
+        return F.lit(_alone_in(children[0]).name)
+    return F.array_min(F.array(*[F.struct((-F.ln(_unit(key, c.name)) / F.lit(float(c.weight))).alias("d"), F.lit(_alone_in(c).name).alias("n")) for c in children]))["n"]
 
 
 def place(df: DataFrame, root: Node, key: Column, out: str) -> DataFrame:
     """df with an int column out: the shard of each row. One column a level, so that a row draws on its own path only."""
     df = df.withColumn("_at", _pick(key, root.children))
-    level = root.children
-    while level[0].children:
-        step = None
+    level = [n for c in root.children if (n := _alone_in(c)).children]
+    while level:
+        step = F.col("_at")
         for n in level:
-            hit = F.col("_at") == n.name
-            step = F.when(hit, _pick(key, n.children)) if step is None else step.when(hit, _pick(key, n.children))
+            step = F.when(F.col("_at") == n.name, _pick(key, n.children)).otherwise(step)
         df = df.withColumn("_at", step)
-        level = tuple(c for n in level for c in n.children)
+        level = [m for n in level for c in n.children if (m := _alone_in(c)).children]
     return df.withColumn(out, F.substring("_at", 2, 20).cast("int")).drop("_at")
 
 
