@@ -73,15 +73,15 @@ def canonical_line(line: Column) -> Column:
 
 
 def units(docs: DataFrame, key: str) -> DataFrame:
-    """(key, line_no, form): the text (line_no null) and its lines from 0, in canonical form, without empty ones."""
-    lines = F.transform(F.split("text", "\n", -1), canonical_line)
-    forms = docs.select(key, lines.alias("lines"))
-    full = F.concat_ws(" ", F.filter("lines", lambda x: x != ""))
-    several = F.size(F.filter("lines", lambda x: x != "")) > 1
+    """(key, line_no, form): the text (line_no null) and its lines from 0, in canonical form, without empty ones. Linear in the lines."""
+    forms = docs.select(key, F.transform(F.split("text", "\n", -1), canonical_line).alias("lines"))
+    # used twice below, so that they are columns and not made anew for each line
+    kept = forms.select(key, "lines", F.array_remove("lines", "").alias("kept"))
+    several = kept.select(key, "lines", (F.size("kept") > 1).alias("several"), F.when(F.size("kept") > 1, F.concat_ws(" ", "kept")).alias("whole"))
+    rows = several.select(key, "several", "whole", F.posexplode(F.array_append("lines", F.col("whole"))).alias("line_no", "form"), F.size("lines").alias("n"))
     # a text of one line is that line; it counts once, as the text
-    of_lines = F.transform("lines", lambda x, i: F.struct(F.when(several, i).alias("line_no"), x.alias("form")))
-    both = F.when(several, F.array_append(of_lines, F.struct(F.lit(None).cast("int").alias("line_no"), full.alias("form")))).otherwise(of_lines)
-    return forms.select(key, F.inline(both)).where("form <> ''")
+    line_no = F.when(F.col("several") & (F.col("line_no") < F.col("n")), F.col("line_no"))
+    return rows.where("form <> ''").select(key, line_no.alias("line_no"), "form")
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
