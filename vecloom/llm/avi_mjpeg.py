@@ -4,10 +4,12 @@ A payload is padded with bytes 255 to frames of 576 bytes, 24 x 24 units: 9 bloc
 coefficient, whose coding loses nothing, so byte b is stored as a coefficient 256 + b; of a block's DC, whose differences are
 stored, as a difference of 256 + b with alternating sign. All have the one size category 9, so the frame's own Huffman tables hold a
 single code and each unit takes 10 bits: frames are ordinary baseline JPEG, and whole batches of them are packed and unpacked by
-array operations. Frames of other tables are decoded bit by bit.
+array operations. Any other baseline frame, of any size, sampling and tables, is decoded symbol by symbol, dequantised and transformed to
+samples (Frame); those that bring no Huffman tables have the standard's.
 
-Shots are found where the difference of the unit histograms of adjacent frames is over the mean of the WINDOW differences before by
-SIGMAS deviations and LEAST. A text's feature names its frames, shots and cuts.
+Shots are found where the difference of the histograms of adjacent frames is over the mean of the WINDOW differences before by
+SIGMAS deviations and LEAST: histograms of the stored units for payloads, of the decoded brightness for other films (films). A
+text's feature names its frames, shots and cuts; its clips are the shots' times.
 
 A null text is an empty one: one frame of padding. Equal texts have equal values; repeated rows and null ids are kept. Columns
 besides doc_id and text are not read.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import slices
@@ -139,85 +141,207 @@ def frames_of(media: bytes) -> list[bytes]:
     return out
 
 
-def coefficients(jpeg: bytes) -> np.ndarray:
-    """(blocks, 64) quantised coefficients in stored order of a baseline frame with one component, by any Huffman tables."""
-    at, tables, restart, found = 2, {}, 0, None
-    while at < len(jpeg):
-        marker, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
-        body = jpeg[at + 4 : at + 2 + size]
-        at += 2 + size
-        if marker == 0xC4:
-            while body:
-                code, k, codes = 0, 17, {}
-                for bits in range(1, 17):
-                    for _ in range(body[bits]):
-                        codes[bits, code] = body[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                tables[body[0]], body = codes, body[k:]
-        elif marker == 0xC0:
-            _, height, width, parts = struct.unpack_from(">BHHB", body)
-            if parts != 1:
-                raise ValueError("one component is supported")
-            found = -(-height // 8) * -(-width // 8)
-        elif marker == 0xDD:
-            restart = struct.unpack(">H", body)[0]
-        elif marker == 0xDA:
-            dc, ac = tables[body[2] >> 4], tables[0x10 | body[2] & 15]
-            break
-        elif marker in (0xC1, 0xC2, 0xC3):
-            raise ValueError("baseline frames only")
-    data, marks = bytearray(), []
-    while at < len(jpeg):
-        if jpeg[at] == 0xFF:
-            nxt = jpeg[at + 1]
-            if 0xD0 <= nxt <= 0xD7:
-                marks.append(len(data) * 8)
-            elif nxt:
+# Fixed values of the JPEG standard: the tables of frames that bring none (numbers of codes by length, then the symbols), and the order
+# in which a block's coefficients are stored.
+_REST = [16 * a + b for a in range(16) for b in range(1, 11)]
+STANDARD = {
+    0x00: ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], list(range(12))),
+    0x01: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], list(range(12))),
+    0x10: (
+        [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125],
+        [
+            0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 0x08,
+            0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82, 0x09, 0x0A,
+        ],
+    ),
+    0x11: (
+        [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119],
+        [
+            0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 0x08, 0x14, 0x42, 0x91,
+            0xA1, 0xB1, 0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1,
+        ],
+    ),
+}
+for _table in (0x10, 0x11):  # the other symbols follow in ascending order
+    _head = STANDARD[_table][1]
+    STANDARD[_table] = (STANDARD[_table][0], _head + [x for x in _REST if x not in _head])
+#: Row and column of each stored coefficient: along the diagonals, in turn down and up.
+ZIGZAG = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (sum(x), x[0] if sum(x) % 2 else x[1]))
+_AT = np.array([8 * r + c for r, c in ZIGZAG])
+#: Basis of the cosine transform: samples by frequency.
+_COSINES = np.cos((2 * np.arange(8)[:, None] + 1) * np.arange(8) * np.pi / 16) / 2 * np.where(np.arange(8) == 0, np.sqrt(0.5), 1.0)
+
+
+def _codes(counts: list[int], symbols: list[int]) -> list[tuple[int, int]]:
+    """(symbol, bits) by the next 16 bits; bits 0 where no code begins so."""
+    out, code, k = [(0, 0)] * 65536, 0, 0
+    for bits in range(1, 17):
+        for _ in range(counts[bits - 1]):
+            first = code << (16 - bits)
+            out[first : first + (1 << (16 - bits))] = [(symbols[k], bits)] * (1 << (16 - bits))
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
+
+_tables: dict[tuple, list] = {}
+
+
+def _table_of(counts: list[int], symbols: list[int]) -> list[tuple[int, int]]:
+    """Frames of one film share their tables; few are kept."""
+    key = (tuple(counts), tuple(symbols))
+    if key not in _tables:
+        if len(_tables) >= 16:
+            _tables.clear()
+        _tables[key] = _codes(counts, symbols)
+    return _tables[key]
+
+
+class Frame:
+    """A baseline JPEG frame: its components, each with sampling factors (h, v), quantiser and coefficients (rows, columns, 64) in stored order."""
+
+    def __init__(self, jpeg: bytes):
+        self.parts: list[dict] = []
+        quantisers: dict[int, np.ndarray] = {}
+        tables = {k: _table_of(*v) for k, v in STANDARD.items()}
+        at, restart = 2, 0
+        while True:
+            while jpeg[at] == 0xFF and jpeg[at + 1] == 0xFF:
+                at += 1
+            if at + 4 > len(jpeg) or jpeg[at] != 0xFF:
+                raise ValueError("not a JPEG frame")
+            marker, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
+            body = jpeg[at + 4 : at + 2 + size]
+            at += 2 + size
+            if marker == 0xDB:
+                while body:
+                    wide = body[0] >> 4
+                    quantisers[body[0] & 15] = np.frombuffer(body, ">u2" if wide else "u1", 64, 1).astype(np.int32)
+                    body = body[1 + 64 * (wide + 1) :]
+            elif marker == 0xC4:
+                while body:
+                    n = sum(body[1:17])
+                    tables[body[0]] = _table_of(list(body[1:17]), list(body[17 : 17 + n]))
+                    body = body[17 + n :]
+            elif marker == 0xC0:
+                depth, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+                if depth != 8 or not self.height or not self.width:
+                    raise ValueError("frames have 8 bits a sample and a size")
+                self.parts = [{"id": body[6 + 3 * i], "h": body[7 + 3 * i] >> 4, "v": body[7 + 3 * i] & 15, "q": body[8 + 3 * i]} for i in range(n)]
+            elif marker == 0xDD:
+                restart = struct.unpack(">H", body)[0]
+            elif marker == 0xDA:
                 break
-            else:
-                data.append(0xFF)
-            at += 2
-            continue
-        data.append(jpeg[at])
-        at += 1
-    bits = np.unpackbits(np.frombuffer(bytes(data), np.uint8)).tolist()
-    pos, last = 0, 0
-    out = np.zeros((found, 64), np.int32)
-
-    def symbol(codes: dict) -> int:
-        nonlocal pos
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | bits[pos]
-            pos += 1
-            if (n, code) in codes:
-                return codes[n, code]
-        raise ValueError("no such code")
-
-    def value(n: int) -> int:
-        nonlocal pos
-        v = 0
-        for b in bits[pos : pos + n]:
-            v = v << 1 | b
-        pos += n
-        return v if not n or v >> (n - 1) else v - (1 << n) + 1
-
-    for b in range(found):
-        if restart and b and b % restart == 0:
-            pos, last = marks[b // restart - 1], 0
-        last += value(symbol(dc))
-        out[b, 0] = last
-        k = 1
-        while k < 64:
-            s = symbol(ac)
-            if s == 0:
+            elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                raise ValueError("baseline frames only")
+        if not self.parts or body[0] != len(self.parts):
+            raise ValueError("one scan of all components is supported")
+        for p in self.parts:
+            p["dc"], p["ac"] = next((tables[body[2 + 2 * i] >> 4], tables[0x10 | body[2 + 2 * i] & 15]) for i in range(body[0]) if body[1 + 2 * i] == p["id"])
+            p["quantiser"] = quantisers[p["q"]]
+        self._scan(jpeg[at:], restart)
+
+    def _scan(self, data: bytes, restart: int) -> None:
+        most_h, most_v = max(p["h"] for p in self.parts), max(p["v"] for p in self.parts)
+        if len(self.parts) == 1:  # blocks in rows, whatever the factors
+            self.parts[0] |= {"h": 1, "v": 1}
+            most_h = most_v = 1
+        across, down = -(-self.width // (8 * most_h)), -(-self.height // (8 * most_v))
+        for p in self.parts:
+            p["blocks"] = np.zeros((down * p["v"], across * p["h"], 64), np.int32)
+        runs, pieces, at = [], [], 0
+        while True:  # the coded bytes up to each restart mark or the end
+            mark = data.find(b"\xff", at)
+            if mark < 0 or mark + 1 >= len(data):
+                pieces.append(data[at:])
                 break
-            k += s >> 4
-            if s & 15:
-                out[b, k] = value(s & 15)
-            k += 1
-    return out
+            nxt = data[mark + 1]
+            pieces.append(data[at : mark + 1] if nxt == 0 else data[at:mark])
+            at = mark + 2
+            if nxt and nxt != 0xFF:
+                runs.append(b"".join(pieces))
+                pieces = []
+                if not 0xD0 <= nxt <= 0xD7:
+                    break
+            elif nxt == 0xFF:
+                at -= 1
+        if pieces:
+            runs.append(b"".join(pieces))
+        units = across * down
+        each = restart or units
+        for r in range(-(-units // each)):
+            if r >= len(runs):
+                raise ValueError("the frame ends early")
+            self._run(runs[r], range(r * each, min(units, (r + 1) * each)), across)
+
+    def _run(self, raw: bytes, units: range, across: int) -> None:
+        raw, pos, end = raw + b"\xff" * 8, 0, 8 * len(raw)
+        last = [0] * len(self.parts)
+
+        def peek() -> int:
+            return int.from_bytes(raw[pos >> 3 : (pos >> 3) + 3], "big") >> (8 - (pos & 7)) & 0xFFFF
+
+        def value(n: int) -> int:
+            nonlocal pos
+            v = int.from_bytes(raw[pos >> 3 : (pos >> 3) + 3], "big") >> (24 - (pos & 7) - n) & ((1 << n) - 1)
+            pos += n
+            return v if v >> (n - 1) else v - (1 << n) + 1
+
+        for u in units:
+            for k, p in enumerate(self.parts):
+                dc, ac = p["dc"], p["ac"]
+                for i in range(p["h"] * p["v"]):
+                    out = p["blocks"][u // across * p["v"] + i // p["h"], u % across * p["h"] + i % p["h"]]
+                    s, bits = dc[peek()]
+                    pos += bits
+                    if s:
+                        last[k] += value(s)
+                    out[0] = last[k]
+                    c = 1
+                    while c < 64:
+                        s, bits = ac[peek()]
+                        pos += bits
+                        if not bits:
+                            raise ValueError("no such code")
+                        if s == 0:
+                            break
+                        c += s >> 4
+                        if s & 15:
+                            if c > 63:
+                                raise ValueError("a block of more than 64 coefficients")
+                            out[c] = value(s & 15)
+                        c += 1
+                    if pos > end:
+                        raise ValueError("the frame ends early")
+
+    def samples(self) -> list[np.ndarray]:
+        """Each component's samples (rows, columns), 0 to 255: dequantised, transformed, shifted by 128 and clipped."""
+        out = []
+        most_h, most_v = max(p["h"] for p in self.parts), max(p["v"] for p in self.parts)
+        for p in self.parts:
+            freq = np.zeros(p["blocks"].shape)
+            freq[..., _AT] = p["blocks"] * p["quantiser"]
+            x = _COSINES @ freq.reshape(*freq.shape[:2], 8, 8) @ _COSINES.T
+            x = np.clip(np.rint(x) + 128, 0, 255).astype(np.uint8)
+            rows, columns = x.shape[:2]
+            full = x.transpose(0, 2, 1, 3).reshape(8 * rows, 8 * columns)
+            out.append(full[: -(-self.height * p["v"] // most_v), : -(-self.width * p["h"] // most_h)])
+        return out
+
+
+def coefficients(jpeg: bytes) -> np.ndarray:
+    """(blocks, 64) quantised coefficients, in stored order, of a frame's first component (brightness)."""
+    return Frame(jpeg).parts[0]["blocks"].reshape(-1, 64)
+
+
+def histogram(samples: np.ndarray) -> np.ndarray:
+    """HIST_BINS counts, as shares of all."""
+    return np.bincount(samples.ravel() >> 4, minlength=HIST_BINS) / max(1, samples.size)
+
+
+def shots(media: bytes) -> np.ndarray:
+    """The frames, from 1, that begin a new shot of any AVI file of motion JPEG, by the brightness of its decoded frames."""
+    return changes(np.array([histogram(Frame(f).samples()[0]) for f in frames_of(media)]).reshape(-1, HIST_BINS))
 
 
 def units(frames: list[bytes]) -> np.ndarray:
@@ -229,20 +353,27 @@ def units(frames: list[bytes]) -> np.ndarray:
             return unpack(raw)
     out = []
     for f in frames:
-        c = coefficients(f)
+        c = coefficients(f).copy()
+        if c.shape != (BLOCKS, 64):
+            raise ValueError(f"a payload's frames are {SIDE} x {SIDE}")
         c[1:, 0] = np.diff(c[:, 0])
         out.append((np.abs(c) - 256).astype(np.uint8).reshape(FRAME))
     return np.array(out, np.uint8).reshape(-1, FRAME)
 
 
 def cuts(frames: np.ndarray) -> np.ndarray:
-    """Frames, from 1, that begin a new shot."""
+    """Frames, from 1, that begin a new shot of stored units (frames, 576)."""
     n = len(frames)
-    if n < 2:
-        return np.zeros(0, np.int64)
     flat = (frames >> 4).astype(np.int64) + np.arange(n)[:, None] * HIST_BINS
-    hist = np.bincount(flat.ravel(), minlength=n * HIST_BINS).reshape(n, HIST_BINS)
-    d = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * frames.shape[1])
+    return changes(np.bincount(flat.ravel(), minlength=n * HIST_BINS).reshape(n, HIST_BINS) / max(1, frames.shape[1]))
+
+
+def changes(hist: np.ndarray) -> np.ndarray:
+    """Frames, from 1, whose histogram differs from the one before by more than the mean of the WINDOW differences before by SIGMAS
+    deviations and LEAST."""
+    if len(hist) < 2:
+        return np.zeros(0, np.int64)
+    d = np.abs(np.diff(hist, axis=0)).sum(1) / 2
     one, two = (np.concatenate([[0], np.cumsum(x)]) for x in (d, d * d))
     i = np.arange(len(d))
     lo = np.maximum(0, i - WINDOW)
@@ -292,9 +423,34 @@ def read_back(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(scan, READ)
 
 
+def films(media: DataFrame) -> DataFrame:
+    """(doc_id, cuts, frames, fps) of any AVI files of motion JPEG (doc_id, media): decoded frame by frame; null for a null file."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):  # a file at a time
+                m = batch.column(1)[i].as_py()
+                found = (None, None, None) if m is None else (shots(m).tolist(), len(frames_of(m)), frame_rate(m))
+                kinds = (pa.list_(pa.int32()), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([x], k) for x, k in zip(found, kinds, strict=True))], ["doc_id", "cuts", "frames", "fps"])
+
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(scan, "doc_id long, cuts array<int>, frames int, fps double")
+
+
+def frame_rate(media: bytes) -> float:
+    """Frames a second, by the main header."""
+    at = media.find(b"avih")
+    step = struct.unpack_from("<I", media, at + 8)[0] if at >= 0 else 0
+    return 1e6 / step if step else float(FPS)
+
+
+def timed(fps=FPS) -> Column:
+    """Of a row with cuts and frames: the clips, an array of (start_s, end_s)."""
+    starts, ends = F.concat(F.array(F.lit(0)), "cuts"), F.concat("cuts", F.array("frames"))
+    return F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda t: F.struct((t["s"] / fps).alias("start_s"), (t["e"] / fps).alias("end_s")))
+
+
 def clips(read: DataFrame) -> DataFrame:
-    """(doc_id, clip, start_s, end_s): a row a shot."""
-    starts = F.concat(F.array(F.lit(0)), "cuts")
-    ends = F.concat("cuts", F.array("frames"))
-    rows = read.select("doc_id", F.posexplode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("clip", "t"))
-    return rows.select("doc_id", "clip", (F.col("t.s") / FPS).alias("start_s"), (F.col("t.e") / FPS).alias("end_s"))
+    """(doc_id, clip, start_s, end_s): a row a shot of rows with cuts and frames (and fps, else FPS)."""
+    rows = read.where("frames > 0").select("doc_id", F.posexplode(timed(F.col("fps") if "fps" in read.columns else FPS)).alias("clip", "t"))
+    return rows.select("doc_id", "clip", "t.start_s", "t.end_s")

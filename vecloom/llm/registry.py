@@ -55,11 +55,12 @@ def op8_token_shards(spark, d):
 
 
 def op9_avi_mjpeg(spark, d):
-    return avi_mjpeg.read_back(avi_mjpeg.stored(load(spark, d, "documents"))).drop("cuts", "frames")
+    """Stored forms read back; clips are the timed shots."""
+    return avi_mjpeg.read_back(avi_mjpeg.stored(load(spark, d, "documents"))).withColumn("clips", avi_mjpeg.timed()).drop("cuts", "frames")
 
 
 def op10_shard_tree(spark, d):
-    return shard_tree.sharded(load(spark, d, "documents"), shard_tree.tree(SHARDS))
+    return shard_tree.sharded(load(spark, d, "documents"), shard_tree.tree(SHARDS, base=SHARDS))
 
 
 def pipeline(spark, d):
@@ -82,5 +83,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": licenses.license_hits_sql(),
         "op7_decontaminate": decontaminate.contained_sql(),
-        "op10_shard_tree": shard_tree.sharded_sql(shard_tree.tree(SHARDS)),
+        "op10_shard_tree": shard_tree.sharded_sql(shard_tree.tree(SHARDS, base=SHARDS)),
     }
