@@ -12,21 +12,32 @@ from vecloom.functions import kernels
 from vecloom.operators.topk import top_k
 
 KNN_SCHEMA = "qid long, vec_id long, dist double"
-#: Queries held by each task at once; larger query sets take several passes.
-QUERY_BLOCK = 4096
+#: Bytes of queries (and of what a search derives from them) that each task holds at once; larger query sets take several passes.
+QUERY_BYTES = 1 << 26
 
 
-def collect_queries(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (ids, matrix), so that neither the driver nor a task holds more than QUERY_BLOCK queries."""
-    ids, rows = [], []
+def collect_queries(queries: DataFrame, row_bytes: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (ids, matrix), so that neither the driver nor a task holds more than QUERY_BYTES; row_bytes is for one query, its
+    vector if not given."""
+    ids, rows, block = [], [], 1
     for r in queries.select("qid", "embedding").toLocalIterator():
+        if r[1] is None or (rows and len(r[1]) != len(rows[0])):
+            raise ValueError("queries are null or of several lengths")
         ids.append(r[0])
         rows.append(r[1])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(rows, dtype=np.float64)
+        block = max(1, QUERY_BYTES // (row_bytes or 8 * max(1, len(r[1]))))
+        if len(ids) == block:
+            yield _block(ids, rows)
             ids, rows = [], []
     if ids:
-        yield np.array(ids), np.array(rows, dtype=np.float64)
+        yield _block(ids, rows)
+
+
+def _block(ids: list, rows: list) -> tuple[np.ndarray, np.ndarray]:
+    q = np.array(rows, dtype=np.float64)
+    if None in ids or np.isnan(q).any():
+        raise ValueError("queries have null ids, null or NaN")
+    return np.array(ids, np.int64), q
 
 
 def union_blocks(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
@@ -42,12 +53,9 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     for qids, q in collect_queries(queries):
 
         def scan(batches: Iterator[pa.RecordBatch], qids=qids, q=q) -> Iterator[pa.RecordBatch]:
-            best = kernels.TopK([int(x) for x in qids], k)
+            best = kernels.TopK(qids, k)
             for b in batches:
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                d = kernels.distances(kernels.matrix(b.column(1), q.shape[1]), q)
-                for i, qid in enumerate(qids):
-                    best.add(int(qid), ids, d[:, i])
+                best.add_rows(b.column(0).to_numpy(zero_copy_only=False), kernels.matrix(b.column(1), q.shape[1]), q)
             yield best.batch()
 
         parts.append(vectors.select("vec_id", "embedding").mapInArrow(scan, KNN_SCHEMA))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vecloom.functions import kernels
 from vecloom.operators.exact import KNN_SCHEMA, collect_queries, union_blocks
 from vecloom.operators.kmeans import Model, assign, kmeans
-from vecloom.operators.pq import adc_luts, code_matrix, sdc_luts, table_sum
+from vecloom.operators.pq import code_matrix
 from vecloom.operators.topk import first_rows, top_k
 
 #: Rows of the learning set, if not given: all rows over this.
@@ -82,29 +82,82 @@ def probes(q: np.ndarray, coarse: Model, w: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :w]
 
 
+class Probed:
+    """The queries of each cell, and the distances of a cell's rows to them. A table for each query and cell would be queries x w x groups x
+    k numbers. With the query's own tables of scalar products instead, |q - c - f|^2 = |q - c|^2 + (|f|^2 + 2 c f) - 2 q f: the
+    second term is a row's, whatever the query."""
+
+    def __init__(self, q: np.ndarray, model: IvfModel, w: int, metric: str):
+        self.q, self.model, self.symmetric = q, model, metric == "sdc"
+        self.book, self.fine = model.coarse.centroids[0], model.fine.centroids
+        self.groups, self.width = self.fine.shape[0], self.fine.shape[2]
+        cells = probes(q, model.coarse, min(w, model.coarse.k)).ravel()
+        order = np.argsort(cells, kind="stable")
+        self.owners = np.repeat(np.arange(len(q)), len(cells) // max(1, len(q)))[order]
+        self.bounds = np.searchsorted(cells[order], np.arange(model.coarse.k + 1))
+        if self.symmetric:
+            self.table = np.stack([kernels.distances(c, c) for c in self.fine])
+        else:
+            self.squares = np.einsum("gkd,gkd->gk", self.fine, self.fine)
+            self.products = np.stack([self._part(q, g) @ self.fine[g].T for g in range(self.groups)], axis=1)
+
+    def _part(self, x: np.ndarray, g: int) -> np.ndarray:
+        return x[:, g * self.width : (g + 1) * self.width]
+
+    def rows(self, cell: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the queries that probe the cell, their distances to the rows)"""
+        at = self.owners[self.bounds[cell] : self.bounds[cell + 1]]
+        if not len(at):
+            return at, np.zeros((0, len(codes)))
+        rest = self.q[at] - self.book[cell]
+        out = np.zeros((len(at), len(codes)))
+        if self.symmetric:
+            for g in range(self.groups):
+                own = kernels.nearest(self._part(rest, g), self.fine[g])[0]
+                out += self.table[g][own][:, codes[:, g]]
+            return at, out
+        of_row = np.zeros(len(codes))
+        for g in range(self.groups):
+            of_row += (self.squares[g] + 2 * (self.fine[g] @ self.book[cell][g * self.width : (g + 1) * self.width]))[codes[:, g]]
+            out -= 2 * self.products[at, g][:, codes[:, g]]
+        return at, np.maximum(out + of_row + np.einsum("ij,ij->i", rest, rest)[:, None], 0.0)
+
+
 def ivf_search(codes: DataFrame, queries: DataFrame, model: IvfModel, k: int, w: int = 16, metric: str = "adc") -> DataFrame:
-    """(qid, rk, vec_id, dist). Only the probed cells are read; on a table stored by cell that prunes files."""
-    parts = []
-    kc = model.coarse.k
-    for qids, q in collect_queries(queries):
-        cells = probes(q, model.coarse, min(w, kc))
-        wanted: dict[int, list] = {}
-        for i, own in enumerate(cells):
-            rest = q[i] - model.coarse.centroids[0][own]
-            for cell, lut in zip(own, (adc_luts if metric == "adc" else sdc_luts)(rest, model.fine), strict=True):
-                wanted.setdefault(int(cell), []).append((int(qids[i]), lut))
-
-        def scan(batches: Iterator[pa.RecordBatch], wanted=wanted, qids=qids) -> Iterator[pa.RecordBatch]:
-            best = kernels.TopK([int(x) for x in qids], k)
+    """(qid, rk, vec_id, dist). Only the probed cells are read; on a table stored by cell that prunes files. Tasks get the queries and
+    make their tables; QUERY_BYTES bounds both."""
+    if metric not in ("adc", "sdc"):
+        raise ValueError(metric)
+    parts, every = [], codes.sparkSession.createDataFrame([], KNN_SCHEMA)
+    for qids, q in collect_queries(queries, 8 * model.fine.groups * model.fine.k):
+        if q.shape[1] != model.coarse.dim:
+            raise ValueError(f"queries have dimension {q.shape[1]}, the cells {model.coarse.dim}")
+        wanted = np.unique(probes(q, model.coarse, min(w, model.coarse.k)))
+
+        def scan(batches: Iterator[pa.RecordBatch], qids=qids, q=q) -> Iterator[pa.RecordBatch]:
+            probed, best = Probed(q, model, w, metric), kernels.TopK(qids, k)
             for b in batches:
                 ids, cell = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 own = code_matrix(b.column(2), model.fine.groups)
-                for c in np.unique(cell):
-                    at = np.flatnonzero(cell == c)
-                    for qid, lut in wanted.get(int(c), ()):
-                        best.add(qid, ids[at], table_sum(lut, own[at]))
+                order = np.argsort(cell, kind="stable")
+                found = []
+                for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                    if not len(rows):
+                        continue
+                    per_cell = max(1, int(np.diff(probed.bounds)[cell[rows[0]]]))
+                    for s in kernels.row_blocks(len(rows), per_cell):
+                        at, dist = probed.rows(int(cell[rows[0]]), own[rows[s]])
+                        if dist.size:
+                            found.append(best.candidates(at, ids[rows[s]], dist))
+                    if sum(len(f[0]) for f in found) > kernels.CELLS:
+                        best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                        found = []
+                if found:
+                    best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
             yield best.batch()
 
-        probed = codes.where(F.col("cell").isin(sorted(wanted)))
-        parts.append(probed.select("vec_id", "cell", "codes").mapInArrow(scan, KNN_SCHEMA))
-    return top_k(union_blocks(parts, codes.sparkSession.createDataFrame([], KNN_SCHEMA)), k)
+        probed = codes.select("vec_id", "cell", "codes")
+        if len(wanted) < model.coarse.k:
+            probed = probed.where(F.col("cell").isin(wanted.tolist()))
+        parts.append(probed.mapInArrow(scan, KNN_SCHEMA))
+    return top_k(union_blocks(parts, every), k)

@@ -1,7 +1,7 @@
 """Lloyd's k-means, for all groups of a product quantizer in one scan an iteration.
 
 Each task adds up its rows by (group, code) and emits at most groups x k rows, so an iteration shuffles sums, not vectors.
-The driver holds the centroids only (k x dimension numbers).
+The driver holds the centroids (k x dimension numbers), and learning sets of at most LOCAL_BYTES, which need no job an iteration.
 """
 
 from __future__ import annotations
@@ -46,20 +46,34 @@ class Model:
         return spark.createDataFrame(rows, "grp int, code int, centroid array<double>")
 
 
-def step(df: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes of vectors that are trained on in one process; more are scanned by Spark once an iteration.
+LOCAL_BYTES = 1 << 25
+
+
+def sums_of(batches: Iterator[np.ndarray], centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, counts, cost) by (group, code) of the rows of some matrices."""
+    m, k, width = centroids.shape
+    sums, n, cost = np.zeros((m, k, width)), np.zeros((m, k), np.int64), np.zeros((m, k))
+    for x in batches:
+        for g in range(m):
+            part = x[:, g * width : (g + 1) * width]
+            label, d = kernels.nearest(part, centroids[g])
+            n[g] += np.bincount(label, minlength=k)
+            cost[g] += np.bincount(label, weights=d, minlength=k)
+            for i in range(width):
+                sums[g, :, i] += np.bincount(label, weights=part[:, i], minlength=k)
+    return sums, n, cost
+
+
+def step(df: DataFrame | np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sums, counts, cost by group) of the rows under the given centroids."""
     m, k, width = centroids.shape
+    if isinstance(df, np.ndarray):
+        sums, n, cost = sums_of(iter([df]), centroids)
+        return sums, n, cost.sum(axis=1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n, cost = np.zeros((m, k, width)), np.zeros((m, k), np.int64), np.zeros((m, k))
-        for b in batches:
-            x = kernels.matrix(b.column(0), m * width)
-            for g in range(m):
-                part = x[:, g * width : (g + 1) * width]
-                label, d = kernels.nearest(part, centroids[g])
-                n[g] += np.bincount(label, minlength=k)
-                cost[g] += np.bincount(label, weights=d, minlength=k)
-                np.add.at(sums[g], label, part)
+        sums, n, cost = sums_of((kernels.matrix(b.column(0), m * width) for b in batches), centroids)
         g, c = np.nonzero(n)
         yield pa.RecordBatch.from_pydict(
             {"grp": g.astype(np.int32), "code": c.astype(np.int32), "n": n[g, c], "total": list(sums[g, c]), "cost": cost[g, c]},
@@ -76,6 +90,15 @@ def step(df: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return sums, n, cost
 
 
+def held(df: DataFrame, dim: int) -> DataFrame | np.ndarray:
+    """The vectors as a matrix, if they have at most LOCAL_BYTES."""
+    most = max(1, LOCAL_BYTES // (8 * dim))
+    some = df.select("embedding").limit(most + 1).toArrow()
+    if len(some) > most:
+        return df.select("embedding")
+    return kernels.matrix(some.column(0).combine_chunks(), dim) if len(some) else np.zeros((0, dim))
+
+
 def update(centroids: np.ndarray, sums: np.ndarray, n: np.ndarray, empty: str) -> np.ndarray:
     """Means; a centroid without members becomes zero, or stays with empty='keep'."""
     means = sums / np.maximum(n, 1)[:, :, None]
@@ -84,7 +107,8 @@ def update(centroids: np.ndarray, sums: np.ndarray, n: np.ndarray, empty: str) -
 
 def kmeans(df: DataFrame, k: int, groups: int = 1, eps: float = 0.01, tmin: int = 10, tmax: int = 100, init: np.ndarray | None = None, empty: str = "zero") -> Model:
     """Train on (vec_id, embedding). Starts from the k rows of least vec_id. Each group stops by itself: it goes on while
-    t < tmin, or t < tmax and the relative change of its objective is over eps."""
+    t < tmin, or t < tmax and the relative change of its objective is over eps. Many rows are read again each iteration: persist what is
+    dear to make."""
     if init is None:
         start = first_rows(df.select("vec_id", "embedding"), k).collect()
         if len(start) < k:
@@ -94,24 +118,21 @@ def kmeans(df: DataFrame, k: int, groups: int = 1, eps: float = 0.01, tmin: int
     if dim % groups:
         raise ValueError(f"dimension {dim} is not divisible by {groups} groups")
     c = np.ascontiguousarray(init.reshape(k, groups, dim // groups).transpose(1, 0, 2))
-    rows = df.select("embedding").persist()
-    try:
+    rows = held(df, dim)
+    sums, n, cost = step(rows, c)
+    live, rounds, history = np.ones(groups, bool), np.zeros(groups, int), [cost.copy()]
+    previous, t = np.full(groups, np.inf), 0
+    while True:
+        change = np.where(previous == 0, 0.0, np.abs(previous - cost) / np.where(previous == 0, 1, np.where(np.isinf(previous), 1, previous)))
+        change = np.where(np.isinf(previous), np.inf, change)
+        live &= (t < tmin) | ((t < tmax) & (change > eps))
+        if not live.any():
+            return Model(c, cost, rounds, history)
+        c = np.where(live[:, None, None], update(c, sums, n, empty), c)
+        previous, t = np.where(live, cost if t else np.inf, previous), t + 1
+        rounds[live] = t
         sums, n, cost = step(rows, c)
-        live, rounds, history = np.ones(groups, bool), np.zeros(groups, int), [cost.copy()]
-        previous, t = np.full(groups, np.inf), 0
-        while True:
-            change = np.where(previous == 0, 0.0, np.abs(previous - cost) / np.where(previous == 0, 1, np.where(np.isinf(previous), 1, previous)))
-            change = np.where(np.isinf(previous), np.inf, change)
-            live &= (t < tmin) | ((t < tmax) & (change > eps))
-            if not live.any():
-                return Model(c, cost, rounds, history)
-            c = np.where(live[:, None, None], update(c, sums, n, empty), c)
-            previous, t = np.where(live, cost if t else np.inf, previous), t + 1
-            rounds[live] = t
-            sums, n, cost = step(rows, c)
-            history.append(cost.copy())
-    finally:
-        rows.unpersist()
+        history.append(cost.copy())
 
 
 def assign(df: DataFrame, model: Model, out: str = "codes") -> DataFrame:

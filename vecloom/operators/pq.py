@@ -60,11 +60,11 @@ def adc_table(queries: DataFrame, model: Model) -> DataFrame:
     return parts.join(book, "grp").select("qid", "grp", "code", sq_l2(F.col("part"), F.col("centroid")).alias("dist"))
 
 
-def table_sum(lut: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Distance of each row of codes under one (groups, k) table."""
-    out = np.zeros(len(codes))
+def table_sums(luts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """(queries, rows): distance of each row of codes under each (groups, k) table."""
+    out = np.zeros((len(luts), len(codes)))
     for g in range(codes.shape[1]):
-        out += lut[g][codes[:, g]]
+        out += luts[:, g][:, codes[:, g]]
     return out
 
 
@@ -77,17 +77,17 @@ def pq_search(codes: DataFrame, queries: DataFrame, model: Model, k: int, metric
     if metric not in ("adc", "sdc"):
         raise ValueError(metric)
     parts = []
-    for qids, q in collect_queries(queries):
+    for qids, q in collect_queries(queries, 8 * model.groups * model.k):
         if q.shape[1] != model.dim:
             raise ValueError(f"queries have dimension {q.shape[1]}, the codebook {model.dim}")
-        luts = (adc_luts if metric == "adc" else sdc_luts)(q, model)
 
-        def scan(batches: Iterator[pa.RecordBatch], qids=qids, luts=luts) -> Iterator[pa.RecordBatch]:
-            best = kernels.TopK([int(x) for x in qids], k)
+        def scan(batches: Iterator[pa.RecordBatch], qids=qids, q=q) -> Iterator[pa.RecordBatch]:
+            luts = (adc_luts if metric == "adc" else sdc_luts)(q, model)
+            best, at = kernels.TopK(qids, k), np.arange(len(qids))
             for b in batches:
-                ids, own = b.column(0).to_numpy(zero_copy_only=False), code_matrix(b.column(1), luts.shape[1])
-                for i, qid in enumerate(qids):
-                    best.add(int(qid), ids, table_sum(luts[i], own))
+                ids, own = b.column(0).to_numpy(zero_copy_only=False), code_matrix(b.column(1), model.groups)
+                for s in kernels.row_blocks(len(ids), len(qids)):
+                    best.add_matrix(at, ids[s], table_sums(luts, own[s]))
             yield best.batch()
 
         parts.append(codes.select("vec_id", "codes").mapInArrow(scan, KNN_SCHEMA))
