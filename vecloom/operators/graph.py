@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from vecloom.operators.matrix import matvec
 from vecloom.plans.session import cut
 
-#: Iterations between cuts of the lineage.
-CUT_EVERY = 5
 #: The iterations at which extrapolation saves and uses a vector.
 SAVE_AT, JUMP_AT = 2, 8
 
@@ -55,11 +53,24 @@ def propagate(weights: DataFrame, nodes: DataFrame, ranks: DataFrame, kind: str
     return nodes.join(part, nodes.id == part.dst, "left").select("id", F.coalesce("part", F.lit(0.0)).cast(kind).alias("rank"))
 
 
-def extrapolate(ranks: DataFrame, saved: DataFrame, c: float) -> DataFrame:
+def csc_arrays(edges: DataFrame, nodes: DataFrame, c: float = 1.0, block: int = 65536) -> DataFrame:
+    """(pos, src, dst, weight): the arcs by dst, then src, each at its place in the arrays of the compressed-column form; parallel arcs
+    are one. Places are counted in blocks of sources, so that no task needs all arcs into one node."""
+    arcs = weighted_edges(edges, c).withColumn("b", F.floor(F.col("src") / block))
+    counts = arcs.groupBy("dst", "b").agg(F.count(F.lit(1)).alias("m"))
+    own = F.sum("m").over(Window.partitionBy("dst").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    within = counts.select("dst", "b", F.coalesce(own, F.lit(0)).alias("before"))
+    start = csc_offsets(arcs.select("src", "dst"), nodes).select(F.col("id").alias("dst"), "start")
+    rank = F.row_number().over(Window.partitionBy("dst", "b").orderBy("src")) - 1
+    placed = arcs.withColumn("rank", rank).join(within, ["dst", "b"]).join(start, "dst")
+    return placed.select((F.col("start") + F.col("before") + F.col("rank")).alias("pos"), "src", "dst", "weight")
+
+
+def extrapolate(ranks: DataFrame, saved: DataFrame, c: float, kind: str = "double") -> DataFrame:
     """x <- (x - c^6 l) / (1 - c^6), l the vector of six iterations before."""
     f = c ** (JUMP_AT - SAVE_AT)
     old = saved.select("id", F.col("rank").alias("old"))
-    return ranks.join(old, "id").select("id", ((F.col("rank") - F.lit(f) * F.col("old")) / F.lit(1 - f)).alias("rank"))
+    return ranks.join(old, "id").select("id", ((F.col("rank") - F.lit(f) * F.col("old")) / F.lit(1 - f)).cast(kind).alias("rank"))
 
 
 def normalized(ranks: DataFrame) -> DataFrame:
@@ -68,31 +79,27 @@ def normalized(ranks: DataFrame) -> DataFrame:
 
 
 def _iterate(start: DataFrame, multiply, eps: float, max_iter: int, min_iter: int, c: float, opt: bool, kind: str, teleport: float | None) -> DataFrame:
-    """teleport: number of nodes, where what is missing from a sum of 1 is spread over them."""
-    x, saved, held = start, None, []
+    """teleport: number of nodes, where what is missing from a sum of 1 is spread over them. Each iteration is written once, as its
+    plan would else hold all before it, twice each; one aggregation gives the sum of its ranks and the change of the iteration before."""
+    x, saved = start, None
+    before = start.select("id", F.col("rank").alias("before"))
     for k in range(1, max_iter + 1):
-        y = multiply(x).persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(y)
+        y = cut(multiply(x).join(x.select("id", F.col("rank").alias("old")), "id").join(before, "id"))
+        total, change = y.agg(F.sum(F.col("rank").cast("double")), F.sum(F.abs(F.col("old") - F.col("before")))).first()
+        if k > max(1, min_iter) and (change or 0.0) < eps:  # of the iteration before
+            return normalized(x)
+        x, before = y.select("id", "rank"), y.select("id", F.col("old").alias("before"))
         if teleport:
-            total = y.agg(F.sum("rank")).first()[0] or 0.0
-            y = y.select("id", (F.col("rank") + F.lit((1.0 - total) / teleport)).cast(kind).alias("rank"))
+            x = x.select("id", (F.col("rank") + F.lit((1.0 - (total or 0.0)) / teleport)).cast(kind).alias("rank"))
         if opt and k == SAVE_AT:
-            saved = y
+            saved = x
         if opt and k == JUMP_AT:
-            y = extrapolate(y, saved, c)
-        if k % CUT_EVERY == 0:
-            y = cut(y)
-        both = y.join(x.select("id", F.col("rank").alias("old")), "id")
-        delta = both.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
-        x = y
-        if k >= min_iter and delta < eps:
-            return normalized(x)
-        if k % CUT_EVERY == 0 and not (opt and SAVE_AT <= k < JUMP_AT):
-            for h in held:
-                h.unpersist()
-            held = []
+            x = extrapolate(x, saved, c, kind)
     if min_iter == max_iter:
         return normalized(x)
+    change = x.join(before, "id").agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
+    if (change or 0.0) < eps:
+        return normalized(x)
     raise RuntimeError(f"no convergence in {max_iter} iterations")
 
 
@@ -107,13 +114,41 @@ def pagerank(nodes: DataFrame, edges: DataFrame, c: float = 0.85, eps: float = 1
     weights = weighted_edges(edges, c).repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
     ids = nodes.select("id").repartition(parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
     start = ids.select("id", F.lit(1.0 / n).cast(kind).alias("rank"))
-    return _iterate(start, lambda x: propagate(weights, ids, x, kind), eps, iterations or max_iter, iterations or 1, c, opt, kind, n)
+    try:
+        return _iterate(start, lambda x: propagate(weights, ids, x, kind), eps, iterations or max_iter, iterations or 1, c, opt, kind, n)
+    finally:  # the ranks are written
+        weights.unpersist()
+        ids.unpersist()
+
+
+def rank(nodes: DataFrame | None = None, edges: DataFrame | None = None, matrix: DataFrame | None = None, form: str = "sparse", precision: str = "single", opt: bool = False, **options) -> DataFrame:
+    """One front for the ways of ranking: form 'sparse' (arcs) or 'dense' (a matrix, or the one that the arcs make), precision 'single' or
+    'double', with extrapolation or not. The dense form has double precision only."""
+    if form not in ("sparse", "dense") or precision not in ("single", "double"):
+        raise ValueError(f"form {form!r}, precision {precision!r}")
+    if form == "sparse":
+        if nodes is None or edges is None:
+            raise ValueError("the sparse form takes nodes and edges")
+        return pagerank(nodes, edges, precision=precision, opt=opt, **options)
+    if precision == "single":
+        raise ValueError("the dense form has double precision")
+    if matrix is None:
+        if nodes is None or edges is None:
+            raise ValueError("the dense form takes a matrix, or nodes and edges")
+        matrix = google_matrix(nodes, edges, options.get("c", 0.85))
+    return pagerank_dense(matrix, opt=opt, **options)
+
+
+#: Nodes of a matrix that google_matrix makes: their ids are broadcast, and the result has their square.
+DENSE_NODES = 1 << 16
 
 
 def google_matrix(nodes: DataFrame, edges: DataFrame, c: float = 0.85) -> DataFrame:
     """(i, j, v), all pairs of nodes: rows of c x adjacency / out-degree + (1 - c) / n; dangling rows are 1 / n.
     The result itself has n x n rows; it exists for small graphs."""
     n = nodes.count()
+    if n > DENSE_NODES:
+        raise ValueError(f"{n} nodes are too many for a dense matrix; rank them in the sparse form")
     w = weighted_edges(edges, 1.0).select(F.col("src").alias("i"), F.col("dst").alias("j"), "weight")
     has = edges.select(F.col("src").alias("i")).distinct().withColumn("has", F.lit(True))
     ids = nodes.select(F.collect_list("id").alias("ids"))
@@ -134,4 +169,7 @@ def pagerank_dense(matrix: DataFrame, c: float = 0.85, eps: float = 1e-5, opt: b
         out = matvec(turned, x.select(F.col("id").alias("j"), F.col("rank").alias("x")))
         return out.select(F.col("i").alias("id"), F.col("y").alias("rank"))
 
-    return _iterate(start, multiply, eps, iterations or max_iter, iterations or 1, c, opt, "double", None)
+    try:
+        return _iterate(start, multiply, eps, iterations or max_iter, iterations or 1, c, opt, "double", None)
+    finally:  # the ranks are written
+        turned.unpersist()
