@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 HEADER, HEADER_BYTES = "<ii", 8
 
@@ -93,6 +94,62 @@ def read_image(spark: SparkSession, path: str) -> DataFrame:
     return _cells(path, "<f4", True, spark, "y int, x int, v float", ["y", "x", "v"], np.int32)
 
 
+def _create(path: str):
+    import pyarrow.fs as fs
+
+    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return store.open_output_stream(inner)
+
+
+def _save(path: str, head: tuple[int, int], rows: Iterator, pack: Callable[[list], bytes], at_once: int = 4096) -> None:
+    """The rows, which come one after another, behind a header. A format of one file is written by one process: the driver, which holds
+    a partition and at_once rows."""
+    with _create(path) as f:
+        f.write(struct.pack(HEADER, *head))
+        part = []
+        for row in rows:
+            part.append(row)
+            if len(part) == at_once:
+                f.write(pack(part))
+                part = []
+        if part:
+            f.write(pack(part))
+
+
+def save_vectors(df: DataFrame, path: str, id_col: str = "vec_id") -> None:
+    """The vectors (id, embedding) of df in order of id; the format has no ids."""
+    rows, dim = df.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+
+    def pack(part: list) -> bytes:
+        if any(r[0] is None or len(r[0]) != dim for r in part):
+            raise ValueError("vectors are null or of several lengths")
+        return np.array([r[0] for r in part], "<f4").tobytes()
+
+    _save(path, (dim or 0, rows), df.orderBy(id_col).select("embedding").toLocalIterator(), pack)
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The arcs (src, dst), ids from 0 to the number of nodes less 1, in order."""
+    pack = lambda part: (np.array(part, np.int64) + 1).astype("<i4").tobytes()
+    _save(path, (nodes.count(), edges.count()), edges.select("src", "dst").orderBy("src", "dst").toLocalIterator(), pack)
+
+
+def save_matrix(df: DataFrame, path: str) -> None:
+    """The matrix (i, j, v), ids from 0; cells that df lacks are 0. A row of the matrix is held at a time."""
+    rows, cols = (x or 0 for x in df.agg(F.max("i") + 1, F.max("j") + 1).first())
+    cells = df.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("row"))  # as many as the matrix has columns
+    every = df.sparkSession.range(rows).withColumnRenamed("id", "i").join(cells, "i", "left").orderBy("i").select("row")
+
+    def pack(part: list) -> bytes:
+        x = np.zeros((len(part), cols))
+        for k, r in enumerate(part):
+            for j, v in r[0] or ():
+                x[k, j] = v
+        return x.astype("<f8").tobytes()
+
+    _save(path, (rows, cols), every.toLocalIterator(), pack, 64)
+
+
 def write_vectors(path: str, x: np.ndarray) -> None:
     with open(path, "wb") as f:
         f.write(struct.pack(HEADER, x.shape[1], x.shape[0]) + np.ascontiguousarray(x, "<f4").tobytes())

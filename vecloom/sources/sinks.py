@@ -21,6 +21,7 @@ def write_ann(knn: DataFrame, path: str) -> None:
 
 @F.pandas_udf(StringType())
 def percent_g(x: pd.Series) -> pd.Series:
+    """As C prints %.14g. A UDF, as format_string's %g keeps trailing zeros and chooses the exponent form by other bounds."""
     return x.map(lambda v: f"{v:.14g}")
 
 
@@ -34,3 +35,7 @@ def write_ranks(ranks: DataFrame, path: str) -> None:
 
 def show_ann(knn: DataFrame, n: int = 20) -> None:
     ann_lines(knn).orderBy("qid").show(n, truncate=False)
+
+
+def show_ranks(ranks: DataFrame, n: int = 20) -> None:
+    rank_lines(ranks).orderBy("id").show(n, truncate=False)
