@@ -44,7 +44,7 @@ if __name__ == "__main__":
     import __spark_entry__ as e
     from vecloom.plans.session import local_session
 
-    spark = local_session(8)
+    spark = local_session(int(__import__("os").environ.get("CPUS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sys.argv[1])
     sql = e.oracle_sql()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecloom.plans.queries import DIM, K, KC, KNN, M, NQ, NR, STEPS, SUPPLIERS, T, W, WIDTH
+from vecloom.plans.queries import DIM, EACH, K, KC, KNN, M, NR, STEPS, SUPPLIERS, T, W, WIDTH
 
 Ctes = list[tuple[str, str]]
 
@@ -36,12 +36,12 @@ def first_k(source: str, k: int, dist: str = "dist") -> str:
     return f"SELECT qid, rk, vec_id, round(dist, 6) AS dist FROM ({ranked}) WHERE rk <= {k}"
 
 
-PAIRS = f"SELECT q.vec_id AS qid, e.vec_id, sum((q.v - e.v) * (q.v - e.v)) AS dist FROM ({LONG}) q JOIN ({LONG}) e ON q.i = e.i WHERE q.vec_id < {NQ} GROUP BY ALL"
+PAIRS = f"SELECT q.vec_id AS qid, e.vec_id, sum((q.v - e.v) * (q.v - e.v)) AS dist FROM ({LONG}) q JOIN ({LONG}) e ON q.i = e.i WHERE q.vec_id % {EACH} = 0 GROUP BY ALL"
 PQ: Ctes = [("pts", PARTS), *train("pts", "b", K, T), ("codes", nearest("pts", f"b_c{T}"))]
-ADC = f"SELECT p.vec_id AS qid, p.grp, c.code, sum((p.v - c.v) * (p.v - c.v)) AS dist FROM pts p JOIN b_c{T} c ON p.grp = c.grp AND p.pos = c.pos WHERE p.vec_id < {NQ} GROUP BY ALL"
+ADC = f"SELECT p.vec_id AS qid, p.grp, c.code, sum((p.v - c.v) * (p.v - c.v)) AS dist FROM pts p JOIN b_c{T} c ON p.grp = c.grp AND p.pos = c.pos WHERE p.vec_id % {EACH} = 0 GROUP BY ALL"
 SDC = f"SELECT x.grp, x.code AS c1, y.code AS c2, sum((x.v - y.v) * (x.v - y.v)) AS dist FROM b_c{T} x JOIN b_c{T} y ON x.grp = y.grp AND x.pos = y.pos GROUP BY ALL"
 ADC_PAIRS = "SELECT l.qid, c.vec_id, sum(l.dist) AS dist FROM lut l JOIN codes c ON l.grp = c.grp AND l.code = c.code GROUP BY ALL"
-SDC_PAIRS = f"SELECT q.vec_id AS qid, c.vec_id, sum(s.dist) AS dist FROM codes q JOIN sdc s ON q.grp = s.grp AND q.code = s.c1 JOIN codes c ON c.grp = s.grp AND c.code = s.c2 WHERE q.vec_id < {NQ} GROUP BY ALL"
+SDC_PAIRS = f"SELECT q.vec_id AS qid, c.vec_id, sum(s.dist) AS dist FROM codes q JOIN sdc s ON q.grp = s.grp AND q.code = s.c1 JOIN codes c ON c.grp = s.grp AND c.code = s.c2 WHERE q.vec_id % {EACH} = 0 GROUP BY ALL"
 
 IVF: Ctes = [
     ("whole", WHOLE), ("learn", f"SELECT * FROM whole WHERE vec_id < {NR}"), *train("learn", "g", KC, T),
@@ -49,7 +49,7 @@ IVF: Ctes = [
     ("res", f"SELECT w.vec_id, w.pos // {WIDTH} AS grp, w.pos % {WIDTH} AS pos, w.v - c.v AS v FROM whole w JOIN lab l ON w.vec_id = l.vec_id JOIN g_c{T} c ON c.code = l.cell AND c.pos = w.pos"),
     ("rlearn", f"SELECT * FROM res WHERE vec_id < {NR}"), *train("rlearn", "f", K, T),
     ("codes", nearest("res", f"f_c{T}")),
-    ("cd", f"SELECT q.vec_id AS qid, c.code AS cell, sum((q.v - c.v) * (q.v - c.v)) AS d FROM whole q JOIN g_c{T} c ON q.pos = c.pos WHERE q.vec_id < {NQ} GROUP BY ALL"),
+    ("cd", f"SELECT q.vec_id AS qid, c.code AS cell, sum((q.v - c.v) * (q.v - c.v)) AS d FROM whole q JOIN g_c{T} c ON q.pos = c.pos WHERE q.vec_id % {EACH} = 0 GROUP BY ALL"),
     ("probe", f"SELECT qid, cell FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, cell) AS rn FROM cd) WHERE rn <= {W}"),
     ("qres", f"SELECT p.qid, p.cell, q.pos // {WIDTH} AS grp, q.pos % {WIDTH} AS pos, q.v - c.v AS v FROM probe p JOIN whole q ON q.vec_id = p.qid JOIN g_c{T} c ON c.code = p.cell AND c.pos = q.pos"),
     ("lut", f"SELECT q.qid, q.cell, q.grp, c.code, sum((q.v - c.v) * (q.v - c.v)) AS dist FROM qres q JOIN f_c{T} c ON q.grp = c.grp AND q.pos = c.pos GROUP BY ALL"),
@@ -89,12 +89,12 @@ def ranks(graph: Ctes, steps: int, opt: bool = False, single: bool = False, dens
             new = f"SELECT id, CAST(r + (1 - (SELECT sum(CAST(r AS DOUBLE)) FROM y{k})) / n AS {kind}) AS r FROM y{k}, n"
         if opt and k == 8:
             ctes.append(("z", new))
-            new = "SELECT z.id, (z.r - pow(0.85, 6) * x2.r) / (1 - pow(0.85, 6)) AS r FROM z JOIN x2 ON z.id = x2.id"
+            new = f"SELECT z.id, CAST((z.r - pow(0.85, 6) * x2.r) / (1 - pow(0.85, 6)) AS {kind}) AS r FROM z JOIN x2 ON z.id = x2.id"
         ctes.append((f"x{k}", new))
     return with_all(ctes, f"SELECT id, round(CAST(r AS DOUBLE) / (SELECT sum(abs(CAST(r AS DOUBLE))) FROM x{steps}), {5 if single else 8}) AS rank FROM x{steps}")
 
 
-SQUARE = f"SELECT vec_id AS i, CAST(i AS BIGINT) AS j, v FROM ({LONG}) WHERE vec_id < {DIM}"
+WHOLE_MATRIX = f"SELECT vec_id AS i, CAST(i AS BIGINT) AS j, v FROM ({LONG})"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -139,13 +139,39 @@ def oracle_sql() -> dict[str, str]:
         "pagerank_sparse": ranks(SUPPLY, STEPS),
         "pagerank_single": ranks(TRADE, STEPS, single=True),
         "pagerank_opt": ranks(TRADE, STEPS, opt=True),
+        "pagerank_single_opt": ranks(TRADE, STEPS, opt=True, single=True),
+        "pagerank_dispatch": " UNION ALL ".join(
+            f"SELECT '{way}' AS way, id, round(rank, 5) AS rank FROM ({q})"
+            for way, q in (
+                ("sparse single", ranks(TRADE, STEPS, single=True)), ("sparse double opt", ranks(TRADE, STEPS, opt=True)),
+                ("dense double", ranks(GOOGLE, STEPS, dense=True)), ("dense double opt", ranks(GOOGLE, STEPS, opt=True, dense=True)),
+            )
+        ),
+        "csc_arrays": with_all([*SUPPLY, *WEIGHTS], "SELECT row_number() OVER (ORDER BY dst, src) - 1 AS pos, src, dst, round(0.85 * p, 8) AS weight FROM w"),
+        "ranks_text": f"SELECT id, printf('%.14g', rank) AS value FROM ({ranks(TRADE, 1)})",
+        "search_front": " UNION ALL ".join(
+            f"SELECT '{way}' AS way, * FROM ({q})"
+            for way, q in (
+                ("whole adc", with_all([*PQ, ("lut", ADC)], first_k(ADC_PAIRS, KNN))), ("whole sdc", with_all([*PQ, ("sdc", SDC)], first_k(SDC_PAIRS, KNN))),
+                ("cells adc", with_all(IVF, first_k(LISTED.format(lut="lut"), KNN))), ("cells sdc", with_all([*IVF, *SYMMETRIC], first_k(LISTED.format(lut="slut"), KNN))),
+            )
+        ),
+        "pq_columns": with_all(
+            [*PQ, ("sdc", SDC), ("lut", ADC)],
+            "SELECT c.vec_id, round(sum(s.dist), 6) AS sdc, round(sum(l.dist), 6) AS adc FROM codes c JOIN codes z ON z.vec_id = 0 AND z.grp = c.grp JOIN sdc s ON s.grp = c.grp AND s.c1 = z.code AND s.c2 = c.code JOIN lut l ON l.qid = 0 AND l.grp = c.grp AND l.code = c.code GROUP BY 1",
+        ),
+        "pair_index": "SELECT c_custkey, greatest(c_custkey % 97, c_nationkey) AS hi, least(c_custkey % 97, c_nationkey) AS lo, CAST(greatest(c_custkey % 97, c_nationkey) * (greatest(c_custkey % 97, c_nationkey) - 1) // 2 + least(c_custkey % 97, c_nationkey) AS BIGINT) AS place FROM customer",
+        "vector_file": f"SELECT row_number() OVER (PARTITION BY i ORDER BY vec_id) - 1 AS vec_id, i AS pos, round(v, 6) AS v FROM ({LONG})",
+        "graph_file": with_all(TRADE, "SELECT src, dst, count(*) AS arcs FROM edges GROUP BY 1, 2"),
+        "matrix_file": with_all(GOOGLE, "SELECT i, j, round(v, 8) AS v FROM p"),
+        "image_file": f"SELECT CAST(row_number() OVER (PARTITION BY i ORDER BY vec_id) - 1 AS INT) AS y, i AS x, round(v, 6) AS v FROM ({LONG})",
         "pagerank_converged": ranks(TRADE, 40),
         "google_matrix": with_all(GOOGLE, "SELECT i, j, round(v, 8) AS v FROM p"),
         "pagerank_dense": ranks(GOOGLE, STEPS, dense=True),
         "pagerank_dense_opt": ranks(GOOGLE, STEPS, opt=True, dense=True),
-        "gemm": f"SELECT a.i, b.j, round(sum(a.v * b.v), 6) AS v FROM ({SQUARE}) a JOIN ({SQUARE}) b ON a.j = b.i GROUP BY 1, 2",
-        "gemm_blocked": f"SELECT * FROM (SELECT a.i, b.j, round(sum(a.v * b.v), 6) AS v FROM ({SQUARE}) a JOIN ({SQUARE}) b ON a.j = b.i GROUP BY 1, 2) WHERE v <> 0",
-        "matvec": f"SELECT a.i, round(sum(a.v * x.v), 6) AS y FROM ({SQUARE}) a JOIN ({SQUARE}) x ON x.i = 0 AND a.j = x.j GROUP BY 1",
+        "gemm": f"SELECT a.j AS i, b.j, round(sum(a.v * b.v), 6) AS v FROM ({WHOLE_MATRIX}) a JOIN ({WHOLE_MATRIX}) b ON a.i = b.i GROUP BY 1, 2",
+        "gemm_blocked": f"SELECT * FROM (SELECT a.j AS i, b.j, round(sum(a.v * b.v), 6) AS v FROM ({WHOLE_MATRIX}) a JOIN ({WHOLE_MATRIX}) b ON a.i = b.i GROUP BY 1, 2) WHERE v <> 0",
+        "matvec": f"SELECT a.i, round(sum(a.v * x.v), 6) AS y FROM ({WHOLE_MATRIX}) a JOIN ({WHOLE_MATRIX}) x ON x.i = 0 AND a.j = x.j GROUP BY 1",
         "l1_norm": "SELECT round(sum(c_acctbal), 2) AS total, round(sum(abs(c_acctbal)), 2) AS l1 FROM customer",
         "sum_squares": "SELECT round(sum(c_acctbal * c_acctbal) / 1e6, 4) AS squares FROM customer",
         "l1_diff": "SELECT round(sum(abs(c_acctbal - (c_acctbal * 2 - 1))), 2) AS l1_diff FROM customer",

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
-from vecloom.operators import exact, graph, ivf, kmeans, matrix, pq, topk
-from vecloom.sources.sinks import ann_lines
+from vecloom.operators import exact, graph, ivf, kmeans, matrix, pq, search, topk
+from vecloom.plans.session import shared_dir
+from vecloom.sources import binary
+from vecloom.sources.sinks import ann_lines, rank_lines
 from vecloom.sources.tables import dense_ids, load
 from vecloom.sources.tables import vectors as as_vectors
 
-#: Sizes that fit the test tables: groups, codes, cells, probes, learning rows, k-means rounds, neighbours, queries, dimension.
-M, K, KC, W, NR, T, KNN, NQ, DIM = 8, 16, 16, 4, 200, 3, 5, 20, 64
+#: Sizes that fit the test tables: groups, codes, cells, probes, learning rows, k-means rounds, neighbours, dimension.
+M, K, KC, W, NR, T, KNN, DIM = 8, 16, 16, 4, 200, 3, 5, 64
+#: The queries of a search are all rows whose id this number divides, against all rows.
+EACH = 100
 WIDTH = DIM // M
 ROUNDS = {"tmin": T, "tmax": T}
 #: PageRank iterations of the queries that fix them; enough to pass the extrapolation.
@@ -24,7 +31,7 @@ def base(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    return base(spark, d).where(F.col("vec_id") < NQ).withColumnRenamed("vec_id", "qid")
+    return base(spark, d).where(F.col("vec_id") % EACH == 0).withColumnRenamed("vec_id", "qid")
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -245,6 +252,90 @@ def pagerank_opt(spark, d):
     return _ranks(spark, d, trade, precision="double", opt=True, iterations=STEPS)
 
 
+def pagerank_single_opt(spark, d):
+    nodes, edges = trade(spark, d)
+    return rounded(graph.pagerank(nodes, edges, precision="single", opt=True, iterations=STEPS), "rank", digits=5)
+
+
+def pagerank_dispatch(spark, d):
+    """The four ways that the front offers for one graph, side by side."""
+    nodes, edges = trade(spark, d)
+    ways = [("sparse", "single", False), ("sparse", "double", True), ("dense", "double", False), ("dense", "double", True)]
+    made = [graph.rank(nodes, edges, form=f, precision=p, opt=o, iterations=STEPS).select(F.lit(f"{f} {p}{' opt' * o}").alias("way"), "id", "rank") for f, p, o in ways]
+    return rounded(exact.union_blocks(made, None), "rank", digits=5)
+
+
+def csc_arrays(spark, d):
+    nodes, edges = supply(spark, d)
+    return rounded(graph.csc_arrays(edges, nodes, 0.85), "weight", digits=8)
+
+
+def ranks_text(spark, d):
+    """A text line a node, in order of id, with 14 digits as C prints them."""
+    nodes, edges = trade(spark, d)
+    return rank_lines(rounded(graph.pagerank(nodes, edges, precision="double", iterations=1), "rank", digits=8))
+
+
+def search_front(spark, d):
+    """The four ways of searching through the one front."""
+    out = []
+    for exhaustive in (True, False):
+        for metric in ("adc", "sdc"):
+            p = search.Params(exhaustive=exhaustive, metric=metric, knn=KNN, m=M, k=K, kc=KC, w=W, nr=NR, **ROUNDS)
+            found = search.search(search.build_index(base(spark, d), p), asked(spark, d))
+            out.append(found.select(F.lit(f"{'whole' if exhaustive else 'cells'} {metric}").alias("way"), "qid", "rk", "vec_id", "dist"))
+    return rounded(exact.union_blocks(out, None), "dist")
+
+
+def literal_table(rows) -> Column:
+    return F.array(*[constant([float(x) for x in r]) for r in rows])
+
+
+def pq_columns(spark, d):
+    """Distances of all rows to the row of id 0 from codes, as column expressions: symmetric and asymmetric."""
+    model = trained(spark, d)
+    codes = pq.pq_encode(base(spark, d), model)
+    own = F.array(*[F.lit(int(c)) for c in codes.where("vec_id = 0").first()["codes"]])
+    triangles = literal_table([[t[i, j] for i in range(K) for j in range(i)] for t in pq.sdc_matrix(model)])
+    lut = literal_table(pq.adc_luts(np.array([first_vector(spark, d)]), model)[0])
+    return codes.select("vec_id", F.round(V.sdc_distance(triangles, F.col("codes"), own), 6).alias("sdc"), F.round(V.adc_distance(lut, F.col("codes")), 6).alias("adc"))
+
+
+def pair_index(spark, d):
+    """Places of pairs of numbers in a lower triangle, the larger first."""
+    hi, lo = V.orient_pair(F.col("c_custkey") % 97, F.col("c_nationkey").cast("long"))
+    return load(spark, d, "customer").select("c_custkey", hi.alias("hi"), lo.alias("lo"), V.triangle_index(hi, lo).alias("place"))
+
+
+def _file(spark, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def vector_file(spark, d):
+    """All embeddings through the file format of vectors."""
+    binary.save_vectors(base(spark, d), path := _file(spark, "vectors.ds"))
+    return binary.read_vectors(spark, path).select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", "pos", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+def graph_file(spark, d):
+    """The trade arcs through the file format of graphs: arcs between each two nodes."""
+    nodes, edges = trade(spark, d)
+    binary.save_graph(nodes, edges, path := _file(spark, "arcs.graph"))
+    return binary.read_graph(spark, path)[1].groupBy("src", "dst").agg(F.count(F.lit(1)).alias("arcs"))
+
+
+def matrix_file(spark, d):
+    """The dense ranking matrix through the file format of matrices."""
+    binary.save_matrix(graph.google_matrix(*trade(spark, d)), path := _file(spark, "dense.matrix"))
+    return rounded(binary.read_matrix(spark, path), "v", digits=8)
+
+
+def image_file(spark, d):
+    """All embeddings as a picture: its format has the layout of vectors, a vector a row."""
+    binary.save_vectors(base(spark, d), path := _file(spark, "picture.img"))
+    return binary.read_image(spark, path).select("y", "x", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
 def pagerank_converged(spark, d):
     """Until the L1 change is under 1e-10; compared with a long fixed iteration."""
     return _ranks(spark, d, trade, precision="double", eps=1e-10)
@@ -262,29 +353,31 @@ def pagerank_dense_opt(spark, d):
     return rounded(graph.pagerank_dense(graph.google_matrix(*trade(spark, d)), opt=True, iterations=STEPS), "rank", digits=8)
 
 
-def cells_of(spark, d, rows: int) -> DataFrame:
-    e = base(spark, d).where(F.col("vec_id") < rows)
+def whole_matrix(spark, d) -> DataFrame:
+    """The embeddings as a matrix (i, j, v): a row a vector."""
+    e = base(spark, d)
     return e.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "x")).select("i", F.col("j").cast("long").alias("j"), F.col("x").cast("double").alias("v"))
 
 
-#: Rows of the embeddings that make up the square demo matrix.
-SIDE = DIM
+def turned(a: DataFrame) -> DataFrame:
+    return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
 
 def gemm(spark, d):
-    a = cells_of(spark, d, SIDE)
-    return rounded(matrix.gemm(a, a), "v")
+    """The product of the transposed matrix of all embeddings and itself."""
+    a = whole_matrix(spark, d)
+    return rounded(matrix.gemm(turned(a), a), "v")
 
 
 def gemm_blocked(spark, d):
-    a = cells_of(spark, d, SIDE)
-    return rounded(matrix.gemm_blocked(a, a, 16), "v").where("v <> 0")
+    a = whole_matrix(spark, d)
+    return rounded(matrix.gemm_blocked(turned(a), a), "v").where("v <> 0")
 
 
 def matvec(spark, d):
-    a = cells_of(spark, d, SIDE)
-    x = a.where("i = 0").select("j", F.col("v").alias("x"))
-    return rounded(matrix.matvec(a, x), "y")
+    """All embeddings times the one of id 0."""
+    a = whole_matrix(spark, d)
+    return rounded(matrix.matvec(a, a.where("i = 0").select("j", F.col("v").alias("x"))), "y")
 
 
 def balances(spark, d) -> DataFrame:
@@ -321,6 +414,7 @@ REGISTERED = [
     exact_knn, exact_nn1, exact_top2, ann_text, sq_l2, residual, vec_functions, pq_encode_init, coarse_assign, kmeans_step, kmeans_t3, pq_train, wcss,
     sdc_table, adc_table, reconstruct, pq_search_adc, pq_search_sdc, recall_at_k, ivf_encode, ivf_lists, ivf_search_adc, ivf_search_sdc,
     out_degree, in_degree, dangling, csc_offsets, pagerank_step, pagerank_sparse, pagerank_single, pagerank_opt, pagerank_converged,
+    pagerank_single_opt, pagerank_dispatch, csc_arrays, ranks_text, search_front, pq_columns, pair_index, vector_file, graph_file, matrix_file, image_file,
     google_matrix, pagerank_dense, pagerank_dense_opt, gemm, gemm_blocked, matvec, l1_norm, sum_squares, l1_diff, l1_normalize, vec_poly, leibniz_pi,
 ]
 
