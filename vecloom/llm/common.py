@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -53,6 +55,10 @@ def discard(*tables: DataFrame) -> None:
         _stashed.remove(t._stash_path)
 
 
+def stashed() -> list[str]:
+    return list(_stashed)
+
+
 def sweep(spark: SparkSession, keep: set[str] = frozenset()) -> None:
     """Delete what is stashed but for keep: for callers that have written the results that read it."""
     for path in [p for p in _stashed if p not in keep]:
@@ -100,6 +106,13 @@ def numbered(df: DataFrame, name: str, stashed: str) -> DataFrame:
     return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(start) + F.col(at)).alias(name))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

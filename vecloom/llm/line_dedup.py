@@ -12,11 +12,14 @@ earlier one stays.
    either cold, with a bucket's count under 2^HOT, or hot, and then all that they share are hot. Cold tokens of the prefix are keys.
    Where a prefix has hot tokens, neighbours among the hot tokens of a longer prefix are keys, in pairs: of d + 1 shared tokens in
    a row, d pairs, each token that is not shared parts at most one, and there are at most a + b - 2 o of these (o: the least overlap
-   of sizes a and b). One pair more is left whole. So a line has at most about 0.4 n keys, at any size of corpus.
-4. A cold key has fewer than 2^HOT classes, so its pairs are made in Arrow tasks, out of blocks of keys that are dealt by key. Pair
-   keys have no such bound: they meet in a join that Spark can split. There, classes that share a key with more than LEAD others are first
-   compared with the earliest of these; what matches is settled, and large groups of near copies need no pairs among themselves.
-   This only saves work: what is not settled is compared with all.
+   of sizes a and b). One pair more is left whole. So a line has at most about 0.4 n keys, at any size of corpus. A key is used
+   towards sets of no fewer tokens, of no more, or both, as far as enough tokens are hot: lines of one template with rare tokens of
+   their own share keys, but meet no lines of their size.
+4. A cold key has fewer than 2^HOT classes, so cold keys meet in Arrow tasks, in blocks that are dealt by key, which make the pairs of
+   up to CROWD classes. Pair keys have no such bound: they, and cold keys of more classes, meet in a join that Spark can split. There,
+   classes of keys that more than LEAD share are first compared with the earliest class of each such key, in ROUNDS rounds: what
+   matches is settled and stands back, so that large groups of near copies need no pairs among themselves. This only saves work: what
+   is not settled is compared with all.
 5. Of classes that meet, those stay that pass the length filter, the positional filter (what can still be common) and the parity
    sketch of 64 bits (two token sets differ in at least as many tokens as their sketches in bits).
 6. What stays is verified on full token sets, which another pass makes of the lines that are named in pairs.
@@ -37,9 +40,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import BLANK_WORDS, STEP, discard, free_name, mix, numbered, slices, stash, text_bytes
+from vecloom.llm.common import BLANK_WORDS, STEP, discard, free_name, mix, numbered, slices, stash, text_bytes, trim
 
-BUCKETS, CHUNK, HOT, LEAD = 1 << 21, 1 << 12, 10, 32
+BUCKETS, CHUNK, HOT = 1 << 21, 1 << 12, 12
+CROWD, LEAD, ROUNDS = 512, 32, 5
 #: Text bytes that are tokenized at once: their arrays stay in a core's cache.
 BLOCK = 1 << 17
 #: A line's place is its row number and its number in the row.
@@ -129,14 +133,36 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 @lru_cache(1 << 16)
 def prefixes(a: int, percent: int) -> tuple[int, int]:
-    """Of a set of a tokens: the prefix that a similar other set meets, and the longer one in which two neighbours meet if all
-    tokens that they share are hot."""
+    """Of a set of a tokens: the prefixes that similar other sets of no more tokens, and of no fewer tokens, meet."""
+    large, small = _partners(a, percent)
+    return tuple(int((a - o + 1).max()) if len(o) else 0 for _, o in (large, small))
+
+
+@lru_cache(1 << 16)
+def hot_prefixes(a: int, cold: int, percent: int) -> tuple[int, int]:
+    """As prefixes, if all tokens that they share are hot, and cold of the a are not: the longer prefixes in which two neighbours meet."""
+    out = []
+    for b, o in _partners(a, percent):
+        some = o <= a - cold  # else too few are hot
+        out.append(int((2 * a + b - 3 * o + 2)[some].max()) if some.any() else 0)
+    return out[0], out[1]
+
+
+@lru_cache(1 << 12)
+def _partners(a: int, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sizes b, least overlaps) of the similar other sets of no more tokens, and of no fewer."""
     b = np.arange(int(needed(np.int64(a), percent)), a * 100 // percent + 1, dtype=np.int64)
     o = -(-percent * (a + b) // (100 + percent))
     other = (o <= np.minimum(a, b)) & ((a != b) | (o < a))
-    if not other.any():
-        return 0, 0
-    return int(a - needed(np.int64(a), percent) + 1), int((2 * a + b - 3 * o + 2)[other].max())
+    return [(b[x], o[x]) for x in (other & (b <= a), other & (b >= a))]
+
+
+def by_size(f: Callable, *columns: np.ndarray) -> np.ndarray:
+    """(2, rows): f of each row, which is computed once for equal rows."""
+    if not len(columns[0]):
+        return np.zeros((2, 0), np.int64)
+    rows, own = np.unique(np.stack(columns, 1), axis=0, return_inverse=True)
+    return np.array([f(*r) for r in rows.tolist()], np.int64).T[:, own.ravel()]
 
 
 def token_sets(h: np.ndarray, first: np.ndarray, level: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,15 +199,16 @@ def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.
     n = np.diff(np.append(start, len(h)))
     if not len(n):
         return {}
-    sizes, own = np.unique(n, return_inverse=True)
-    p1, p2 = (x[own] for x in np.array([prefixes(a, percent) for a in sizes.tolist()]).T)
+    prefix = by_size(lambda a: prefixes(a, percent), n).max(axis=0)
     of = np.repeat(np.arange(len(n)), n)
     pos = np.arange(len(h)) - start[of]
     cool = level < HOT
-    cold = cool & (pos < p1[of])
+    cold = cool & (pos < prefix[of])
+    colds = np.add.reduceat(cool.astype(np.int64), start)
+    longer = by_size(lambda a, c: hot_prefixes(a, c, percent), n, colds).max(axis=0)
     pair = np.zeros(len(h), bool)
-    pair[:-1] = ~cool[:-1] & (pos[:-1] + 1 < p2[of[:-1]]) & (of[1:] == of[:-1])
-    pair &= (np.add.reduceat(cool.astype(np.int64), start) < p1)[of]
+    pair[:-1] = ~cool[:-1] & (pos[:-1] + 1 < longer[of[:-1]]) & (of[1:] == of[:-1])
+    pair &= (colds < prefix)[of]
     at = np.flatnonzero(pair)
     count = lambda some: np.add.reduceat(some.astype(np.int64), start)
     return {
@@ -217,6 +244,7 @@ def lines_of(docs: DataFrame, percent: int) -> DataFrame:
                     own = got.pop("row")
                     ids, rows = (batch.column(c).slice(a, b - a).take(own) for c in (0, 2))
                     yield pa.RecordBatch.from_pydict({"d": ids, "doc_row": rows} | got)
+        trim()
 
     return docs.select("d", "text", "doc_row").mapInArrow(scan, LINES)
 
@@ -242,6 +270,16 @@ def keys_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 COLD = np.dtype([("key", "<u8"), ("at", "<i8"), ("s1", "<u8"), ("n", "<u4"), ("pos", "<u4")])
 
 
+def crowded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows (COLD) of keys with at most CROWD rows, and of those with more."""
+    order = np.argsort(x["key"])
+    x = x[order]
+    start = np.flatnonzero(np.concatenate([[True], x["key"][1:] != x["key"][:-1]])) if len(x) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(x)))
+    many = np.repeat(count > CROWD, count)
+    return x[~many], x[many]
+
+
 def met(x: np.ndarray, percent: int) -> np.ndarray:
     """(pairs, 2) places, the lesser first, of the rows (COLD) that share a key's first HASH_BITS bits and pass the filters."""
     low = np.uint64(64 - HASH_BITS)
@@ -270,9 +308,9 @@ def met(x: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
-def cold_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: places of classes that share a cold key and pass the filters. Keys are dealt by a hash, in blocks of bytes, as
-    a row a key would cost more than the work on it. A key has fewer than 2^HOT rows."""
+def cold_meetings(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, pos): pairs of classes, a < b, that share a cold key and pass the filters (pos null); and for cold keys of more than CROWD
+    classes key, class and place (pos). Keys are dealt by a hash, in blocks of bytes, as a row a key would cost more than the work on it."""
     spark = sets.sparkSession
     n = sets.agg(F.sum(F.octet_length("cold") / 8)).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n / PART_KEYS) + 1)
@@ -297,8 +335,11 @@ def cold_pairs(sets: DataFrame, percent: int) -> DataFrame:
         held, part = [], None
 
         def pairs() -> pa.RecordBatch:
-            got = met(np.frombuffer(b"".join(held), COLD), percent)
-            return pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(got[:, 0])), "b": pa.array(np.ascontiguousarray(got[:, 1]))})
+            few, many = crowded(np.frombuffer(b"".join(held), COLD))
+            got = met(few, percent)
+            a, b = (np.concatenate([got[:, i], x]) for i, x in ((0, many["key"].view(np.int64)), (1, many["at"])))
+            pos = pa.array(np.concatenate([np.zeros(len(got)), many["pos"]]).astype(np.int32), mask=np.arange(len(a)) < len(got))
+            return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "pos": pos})
 
         for batch in batches:
             for p, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -309,24 +350,41 @@ def cold_pairs(sets: DataFrame, percent: int) -> DataFrame:
                 held.append(rows)
         if held:
             yield pairs()
+        trim()
 
     dealt = sets.select("at", "n", "s1", "cold").mapInArrow(deal, "part long, rows binary")
-    return dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long")
+    return dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long, pos int")
 
 
-def hot_keys(sets: DataFrame) -> DataFrame:
-    """(key, d, at, n, pos, s1): a row a pair key."""
+HOT_KEYS = "key long, d long, at long, n int, pos int, s1 long, small boolean, large boolean"
+
+
+def hot_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """HOT_KEYS: a row a pair key; small and large tell whether it is used towards sets of no fewer, and of no more, tokens."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, own, pos = keys_of(batch.column(5))
-            before = np.diff(text_bytes(batch.column(4))[1]) // 8
-            own = pa.array(own)
-            take = lambda c: batch.column(c).take(own)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "d": take(0), "at": take(1), "n": take(2), "pos": pa.array((pos + before[own.to_numpy()]).astype(np.int32)), "s1": take(3)})
+            colds = np.diff(text_bytes(batch.column(4))[1]) // 8  # all cold tokens, as fewer than the prefix are cold
+            pos = pos + colds[own]
+            large, small = by_size(lambda a, c: hot_prefixes(a, c, percent), batch.column(2).to_numpy().astype(np.int64), colds)
+            rows = pa.array(own)
+            take = lambda c: batch.column(c).take(rows)
+            yield pa.RecordBatch.from_pydict(
+                {"key": pa.array(key.view(np.int64)), "d": take(0), "at": take(1), "n": take(2), "pos": pa.array(pos.astype(np.int32)), "s1": take(3),
+                 "small": pa.array(pos + 1 < small[own]), "large": pa.array(pos + 1 < large[own])}
+            )
 
     some = sets.where(F.octet_length("hot") > 0)
-    return some.select("d", "at", "n", "s1", "cold", "hot").mapInArrow(scan, "key long, d long, at long, n int, pos int, s1 long")
+    return some.select("d", "at", "n", "s1", "cold", "hot").mapInArrow(scan, HOT_KEYS)
+
+
+def crowd_keys(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """HOT_KEYS of the cold keys that more than CROWD classes share."""
+    rows = meetings.where("pos IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("at"), "pos").join(sets.select("d", "at", "n", "s1"), "at")
+    n = F.col("n").cast("long")
+    of_own_size = n - F.ceil(n * 2 * percent / (100 + percent)) + 1  # the least overlap with a set of no fewer tokens is that with one of as many
+    return rows.select("key", "d", "at", "n", "pos", "s1", (F.col("pos") < of_own_size).alias("small"), F.lit(True).alias("large"))
 
 
 def fits(a: str, b: str, percent: int) -> Column:
@@ -336,30 +394,55 @@ def fits(a: str, b: str, percent: int) -> Column:
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (bits * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def leaders(hot: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes with the earliest class of a pair key that more than LEAD classes share."""
-    heavy = hot.groupBy("key").agg(F.min(F.struct("d", "at", "n", "s1")).alias("a"), F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAD)
-    both = hot.alias("b").join(heavy.select("key", "a").alias("h"), "key")
-    return both.where((F.col("a.at") != F.col("b.at")) & fits("a", "b", percent)).select(F.col("a.at").alias("a"), F.col("b.at").alias("b")).distinct()
+def settled_by_leaders(docs: DataFrame, hot: DataFrame, percent: int) -> DataFrame | None:
+    """(at) of classes that match the earliest class of a key that more than LEAD classes share, a stashed table; None without such keys."""
+    heavy = hot.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAD).select("key")
+    crowd = stash(hot.join(heavy, "key"), "line-crowd")
+    if crowd.isEmpty():
+        discard(crowd)
+        return None
+    named = stash(crowd.select("at").distinct(), "line-crowd-named")
+    words = stash(token_rows(docs, named, named.count()), "line-crowd-words")
+    settled, live = None, crowd
+    for _ in range(ROUNDS):
+        lead = live.groupBy("key").agg(F.min(F.struct("d", "at", "n", "s1")).alias("a"), F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAD)
+        both = live.alias("b").join(lead.select("key", "a").alias("h"), "key").where((F.col("a.at") != F.col("b.at")) & fits("a", "b", percent))
+        new = stash(later_of(both.select(F.col("a.at").alias("a"), F.col("b.at").alias("b")).distinct(), words, percent), "line-settled")
+        if new.isEmpty():
+            discard(new)
+            break
+        if settled is None:
+            settled = new
+        else:
+            old, settled = settled, stash(settled.union(new), "line-settled")
+            discard(old, new)
+        live = crowd.join(settled, "at", "left_anti").select(crowd.columns)
+    discard(crowd, named, words)
+    return settled
 
 
 def hot_pairs(hot: DataFrame, settled: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b): classes that share a pair key and pass the filters, b the later one and not settled."""
-    left = hot if settled is None else hot.join(settled, "at", "left_anti").select(hot.columns)
+    """(a, b): classes that share a key and pass the filters, the later of the two not settled."""
+    small, large = hot.where("small"), hot.where("large")
     na, nb, pa_, pb = (F.col(x).cast("long") for x in ("a.n", "b.n", "a.pos", "b.pos"))
     most = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
-    earlier = (F.col("a.d") < F.col("b.d")) | ((F.col("a.d") == F.col("b.d")) & (F.col("a.at") < F.col("b.at")))
-    on = (F.col("a.key") == F.col("b.key")) & earlier & (most * (100 + percent) >= (na + nb) * percent) & fits("a", "b", percent)
-    return hot.alias("a").join(left.alias("b"), on).select(F.col("a.at").alias("a"), F.col("b.at").alias("b"))
+    on = (F.col("a.key") == F.col("b.key")) & (na <= nb) & (F.col("a.at") != F.col("b.at")) & (most * (100 + percent) >= (na + nb) * percent) & fits("a", "b", percent)
+    pair = (F.least("a.at", "b.at").alias("a"), F.greatest("a.at", "b.at").alias("b"))
+    if settled is None:
+        return small.alias("a").join(large.alias("b"), on).select(*pair)
+    left = lambda t: t.join(settled, "at", "left_anti").select(t.columns)
+    b_later = (F.col("a.d") < F.col("b.d")) | ((F.col("a.d") == F.col("b.d")) & (F.col("a.at") < F.col("b.at")))
+    one = small.alias("a").join(left(large).alias("b"), on & b_later).select(*pair)
+    return one.union(left(small).alias("a").join(large.alias("b"), on & ~b_later).select(*pair))
 
 
 def _spots(at: np.ndarray, bits: int) -> np.ndarray:
     return (mix(at.view(np.uint64) + np.uint64(STEP)) % np.uint64(bits)).astype(np.int64)
 
 
-def token_rows(docs: DataFrame, pairs: DataFrame, named: int) -> DataFrame:
-    """(at, d, w): the token sets of the lines that are named in pairs, about named of them, and of some others."""
-    bits = min(FILTER_BITS, 8 * CHUNK << max(0, (2 * named // CHUNK).bit_length()))
+def token_rows(docs: DataFrame, named: DataFrame, count: int) -> DataFrame:
+    """(at, d, w): the token sets of the lines at the places that named has in its columns, about count of them, and of some others."""
+    bits = min(FILTER_BITS, 8 * CHUNK << max(0, (2 * count // CHUNK).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(bits, bool)
@@ -368,10 +451,7 @@ def token_rows(docs: DataFrame, pairs: DataFrame, named: int) -> DataFrame:
                 out[_spots(c.to_numpy(), bits)] = True
         return np.packbits(out, bitorder="little")
 
-    def merged(n: np.ndarray) -> np.ndarray:
-        return n.astype(np.uint8)
-
-    marks = chunked(pairs.select("a", "b"), mark, merged, "u1", bits // 8, np.bitwise_or).tobytes()
+    marks = chunked(named, mark, lambda n: n.astype(np.uint8), "u1", bits // 8, np.bitwise_or).tobytes()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.frombuffer(marks, np.uint8)
@@ -395,36 +475,30 @@ def token_rows(docs: DataFrame, pairs: DataFrame, named: int) -> DataFrame:
     return docs.select("d", "text", "doc_row").mapInArrow(scan, "at long, d long, w array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(at) of the later classes of pairs (a, b), a stashed table, that match the other."""
-    rows = token_rows(docs, pairs, 2 * pairs.count())
-    side = lambda c: rows.select(F.col("at").alias(c), F.col("d").alias(f"d{c}"), F.col("w").alias(f"w{c}"))
+def later_of(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """(at) of the later classes of pairs (a, b) that match the other, by their token sets words (at, d, w)."""
+    side = lambda c: words.select(F.col("at").alias(c), F.col("d").alias(f"d{c}"), F.col("w").alias(f"w{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     inter = F.size(F.array_intersect("wa", "wb"))
     same = inter * 100 >= (F.size("wa") + F.size("wb") - inter) * percent
     b_later = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    later = both.where(same).select(F.when(b_later, F.col("b")).otherwise(F.col("a")).alias("at")).distinct()
-    return stash(later, "line-later")
+    return both.where(same).select(F.when(b_later, F.col("b")).otherwise(F.col("a")).alias("at")).distinct()
 
 
 def matches(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(at) of the classes that an earlier class matches, a stashed table."""
-    hot, settled, temporary = hot_keys(sets), None, []
-    first = stash(leaders(hot, percent), "line-leaders")
-    temporary.append(first)
-    if not first.isEmpty():
-        settled = verified(docs, first, percent)
-        temporary.append(settled)
-    pairs = stash(cold_pairs(sets, percent).union(hot_pairs(hot, settled, percent)).distinct(), "line-pairs")
-    temporary.append(pairs)
-    rest = verified(docs, pairs, percent)
+    cold = stash(cold_meetings(sets, percent), "line-meetings")
+    hot = stash(hot_keys(sets, percent).unionByName(crowd_keys(cold, sets, percent)), "line-hot")
+    settled = settled_by_leaders(docs, hot, percent)
+    pairs = stash(cold.where("pos IS NULL").select("a", "b").union(hot_pairs(hot, settled, percent)).distinct(), "line-pairs")
+    discard(cold, hot)
+    out = stash(later_of(pairs, token_rows(docs, pairs, 2 * pairs.count()), percent), "line-later")
+    discard(pairs)
     if settled is None:
-        out = rest
-    else:
-        out = stash(settled.union(rest).distinct(), "line-matches")
-        temporary.append(rest)
-    discard(*temporary)
-    return out
+        return out
+    both = stash(settled.union(out).distinct(), "line-matches")
+    discard(settled, out)
+    return both
 
 
 def removals(docs: DataFrame, percent: int = 80) -> DataFrame:

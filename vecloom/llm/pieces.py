@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import slices, spread, text_bytes
+from vecloom.llm.common import slices, spread, text_bytes, trim
 
 SPACE, UNKNOWN, BLANK = "▁", 10.0, 32
 SLICE, LONGEST, TOGETHER = 1 << 22, 256, 1 << 13
@@ -327,5 +327,6 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
                     to, own = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, np.add.reduceat(np.append(lengths, 0), np.cumsum(counts) - counts) * (counts > 0)))
                     same = np.array([np.array_equal(got[own[i] : own[i + 1]], wanted[to[i] : to[i + 1]]) for i in range(b - a)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int32)), _lists(flat, counts), pa.array(same)], ["doc_id", "n_pieces", "ids", "same"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_pieces int, ids array<int>, same boolean")
