@@ -155,3 +155,15 @@ def test_languages(spark):
     assert all(got[i].lang_pred == k for i, _, k in rows if got[i].held_out)
     assert got[500].lang_pred == got[501].lang_pred == "und" and all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in language_zstd.languages(d.where("lang IS NULL")).collect()} == {"und"}
+
+def test_more_licences(spark):
+    texts = {
+        "BSD-3-Clause": "Copyright Jane Doe\nAll rights reserved.\n\n" + licenses._bsd(3)[1].replace("\n\n", "\n * "), "BSD-2-Clause": "Copyright (c) 1999, X\n" + licenses._bsd(2)[2], "Unlicense": licenses._UNLICENSE.format("https", "/"),
+        "Apache-2.0": "Copyright Example Corp. 2020\n\n" + "\n".join("# " + x for x in licenses._APACHE_NOTICE.format("http").split(". ")), "MIT": "Copyright by Jane Doe\n" + licenses._MIT_BODY, "Zlib": licenses._ZLIB, "BSL-1.0": licenses._BOOST,
+        "LGPL-2.1-or-later": licenses._GNU_NOTICE.format(work="library", name="Lesser General Public License", version="2.1", web="https"),
+    }
+    rows = [(i, t) for i, t in enumerate(texts.values())] + [(90, "Copyright holders be liable for any claim"), (91, "released under the licence licence licence"), (92, None)]
+    got = {(r.doc_id, r.license_id) for r in licenses.license_hits(spark.createDataFrame(rows, "doc_id long, text string")).where("line_no IS NULL").collect()}
+    assert got == set(enumerate(texts))
+    forms = licenses.units(spark.createDataFrame([(1, "the licence licence licence"), (2, "copyright holders be liable for any claim"), (3, "Copyright Jane Doe\nx")], "doc_id long, text string"), "doc_id").collect()
+    assert {(r.doc_id, r.form) for r in forms} == {(1, "the license license license"), (2, "copyright holders be liable for any claim"), (3, "x")}
