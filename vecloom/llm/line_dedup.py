@@ -267,7 +267,7 @@ def keys_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw.view(np.uint64), own, np.arange(len(own)) - (at[:-1] // 8)[own]
 
 
-COLD = np.dtype([("key", "<u8"), ("at", "<i8"), ("s1", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+COLD = np.dtype([("key", "<u8"), ("d", "<i8"), ("at", "<i8"), ("s1", "<u8"), ("n", "<u4"), ("pos", "<u4")])
 
 
 def crowded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +281,7 @@ def crowded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def met(x: np.ndarray, percent: int) -> np.ndarray:
-    """(pairs, 2) places, the lesser first, of the rows (COLD) that share a key's first HASH_BITS bits and pass the filters."""
+    """(pairs, 2) places, the earlier class first, of the rows (COLD) that share a key's first HASH_BITS bits and pass the filters."""
     low = np.uint64(64 - HASH_BITS)
     sized = lambda n: np.minimum(n, (1 << (64 - HASH_BITS)) - 1).astype(np.uint64)
     key = x["key"] >> low << low
@@ -302,14 +302,15 @@ def met(x: np.ndarray, percent: int) -> np.ndarray:
         ok = (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) * (100 + percent) >= both * percent)
         a, b, both = a[ok], b[ok], both[ok]
         ok = (np.bitwise_count(s1[a] ^ s1[b]).astype(np.int64) * (100 + percent) <= both * (100 - percent)) & (place_of[a] != place_of[b])
-        a, b = place_of[a[ok]], place_of[b[ok]]
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        a, b = a[ok], b[ok]
+        later = (x["d"][a] > x["d"][b]) | ((x["d"][a] == x["d"][b]) & (place_of[a] > place_of[b]))
+        out.append(np.stack([place_of[np.where(later, b, a)], place_of[np.where(later, a, b)]], 1))
         done = upto
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
 def cold_meetings(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, pos): pairs of classes, a < b, that share a cold key and pass the filters (pos null); and for cold keys of more than CROWD
+    """(a, b, pos): pairs of classes, a the earlier, that share a cold key and pass the filters (pos null); and for cold keys of more than CROWD
     classes key, class and place (pos). Keys are dealt by a hash, in blocks of bytes, as a row a key would cost more than the work on it."""
     spark = sets.sparkSession
     n = sets.agg(F.sum(F.octet_length("cold") / 8)).first()[0] or 0
@@ -318,13 +319,13 @@ def cold_meetings(sets: DataFrame, percent: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, own, pos = keys_of(batch.column(3))
+            key, own, pos = keys_of(batch.column(4))
             if not len(key):
                 continue
             x = np.empty(len(key), COLD)
             x["key"], x["pos"] = key, pos
-            x["at"], x["n"] = (batch.column(c).to_numpy()[own] for c in (0, 1))
-            x["s1"] = batch.column(2).to_numpy().view(np.uint64)[own]
+            x["d"], x["at"], x["n"] = (batch.column(c).to_numpy()[own] for c in (0, 1, 2))
+            x["s1"] = batch.column(3).to_numpy().view(np.uint64)[own]
             part = (x["key"] >> np.uint64(64 - HASH_BITS)) % np.uint64(parts)
             order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
             x, part = x[order], part[order]
@@ -352,7 +353,7 @@ def cold_meetings(sets: DataFrame, percent: int) -> DataFrame:
             yield pairs()
         trim()
 
-    dealt = sets.select("at", "n", "s1", "cold").mapInArrow(deal, "part long, rows binary")
+    dealt = sets.select("d", "at", "n", "s1", "cold").mapInArrow(deal, "part long, rows binary")
     return dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long, pos int")
 
 
@@ -422,18 +423,15 @@ def settled_by_leaders(docs: DataFrame, hot: DataFrame, percent: int) -> DataFra
 
 
 def hot_pairs(hot: DataFrame, settled: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b): classes that share a key and pass the filters, the later of the two not settled."""
+    """(a, b): classes that share a key and pass the filters, a the earlier, b not settled."""
     small, large = hot.where("small"), hot.where("large")
     na, nb, pa_, pb = (F.col(x).cast("long") for x in ("a.n", "b.n", "a.pos", "b.pos"))
     most = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
     on = (F.col("a.key") == F.col("b.key")) & (na <= nb) & (F.col("a.at") != F.col("b.at")) & (most * (100 + percent) >= (na + nb) * percent) & fits("a", "b", percent)
-    pair = (F.least("a.at", "b.at").alias("a"), F.greatest("a.at", "b.at").alias("b"))
-    if settled is None:
-        return small.alias("a").join(large.alias("b"), on).select(*pair)
-    left = lambda t: t.join(settled, "at", "left_anti").select(t.columns)
     b_later = (F.col("a.d") < F.col("b.d")) | ((F.col("a.d") == F.col("b.d")) & (F.col("a.at") < F.col("b.at")))
-    one = small.alias("a").join(left(large).alias("b"), on & b_later).select(*pair)
-    return one.union(left(small).alias("a").join(large.alias("b"), on & ~b_later).select(*pair))
+    left = lambda t: t if settled is None else t.join(settled, "at", "left_anti").select(t.columns)
+    one = small.alias("a").join(left(large).alias("b"), on & b_later).select(F.col("a.at").alias("a"), F.col("b.at").alias("b"))
+    return one.union(left(small).alias("a").join(large.alias("b"), on & ~b_later).select(F.col("b.at").alias("a"), F.col("a.at").alias("b")))
 
 
 def _spots(at: np.ndarray, bits: int) -> np.ndarray:
@@ -441,7 +439,7 @@ def _spots(at: np.ndarray, bits: int) -> np.ndarray:
 
 
 def token_rows(docs: DataFrame, named: DataFrame, count: int) -> DataFrame:
-    """(at, d, w): the token sets of the lines at the places that named has in its columns, about count of them, and of some others."""
+    """(at, w): the token sets of the lines at the places that named has in its columns, about count of them, and of some others."""
     bits = min(FILTER_BITS, 8 * CHUNK << max(0, (2 * count // CHUNK).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -456,9 +454,9 @@ def token_rows(docs: DataFrame, named: DataFrame, count: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.frombuffer(marks, np.uint8)
         for batch in batches:
-            for a, b in slices(batch.column(1), BLOCK):
-                raw, starts, row, number = _lines(lowered(batch.column(1).slice(a, b - a)))
-                doc = batch.column(2).slice(a, b - a).to_numpy()
+            for a, b in slices(batch.column(0), BLOCK):
+                raw, starts, row, number = _lines(lowered(batch.column(0).slice(a, b - a)))
+                doc = batch.column(1).slice(a, b - a).to_numpy()
                 at = (doc[row] << PLACE_BITS) | number
                 spot = _spots(at, bits)
                 some = np.flatnonzero(marked[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
@@ -470,19 +468,35 @@ def token_rows(docs: DataFrame, named: DataFrame, count: int) -> DataFrame:
                 h, _, lines, start = token_sets(h, first, None)
                 lists = pa.ListArray.from_arrays(np.append(start, len(h)).astype(np.int32), h.view(np.int64))
                 of = some[lines]
-                yield pa.RecordBatch.from_pydict({"at": pa.array(at[of]), "d": batch.column(0).slice(a, b - a).take(pa.array(row[of])), "w": lists})
+                yield pa.RecordBatch.from_pydict({"at": pa.array(at[of]), "w": lists})
 
-    return docs.select("d", "text", "doc_row").mapInArrow(scan, "at long, d long, w array<long>")
+    return docs.select("text", "doc_row").mapInArrow(scan, "at long, w array<long>")
 
 
 def later_of(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
-    """(at) of the later classes of pairs (a, b) that match the other, by their token sets words (at, d, w)."""
-    side = lambda c: words.select(F.col("at").alias(c), F.col("d").alias(f"d{c}"), F.col("w").alias(f"w{c}"))
+    """(at) of the classes b of pairs (a, b) that match their a, by the token sets words (at, w)."""
+    side = lambda c: words.select(F.col("at").alias(c), F.col("w").alias(f"w{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     inter = F.size(F.array_intersect("wa", "wb"))
     same = inter * 100 >= (F.size("wa") + F.size("wb") - inter) * percent
-    b_later = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    return both.where(same).select(F.when(b_later, F.col("b")).otherwise(F.col("a")).alias("at")).distinct()
+    return both.where(same).select(F.col("b").alias("at")).distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(at) of the classes b of pairs (a, b), a stashed table, that match an a, a stashed table. One a of each b is tried first, twice: most
+    pairs are of groups whose members all match the first, and token sets are shuffled with each pair that is tried."""
+    words = stash(token_rows(docs, pairs, 2 * pairs.count()), "line-words")
+    left, found = pairs, []
+    for _ in range(2):
+        first = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        found.append(stash(later_of(first, words, percent), "line-later"))
+        left = left.join(first, ["a", "b"], "left_anti").join(found[-1].select(F.col("at").alias("b")), "b", "left_anti").select("a", "b")
+    out = later_of(left, words, percent)
+    for hits in found:
+        out = out.union(hits)
+    out = stash(out, "line-later")
+    discard(words, *found)
+    return out
 
 
 def matches(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -490,9 +504,12 @@ def matches(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     cold = stash(cold_meetings(sets, percent), "line-meetings")
     hot = stash(hot_keys(sets, percent).unionByName(crowd_keys(cold, sets, percent)), "line-hot")
     settled = settled_by_leaders(docs, hot, percent)
-    pairs = stash(cold.where("pos IS NULL").select("a", "b").union(hot_pairs(hot, settled, percent)).distinct(), "line-pairs")
+    found = cold.where("pos IS NULL").select("a", "b").union(hot_pairs(hot, settled, percent)).distinct()
+    if settled is not None:
+        found = found.join(settled.select(F.col("at").alias("b")), "b", "left_anti").select("a", "b")
+    pairs = stash(found, "line-pairs")
     discard(cold, hot)
-    out = stash(later_of(pairs, token_rows(docs, pairs, 2 * pairs.count()), percent), "line-later")
+    out = verified(docs, pairs, percent)
     discard(pairs)
     if settled is None:
         return out
