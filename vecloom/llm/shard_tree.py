@@ -7,7 +7,9 @@ rack and one shard, and shards are never regrouped: only draws of the root chang
 
 Law: key. Nulls: a null text has size 1 and the checksum of no bytes; null ids draw as the text "null". Equal ids go to
 one shard; repeated rows get slots of their own, in an order that among equal rows is arbitrary. An empty table gives no rows.
-Slots are numbered in blocks of about BLOCK_ROWS rows, and the blocks' counts are summed: no task holds a whole shard.
+Slots are numbered in blocks of about BLOCK_ROWS rows, and the blocks' counts are summed: no task holds a whole shard. Rows of one id
+(or of none) fall into one block; there they are numbered by ranges of the checksum, and equal rows are counted first, so that a
+frequent id is spread over tasks too.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
-#: Bits of a digest that make a draw.
-BITS = 52
+#: Bits of a digest that make a draw, and of a checksum that number the rows of a range.
+BITS, PART_SHIFT = 52, 20
 
 
 @dataclass(frozen=True)
@@ -95,16 +97,22 @@ def sharded(docs: DataFrame, root: Node) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of docs (doc_id, text)."""
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     blocks = max(1, -(-docs.count() // BLOCK_ROWS))
-    rows = place(place(rows, root, key, "shard"), grow(root), key, "grown_shard")
-    rows = rows.withColumn("block", F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("block:"), key)), 1, 12), 16, 10).cast("long"), F.lit(blocks)))
-    counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.select("shard", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    own = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")) - 1
-    return rows.withColumn("own", own).join(start, ["shard", "block"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("own")).alias("slot"), "grown_shard"
+    once = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("m")).withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    once = place(place(once, root, F.col("key"), "shard"), grow(root), F.col("key"), "grown_shard")
+    block = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("block:"), F.col("key"))), 1, 12), 16, 10).cast("long"), F.lit(blocks))
+    once = once.withColumn("block", block).withColumn("part", F.shiftright("text_crc32", PART_SHIFT))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = once.groupBy("shard", "block", "key", "doc_id", "part").agg(F.sum("m").alias("n"))
+    inner = F.coalesce(F.sum("n").over(before("shard", "block").orderBy("doc_id", "part")), F.lit(0))
+    parts = sums.select("shard", "block", "key", "part", inner.alias("inner"))
+    counts = sums.groupBy("shard", "block").agg(F.sum("n").alias("n"))
+    start = counts.select("shard", "block", F.coalesce(F.sum("n").over(before("shard").orderBy("block")), F.lit(0)).alias("start"))
+    own = F.coalesce(F.sum("m").over(before("shard", "block", "key", "part").orderBy("text_crc32", "size")), F.lit(0))
+    placed = once.withColumn("own", own).join(parts, ["shard", "block", "key", "part"]).join(start, ["shard", "block"])
+    every = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    return every.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("inner") + F.col("own") + F.col("copy")).alias("slot"), "grown_shard"
     )
 
 
