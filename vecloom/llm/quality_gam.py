@@ -178,14 +178,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         for b in batches:
             x = features(b.column(1))
             lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), lists], ["doc_id", "y", "h", "x"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
-    got = own.mapInArrow(scan, "doc_id long, y int, x array<double>").limit(2 * rows).toArrow()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y", F.xxhash64("text").alias("h"))
+    rated = own.mapInArrow(scan, "doc_id long, y int, h long, x array<double>")
+    # documents of one id are rows of their own: again the first by hashes, so that the model does not depend on the order of tasks
+    got = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "h").limit(rows).toArrow()
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)) if len(got) else np.zeros((0, len(NAMES)))
-    y = got["y"].to_numpy().astype(float)
-    order = np.lexsort((*x.T, y, got["doc_id"].to_numpy()))
-    return fit(x[order], y[order])
+    return fit(x, got["y"].to_numpy().astype(float))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
