@@ -16,21 +16,36 @@ KNN_SCHEMA = "qid long, vec_id long, dist double"
 QUERY_BYTES = 1 << 26
 
 
+#: Query sets of up to so many rows are fetched at once, larger ones a partition at a time.
+AT_ONCE = 8192
+
+
 def collect_queries(queries: DataFrame, row_bytes: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (ids, matrix), so that neither the driver nor a task holds more than QUERY_BYTES; row_bytes is for one query, its
     vector if not given."""
-    ids, rows, block = [], [], 1
-    for r in queries.select("qid", "embedding").toLocalIterator():
-        if r[1] is None or (rows and len(r[1]) != len(rows[0])):
+    rows = queries.select("qid", "embedding")
+    some = rows.limit(AT_ONCE + 1).toArrow().combine_chunks()
+    if len(some) <= AT_ONCE:
+        if not len(some):
+            return
+        q = kernels.matrix(pa.concat_arrays(some["embedding"].chunks))
+        if some["qid"].null_count:
+            raise ValueError("queries have null ids")
+        ids, block = some["qid"].to_numpy().astype(np.int64), max(1, QUERY_BYTES // (row_bytes or 8 * max(1, q.shape[1])))
+        for at in range(0, len(ids), block):
+            yield ids[at : at + block], q[at : at + block]
+        return
+    ids, held = [], []
+    for r in rows.toLocalIterator():
+        if r[1] is None or (held and len(r[1]) != len(held[0])):
             raise ValueError("queries are null or of several lengths")
         ids.append(r[0])
-        rows.append(r[1])
-        block = max(1, QUERY_BYTES // (row_bytes or 8 * max(1, len(r[1]))))
-        if len(ids) == block:
-            yield _block(ids, rows)
-            ids, rows = [], []
+        held.append(r[1])
+        if len(ids) == max(1, QUERY_BYTES // (row_bytes or 8 * max(1, len(r[1])))):
+            yield _block(ids, held)
+            ids, held = [], []
     if ids:
-        yield _block(ids, rows)
+        yield _block(ids, held)
 
 
 def _block(ids: list, rows: list) -> tuple[np.ndarray, np.ndarray]:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import kernels
 from vecloom.operators.exact import KNN_SCHEMA, collect_queries, union_blocks
-from vecloom.operators.kmeans import Model, assign, kmeans
+from vecloom.operators.kmeans import Model, assign, kmeans, lloyd
 from vecloom.operators.pq import code_matrix
-from vecloom.operators.topk import first_rows, top_k
+from vecloom.operators.topk import FEW, first_rows, top_k
 
 #: Rows of the learning set, if not given: all rows over this.
 LEARN_SHARE = 20
@@ -48,6 +48,14 @@ def ivf_train(df: DataFrame, kc: int = 8192, m: int = 8, k: int = 256, nr: int |
     nr = rows.count() // LEARN_SHARE if nr is None else nr
     if kc > nr or k > nr:
         raise ValueError(f"{nr} learning rows for {kc} cells and {k} codes")
+    if nr <= FEW:  # one process holds them
+        some = first_rows(rows, nr).orderBy("vec_id").select("embedding").toArrow().combine_chunks()
+        x = kernels.matrix(pa.concat_arrays(some["embedding"].chunks))
+        if max(kc, k) > len(x):
+            raise ValueError(f"{len(x)} learning rows for {kc} cells and {k} codes")
+        coarse = lloyd(x, x[:kc], **options)
+        rest = x - coarse.centroids[0][kernels.nearest(x, coarse.centroids[0])[0]]
+        return IvfModel(coarse, lloyd(rest, rest[:k], m, **options))
     learn = first_rows(rows, nr).persist()
     try:
         coarse = kmeans(learn, kc, **options)

@@ -114,11 +114,15 @@ def kmeans(df: DataFrame, k: int, groups: int = 1, eps: float = 0.01, tmin: int
         if len(start) < k:
             raise ValueError(f"{len(start)} rows for {k} centroids")
         init = np.array([r["embedding"] for r in sorted(start, key=lambda r: r["vec_id"])], dtype=np.float64)
-    dim = init.shape[1]
+    return lloyd(held(df, init.shape[1]), init, groups, eps, tmin, tmax, empty)
+
+
+def lloyd(rows: DataFrame | np.ndarray, init: np.ndarray, groups: int = 1, eps: float = 0.01, tmin: int = 10, tmax: int = 100, empty: str = "zero") -> Model:
+    """The iterations of kmeans, from the centroids init (k, dimension), on a table (embedding) or a matrix."""
+    k, dim = init.shape
     if dim % groups:
         raise ValueError(f"dimension {dim} is not divisible by {groups} groups")
     c = np.ascontiguousarray(init.reshape(k, groups, dim // groups).transpose(1, 0, 2))
-    rows = held(df, dim)
     sums, n, cost = step(rows, c)
     live, rounds, history = np.ones(groups, bool), np.zeros(groups, int), [cost.copy()]
     previous, t = np.full(groups, np.inf), 0
