@@ -15,13 +15,16 @@ earlier one stays.
    of sizes a and b). One pair more is left whole. So a line has at most about 0.4 n keys, at any size of corpus. A key is used
    towards sets of no fewer tokens, of no more, or both, as far as enough tokens are hot: lines of one template with rare tokens of
    their own share keys, but meet no lines of their size.
-4. A cold key has fewer than 2^HOT classes, so cold keys meet in Arrow tasks, in blocks that are dealt by key, which make the pairs of
-   up to CROWD classes. Pair keys have no such bound: they, and cold keys of more classes, meet in a join that Spark can split. There,
+4. A cold key has fewer than 2^HOT classes, so cold keys meet in Arrow tasks, in blocks that are dealt by key, which compare up to
+   CROWD classes. Pair keys have no such bound: they, and cold keys of more classes, meet in a join that Spark can split. There,
    classes of keys that more than LEAD share are first compared with the earliest class of each such key, in ROUNDS rounds: what
-   matches is settled and stands back, so that large groups of near copies need no pairs among themselves. This only saves work: what
-   is not settled is compared with all.
+   matches is settled and stands back, so that large groups of near copies need no pairs among themselves. Blocks of cold keys give one
+   pair a class at first, with the earliest class that it may match; only classes that had more and are not settled by it meet again,
+   with all others. This only saves work: what is not settled is compared with all.
 5. Of classes that meet, those stay that pass the length filter, the positional filter (what can still be common) and the parity
-   sketch of 64 bits (two token sets differ in at least as many tokens as their sketches in bits).
+   sketch (two token sets differ in at least as many tokens as their sketches in bits). A sketch of few bits lets all pairs of long
+   sets pass, similar or not, so it has 64 bits, 128 from MIDDLE tokens, and in blocks of cold keys 1024 from LONG tokens. A longer
+   one is folded to a shorter one by the exclusive or of its words.
 6. What stays is verified on full token sets, which another pass makes of the lines that are named in pairs.
 
 Lines without words are never removed and match nothing. A null text stays null. Null ids come first in the order, with the least
@@ -48,10 +51,14 @@ CROWD, LEAD, ROUNDS = 512, 32, 5
 BLOCK = 1 << 17
 #: A line's place is its row number and its number in the row.
 PLACE_BITS = 28
+#: Words of the longest sketch, and tokens from which sets have two words, and that one.
+WORDS, MIDDLE, LONG = 16, 64, 192
 #: Cold keys are compared by their first bits; the size of a set fills the 64. Words that share these stay apart when pairs are verified.
 HASH_BITS = 39
-#: Cold keys of a block, and pairs that are looked at together.
-PART_KEYS, PAIRS = 1 << 19, 1 << 18
+#: Cold keys of a block, pairs that are looked at together, and those of them whose longest sketches are.
+PART_KEYS, PAIRS, WIDE = 1 << 19, 1 << 18, 1 << 14
+#: Sizes of sets are told apart so many to a doubling where keys are filtered.
+BANDS = 8
 #: Bits of the filter of wanted lines: about 16 a line, in chunks; more lines than it can hold only let other lines pass.
 FILTER_BITS = 1 << 27
 LEAST = -(1 << 63)
@@ -191,9 +198,22 @@ def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
 
 
+def sketches(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> dict[str, pa.Array]:
+    """Parity sketches of token sets: s1, all words of a sketch folded to one; s2, its odd words, from MIDDLE tokens, else 0; and
+    sketch, all WORDS words, from LONG tokens, else empty."""
+    word, bit = (h >> np.uint64(60)).astype(np.int64), np.uint64(1) << (h >> np.uint64(54) & np.uint64(63))
+    fold = lambda some: np.bitwise_xor.reduceat(some, start)
+    s2 = np.where(n >= MIDDLE, fold(np.where(word & 1, bit, np.uint64(0))), np.uint64(0))
+    long = n >= LONG
+    of, some = np.repeat(np.cumsum(long) - 1, n), np.repeat(long, n)
+    full = np.zeros((int(long.sum()), WORDS), np.uint64)
+    np.bitwise_xor.at(full, (of[some], word[some]), bit[some])
+    return {"s1": pa.array(fold(bit).view(np.int64)), "s2": pa.array(s2.view(np.int64)), "sketch": binaries(full.ravel(), np.where(long, WORDS, 0))}
+
+
 def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.Array]:
-    """The lines with words of some texts: row, line_no, h1, h2 (two hashes of the token set), n (tokens), s1 (parity bits of the
-    tokens), cold and hot (keys; a key's place among both is the place of its token, or of the first of its two, in the line)."""
+    """The lines with words of some texts: row, line_no, h1, h2 (two hashes of the token set), n (tokens), s1, s2 and sketch (see
+    sketches), cold and hot (keys; a key's place among both is the place of its token, or of the first of its two, in the line)."""
     row, number, h, first = _hashed_lines(col)
     h, level, lines, start = token_sets(h, first, table)
     n = np.diff(np.append(start, len(h)))
@@ -217,13 +237,13 @@ def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.
         "h1": pa.array(np.add.reduceat(mix(h), start).view(np.int64)),
         "h2": pa.array(np.add.reduceat(mix(h ^ np.uint64(STEP)), start).view(np.int64)),
         "n": pa.array(n.astype(np.int32)),
-        "s1": pa.array(np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start).view(np.int64)),
+        **sketches(h, start, n),
         "cold": binaries(h[cold], count(cold)),
         "hot": binaries(mix(mix(h[at]) * np.uint64(STEP) + h[at + 1]), count(pair)),
     }
 
 
-LINES = "d long, doc_row long, line_no int, h1 long, h2 long, n int, s1 long, cold binary, hot binary"
+LINES = "d long, doc_row long, line_no int, h1 long, h2 long, n int, s1 long, s2 long, sketch binary, cold binary, hot binary"
 
 
 def place(row: Column, line_no: Column) -> Column:
@@ -255,8 +275,8 @@ def classes(wide: DataFrame) -> DataFrame:
     whole = lambda c: c.cast("decimal(20,0)")
     span = whole(F.lit(1 << 62)) * 2
     order = (whole(F.col("d")) * span).cast("decimal(38,0)") + whole(place(F.col("doc_row"), F.col("line_no")))
-    once = wide.groupBy("h1", "h2", "n", "s1", "cold", "hot").agg(F.min(order.cast("decimal(38,0)")).alias("first"), F.min("d").alias("d"), F.count(F.lit(1)).alias("lines"))
-    return once.select("h1", "h2", "n", "s1", "cold", "hot", "d", "lines", F.pmod("first", span).cast("long").alias("at"))
+    once = wide.groupBy("h1", "h2", "n", "s1", "s2", "sketch", "cold", "hot").agg(F.min(order.cast("decimal(38,0)")).alias("first"), F.min("d").alias("d"), F.count(F.lit(1)).alias("lines"))
+    return once.select("h1", "h2", "n", "s1", "s2", "sketch", "cold", "hot", "d", "lines", F.pmod("first", span).cast("long").alias("at"))
 
 
 def keys_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,97 +287,193 @@ def keys_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw.view(np.uint64), own, np.arange(len(own)) - (at[:-1] // 8)[own]
 
 
-COLD = np.dtype([("key", "<u8"), ("d", "<i8"), ("at", "<i8"), ("s1", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+COLD = np.dtype([("key", "<u8"), ("d", "<i8"), ("at", "<i8"), ("s1", "<u8"), ("s2", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("open", "u1")])
+
+
+def planes(x: np.ndarray) -> bytes:
+    """rows (COLD) byte by byte of all rows: most bytes of numbers are 0, and the shuffle compresses runs."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), COLD.itemsize).T).tobytes()
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(COLD.itemsize, -1).T).view(COLD).ravel()
+
+
+def first_bits(key: np.ndarray) -> np.ndarray:
+    low = np.uint64(64 - HASH_BITS)
+    return key >> low << low
 
 
 def crowded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """rows (COLD) of keys with at most CROWD rows, and of those with more."""
+    """The places in x (COLD) of keys with at most CROWD rows, and of those with more."""
     order = np.argsort(x["key"])
-    x = x[order]
-    start = np.flatnonzero(np.concatenate([[True], x["key"][1:] != x["key"][:-1]])) if len(x) else np.zeros(0, np.int64)
+    key = x["key"][order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(x) else np.zeros(0, np.int64)
     count = np.diff(np.append(start, len(x)))
     many = np.repeat(count > CROWD, count)
-    return x[~many], x[many]
+    return order[~many], order[many]
 
 
-def met(x: np.ndarray, percent: int) -> np.ndarray:
-    """(pairs, 2) places, the earlier class first, of the rows (COLD) that share a key's first HASH_BITS bits and pass the filters."""
-    low = np.uint64(64 - HASH_BITS)
+def met(x: np.ndarray, full: np.ndarray, percent: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """((pairs, 2) places, the earlier class first, of the rows (COLD) that share a key's first HASH_BITS bits and pass the filters;
+    whether the later class has more pairs). full: a sketch of WORDS words for each row of LONG or more tokens. With first, the
+    earliest pair of each later class; without, all pairs of later classes that are open."""
     sized = lambda n: np.minimum(n, (1 << (64 - HASH_BITS)) - 1).astype(np.uint64)
-    key = x["key"] >> low << low
+    key = first_bits(x["key"])
     code = key | sized(x["n"])
     order = np.argsort(code)
+    spot = (np.cumsum(x["n"] >= LONG) - 1)[order]
     x, key, code = x[order], key[order], code[order]
     # by key and size: a row's partners are the next ones, up to the size that the length filter lets pass
     ends = np.searchsorted(code, key | sized(x["n"].astype(np.int64) * 100 // percent), side="right")
     many = ends - np.arange(1, len(x) + 1)
     total = np.concatenate([[0], np.cumsum(many)])
     out, done = [], 0
-    n, pos, s1, place_of = x["n"].astype(np.int64), x["pos"].astype(np.int64), x["s1"], x["at"]
+    n, pos, s1, s2, place_of = x["n"].astype(np.int64), x["pos"].astype(np.int64), x["s1"], x["s2"], x["at"]
     while done < len(x):
         upto = max(done + 1, int(np.searchsorted(total, total[done] + PAIRS, side="right")) - 1)
         a = np.repeat(np.arange(done, upto), many[done:upto])
         b = a + 1 + np.arange(len(a)) - (total[done:upto] - total[done])[a - done]
+        done = upto
         both = n[a] + n[b]
         ok = (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) * (100 + percent) >= both * percent)
         a, b, both = a[ok], b[ok], both[ok]
-        ok = (np.bitwise_count(s1[a] ^ s1[b]).astype(np.int64) * (100 + percent) <= both * (100 - percent)) & (place_of[a] != place_of[b])
+        few = lambda bits, both: bits * (100 + percent) <= both * (100 - percent)
+        ok = few(np.bitwise_count(s1[a] ^ s1[b]).astype(np.int64), both) & (place_of[a] != place_of[b])
+        a, b, both = a[ok], b[ok], both[ok]
+        odd = np.where((n[a] >= MIDDLE) & (n[b] >= MIDDLE), s2[a] ^ s2[b], np.uint64(0))
+        ok = few(np.bitwise_count(s1[a] ^ s1[b] ^ odd).astype(np.int64) + np.bitwise_count(odd), both)
+        a, b, both = a[ok], b[ok], both[ok]
+        ok, wide = np.ones(len(a), bool), np.flatnonzero((n[a] >= LONG) & (n[b] >= LONG))
+        for some in np.split(wide, range(WIDE, len(wide), WIDE)):
+            ok[some] = few(np.bitwise_count(full[spot[a[some]]] ^ full[spot[b[some]]]).sum(axis=1, dtype=np.int64), both[some])
         a, b = a[ok], b[ok]
         later = (x["d"][a] > x["d"][b]) | ((x["d"][a] == x["d"][b]) & (place_of[a] > place_of[b]))
-        out.append(np.stack([place_of[np.where(later, b, a)], place_of[np.where(later, a, b)]], 1))
-        done = upto
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        a, b = np.where(later, b, a), np.where(later, a, b)
+        if not first:
+            some = x["open"][b] > 0
+            a, b = a[some], b[some]
+        out.append(np.stack([place_of[b], place_of[a]], 1))
+    if not out:
+        return np.zeros((0, 2), np.int64), np.zeros(0, bool)
+    got = np.unique(np.concatenate(out), axis=0)[:, ::-1]
+    if not first:
+        return got, np.zeros(len(got), bool)
+    start = np.flatnonzero(np.concatenate([[True], got[1:, 1] != got[:-1, 1]])) if len(got) else np.zeros(0, np.int64)
+    return got[start], np.diff(np.append(start, len(got))) > 1
+
+
+def marked(places: DataFrame, count: int) -> tuple[bytes, int]:
+    """(a filter of the places in all columns, about count of them; its bits). It has all of them, and some others."""
+    bits = min(FILTER_BITS, 8 * CHUNK << max(0, (2 * count // CHUNK).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(bits, bool)
+        for batch in batches:
+            for c in batch.columns:
+                out[_spots(c.to_numpy(), bits)] = True
+        return np.packbits(out, bitorder="little")
 
+    return chunked(places, mark, lambda n: n.astype(np.uint8), "u1", bits // 8, np.bitwise_or).tobytes(), bits
 
-def cold_meetings(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, pos): pairs of classes, a the earlier, that share a cold key and pass the filters (pos null); and for cold keys of more than CROWD
-    classes key, class and place (pos). Keys are dealt by a hash, in blocks of bytes, as a row a key would cost more than the work on it."""
+
+def _spots(at: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(at.view(np.uint64) + np.uint64(STEP)) % np.uint64(bits)).astype(np.int64)
+
+
+def has(marks: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:
+    spot = _spots(at, bits)
+    return (marks[spot >> 3] >> (spot & 7).astype(np.uint8) & 1) > 0
+
+
+def banded(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Keys with the logarithm of a size in the bits that first_bits leaves free."""
+    return first_bits(key) + (BANDS * np.log2(n)).astype(np.uint64)
+
+
+def cold_meetings(sets: DataFrame, percent: int, again: DataFrame | None = None) -> DataFrame:
+    """(a, b, pos, more): pairs of classes, a the earlier, that share a cold key and pass the filters (pos null), of each block and b the one
+    with the earliest a, and whether there are more; and for cold keys of more than CROWD classes key, class and place (pos). With
+    again (at): all pairs of these classes b, and of some others, but for keys of more than CROWD classes. Keys are dealt by a hash, in
+    blocks of bytes, as a row a key would cost more than the work on it."""
     spark = sets.sparkSession
     n = sets.agg(F.sum(F.octet_length("cold") / 8)).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n / PART_KEYS) + 1)
     parts = min(4 * tasks, 1 << 31)
+    opened = keys = reach = None
+    first = again is None
+    if not first:
+        opened = marked(again, again.count())
+        reach = int(BANDS * np.log2(100 / percent)) + 2
+
+        def keys_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marks = np.frombuffer(opened[0], np.uint8)
+            for batch in batches:
+                some = has(marks, opened[1], batch.column(0).to_numpy())
+                key, own, _ = keys_of(batch.column(2).filter(pa.array(some)))
+                sized = banded(key, batch.column(1).to_numpy()[some][own])
+                yield pa.RecordBatch.from_pydict({"key": pa.array((sized[:, None] + np.arange(2 * reach + 1, dtype=np.uint64)).ravel().view(np.int64))})
+
+        wanted = stash(sets.select("at", "n", "cold").mapInArrow(keys_at, "key long"), "line-keys")
+        keys = marked(wanted, wanted.count())
+        discard(wanted)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, open_keys = (np.frombuffer(x[0], np.uint8) if x else None for x in (opened, keys))
         for batch in batches:
-            key, own, pos = keys_of(batch.column(4))
+            key, own, pos = keys_of(batch.column(6))
+            key = first_bits(key)
+            if keys:
+                some = has(open_keys, keys[1], banded(key, batch.column(2).to_numpy()[own]) + np.uint64(reach))
+                key, own, pos = key[some], own[some], pos[some]
             if not len(key):
                 continue
-            x = np.empty(len(key), COLD)
+            x = np.zeros(len(key), COLD)
             x["key"], x["pos"] = key, pos
             x["d"], x["at"], x["n"] = (batch.column(c).to_numpy()[own] for c in (0, 1, 2))
-            x["s1"] = batch.column(3).to_numpy().view(np.uint64)[own]
-            part = (x["key"] >> np.uint64(64 - HASH_BITS)) % np.uint64(parts)
-            order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
-            x, part = x[order], part[order]
+            x["s1"], x["s2"] = (batch.column(c).to_numpy().view(np.uint64)[own] for c in (3, 4))
+            if opened:
+                x["open"] = has(marks, opened[1], batch.column(1).to_numpy())[own]
+            long = np.cumsum(batch.column(2).to_numpy() >= LONG) - 1
+            full = text_bytes(batch.column(5))[0].view(np.uint64).reshape(-1, WORDS)
+            part = ((x["key"] >> np.uint64(64 - HASH_BITS)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+            order = np.lexsort((x["n"], part))
+            x, own, part = x[order], own[order], part[order].astype(np.int64)
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            yield pa.RecordBatch.from_pydict({"part": pa.array(part[cut[:-1]].astype(np.int64)), "rows": pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+            ranges = list(zip(cut[:-1], cut[1:], strict=True))
+            wide = [full[long[own[a:b]][x["n"][a:b] >= LONG]].tobytes() for a, b in ranges]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part[cut[:-1]]), "rows": pa.array([planes(x[a:b]) for a, b in ranges], pa.binary()), "full": pa.array(wide, pa.binary())})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part = [], None
+        held, wide, part = [], [], None
 
         def pairs() -> pa.RecordBatch:
-            few, many = crowded(np.frombuffer(b"".join(held), COLD))
-            got = met(few, percent)
-            a, b = (np.concatenate([got[:, i], x]) for i, x in ((0, many["key"].view(np.int64)), (1, many["at"])))
+            x, full = np.concatenate(held), np.frombuffer(b"".join(wide), np.uint64).reshape(-1, WORDS)
+            few, many = crowded(x)
+            spot, some = np.cumsum(x["n"] >= LONG) - 1, few[x["n"][few] >= LONG]
+            got, more = met(x[few], full[spot[some]], percent, first)
+            many = x[many if first else many[:0]]
+            a, b = (np.concatenate([got[:, i], y]) for i, y in ((0, many["key"].view(np.int64)), (1, many["at"])))
             pos = pa.array(np.concatenate([np.zeros(len(got)), many["pos"]]).astype(np.int32), mask=np.arange(len(a)) < len(got))
-            return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "pos": pos})
+            return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "pos": pos, "more": pa.array(np.concatenate([more, np.zeros(len(many), bool)]))})
 
         for batch in batches:
-            for p, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for p, rows, full in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if p != part and held:
                     yield pairs()
-                    held = []
+                    held, wide = [], []
                 part = p
-                held.append(rows)
+                held.append(unplaned(rows))
+                wide.append(full)
         if held:
             yield pairs()
         trim()
 
-    dealt = sets.select("d", "at", "n", "s1", "cold").mapInArrow(deal, "part long, rows binary")
-    return dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long, pos int")
+    dealt = sets.select("d", "at", "n", "s1", "s2", "sketch", "cold").mapInArrow(deal, "part long, rows binary, full binary")
+    return dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long, pos int, more boolean")
 
 
-HOT_KEYS = "key long, d long, at long, n int, pos int, s1 long, small boolean, large boolean"
+HOT_KEYS = "key long, d long, at long, n int, pos int, s1 long, s2 long, small boolean, large boolean"
 
 
 def hot_keys(sets: DataFrame, percent: int) -> DataFrame:
@@ -365,33 +481,34 @@ def hot_keys(sets: DataFrame, percent: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, own, pos = keys_of(batch.column(5))
-            colds = np.diff(text_bytes(batch.column(4))[1]) // 8  # all cold tokens, as fewer than the prefix are cold
+            key, own, pos = keys_of(batch.column(6))
+            colds = np.diff(text_bytes(batch.column(5))[1]) // 8  # all cold tokens, as fewer than the prefix are cold
             pos = pos + colds[own]
             large, small = by_size(lambda a, c: hot_prefixes(a, c, percent), batch.column(2).to_numpy().astype(np.int64), colds)
             rows = pa.array(own)
             take = lambda c: batch.column(c).take(rows)
             yield pa.RecordBatch.from_pydict(
                 {"key": pa.array(key.view(np.int64)), "d": take(0), "at": take(1), "n": take(2), "pos": pa.array(pos.astype(np.int32)), "s1": take(3),
-                 "small": pa.array(pos + 1 < small[own]), "large": pa.array(pos + 1 < large[own])}
+                 "s2": take(4), "small": pa.array(pos + 1 < small[own]), "large": pa.array(pos + 1 < large[own])}
             )
 
     some = sets.where(F.octet_length("hot") > 0)
-    return some.select("d", "at", "n", "s1", "cold", "hot").mapInArrow(scan, HOT_KEYS)
+    return some.select("d", "at", "n", "s1", "s2", "cold", "hot").mapInArrow(scan, HOT_KEYS)
 
 
 def crowd_keys(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """HOT_KEYS of the cold keys that more than CROWD classes share."""
-    rows = meetings.where("pos IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("at"), "pos").join(sets.select("d", "at", "n", "s1"), "at")
+    rows = meetings.where("pos IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("at"), "pos").join(sets.select("d", "at", "n", "s1", "s2"), "at")
     n = F.col("n").cast("long")
     of_own_size = n - F.ceil(n * 2 * percent / (100 + percent)) + 1  # the least overlap with a set of no fewer tokens is that with one of as many
-    return rows.select("key", "d", "at", "n", "pos", "s1", (F.col("pos") < of_own_size).alias("small"), F.lit(True).alias("large"))
+    return rows.select("key", "d", "at", "n", "pos", "s1", "s2", (F.col("pos") < of_own_size).alias("small"), F.lit(True).alias("large"))
 
 
 def fits(a: str, b: str, percent: int) -> Column:
     """The length filter and the parity sketch of rows a and b."""
     na, nb = (F.col(f"{x}.n").cast("long") for x in (a, b))
-    bits = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")))
+    odd = F.when((na >= MIDDLE) & (nb >= MIDDLE), F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2"))).otherwise(F.lit(0).cast("long"))
+    bits = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")).bitwiseXOR(odd)) + F.bit_count(odd)
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (bits * (100 + percent) <= (na + nb) * (100 - percent))
 
 
@@ -406,7 +523,7 @@ def settled_by_leaders(docs: DataFrame, hot: DataFrame, percent: int) -> DataFra
     words = stash(token_rows(docs, named, named.count()), "line-crowd-words")
     settled, live = None, crowd
     for _ in range(ROUNDS):
-        lead = live.groupBy("key").agg(F.min(F.struct("d", "at", "n", "s1")).alias("a"), F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAD)
+        lead = live.groupBy("key").agg(F.min(F.struct("d", "at", "n", "s1", "s2")).alias("a"), F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAD)
         both = live.alias("b").join(lead.select("key", "a").alias("h"), "key").where((F.col("a.at") != F.col("b.at")) & fits("a", "b", percent))
         new = stash(later_of(both.select(F.col("a.at").alias("a"), F.col("b.at").alias("b")).distinct(), words, percent), "line-settled")
         if new.isEmpty():
@@ -434,32 +551,18 @@ def hot_pairs(hot: DataFrame, settled: DataFrame | None, percent: int) -> DataFr
     return one.union(left(small).alias("a").join(large.alias("b"), on & ~b_later).select(F.col("b.at").alias("a"), F.col("a.at").alias("b")))
 
 
-def _spots(at: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(at.view(np.uint64) + np.uint64(STEP)) % np.uint64(bits)).astype(np.int64)
-
-
 def token_rows(docs: DataFrame, named: DataFrame, count: int) -> DataFrame:
     """(at, w): the token sets of the lines at the places that named has in its columns, about count of them, and of some others."""
-    bits = min(FILTER_BITS, 8 * CHUNK << max(0, (2 * count // CHUNK).bit_length()))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(bits, bool)
-        for batch in batches:
-            for c in batch.columns:
-                out[_spots(c.to_numpy(), bits)] = True
-        return np.packbits(out, bitorder="little")
-
-    marks = chunked(named, mark, lambda n: n.astype(np.uint8), "u1", bits // 8, np.bitwise_or).tobytes()
+    marks, bits = marked(named, count)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.frombuffer(marks, np.uint8)
+        table = np.frombuffer(marks, np.uint8)
         for batch in batches:
             for a, b in slices(batch.column(0), BLOCK):
                 raw, starts, row, number = _lines(lowered(batch.column(0).slice(a, b - a)))
                 doc = batch.column(1).slice(a, b - a).to_numpy()
                 at = (doc[row] << PLACE_BITS) | number
-                spot = _spots(at, bits)
-                some = np.flatnonzero(marked[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+                some = np.flatnonzero(has(table, bits, at))
                 if not len(some):
                     continue
                 ends = np.append(starts, len(raw))
@@ -483,39 +586,49 @@ def later_of(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(at) of the classes b of pairs (a, b), a stashed table, that match an a, a stashed table. One a of each b is tried first, twice: most
-    pairs are of groups whose members all match the first, and token sets are shuffled with each pair that is tried."""
+    """(at) of the classes b of pairs (a, b), a stashed table, that match an a, a stashed table."""
     words = stash(token_rows(docs, pairs, 2 * pairs.count()), "line-words")
-    left, found = pairs, []
-    for _ in range(2):
-        first = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        found.append(stash(later_of(first, words, percent), "line-later"))
-        left = left.join(first, ["a", "b"], "left_anti").join(found[-1].select(F.col("at").alias("b")), "b", "left_anti").select("a", "b")
-    out = later_of(left, words, percent)
-    for hits in found:
-        out = out.union(hits)
-    out = stash(out, "line-later")
-    discard(words, *found)
+    out = stash(later_of(pairs, words, percent), "line-later")
+    discard(words)
+    return out
+
+
+def both_of(*tables: DataFrame | None) -> DataFrame | None:
+    """The rows of stashed tables (at), which are deleted, as a stashed table."""
+    some = [t for t in tables if t is not None]
+    if len(some) < 2:
+        return some[0] if some else None
+    out = some[0]
+    for t in some[1:]:
+        out = out.union(t)
+    out = stash(out.distinct(), "line-matches")
+    discard(*some)
     return out
 
 
 def matches(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(at) of the classes that an earlier class matches, a stashed table."""
+    """(at) of the classes that an earlier class matches, a stashed table. Classes that meet others at cold keys are tried with the
+    earliest of these first, and then, if they had more and did not match, with all: most pairs are of groups whose members all match
+    the first, and token sets are shuffled with each pair that is tried."""
     cold = stash(cold_meetings(sets, percent), "line-meetings")
     hot = stash(hot_keys(sets, percent).unionByName(crowd_keys(cold, sets, percent)), "line-hot")
     settled = settled_by_leaders(docs, hot, percent)
-    found = cold.where("pos IS NULL").select("a", "b").union(hot_pairs(hot, settled, percent)).distinct()
-    if settled is not None:
-        found = found.join(settled.select(F.col("at").alias("b")), "b", "left_anti").select("a", "b")
-    pairs = stash(found, "line-pairs")
-    discard(cold, hot)
-    out = verified(docs, pairs, percent)
+    left = lambda t: t if settled is None else t.join(settled.select(F.col("at").alias("b")), "b", "left_anti").select(t.columns)
+    least = cold.where("pos IS NULL").groupBy("b").agg(F.min("a").alias("a"), (F.max("more") | (F.min("a") < F.max("a"))).alias("more"))
+    first = stash(least.select("a", "b", "more"), "line-first")
+    discard(cold)
+    pairs = stash(left(first).select("a", "b"), "line-pairs")
+    settled = both_of(settled, verified(docs, pairs, percent))
+    discard(pairs)
+    again = stash(left(first.where("more")).select(F.col("b").alias("at")), "line-again")
+    found = hot_pairs(hot, settled, percent)
+    if not again.isEmpty():
+        found = found.union(cold_meetings(sets, percent, again).select("a", "b"))
+    pairs = stash(found.distinct(), "line-pairs")
+    discard(first, hot, again)
+    out = both_of(settled, verified(docs, pairs, percent))
     discard(pairs)
-    if settled is None:
-        return out
-    both = stash(settled.union(out).distinct(), "line-matches")
-    discard(settled, out)
-    return both
+    return out
 
 
 def removals(docs: DataFrame, percent: int = 80) -> DataFrame:
