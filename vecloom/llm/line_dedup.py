@@ -403,7 +403,8 @@ def cold_meetings(sets: DataFrame, percent: int, again: DataFrame | None = None)
     opened = keys = reach = None
     first = again is None
     if not first:
-        opened = marked(again, again.count())
+        # as few others as are asked for: all classes are looked up in the filter
+        opened = marked(again, max(again.count(), sets.count() // 2))
         reach = int(BANDS * np.log2(100 / percent)) + 2
 
         def keys_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,15 +513,14 @@ def fits(a: str, b: str, percent: int) -> Column:
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (bits * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def settled_by_leaders(docs: DataFrame, hot: DataFrame, percent: int) -> DataFrame | None:
-    """(at) of classes that match the earliest class of a key that more than LEAD classes share, a stashed table; None without such keys."""
+def crowd_of(hot: DataFrame) -> DataFrame:
+    """The rows of keys that more than LEAD classes share, a stashed table."""
     heavy = hot.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAD).select("key")
-    crowd = stash(hot.join(heavy, "key"), "line-crowd")
-    if crowd.isEmpty():
-        discard(crowd)
-        return None
-    named = stash(crowd.select("at").distinct(), "line-crowd-named")
-    words = stash(token_rows(docs, named, named.count()), "line-crowd-words")
+    return stash(hot.join(heavy, "key"), "line-crowd")
+
+
+def settled_by_leaders(crowd: DataFrame, words: DataFrame, percent: int) -> DataFrame | None:
+    """(at) of classes that match the earliest class of a key of crowd, by the token sets words, a stashed table; None without any."""
     settled, live = None, crowd
     for _ in range(ROUNDS):
         lead = live.groupBy("key").agg(F.min(F.struct("d", "at", "n", "s1", "s2")).alias("a"), F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAD)
@@ -535,7 +535,6 @@ def settled_by_leaders(docs: DataFrame, hot: DataFrame, percent: int) -> DataFra
             old, settled = settled, stash(settled.union(new), "line-settled")
             discard(old, new)
         live = crowd.join(settled, "at", "left_anti").select(crowd.columns)
-    discard(crowd, named, words)
     return settled
 
 
@@ -559,7 +558,7 @@ def token_rows(docs: DataFrame, named: DataFrame, count: int) -> DataFrame:
         table = np.frombuffer(marks, np.uint8)
         for batch in batches:
             for a, b in slices(batch.column(0), BLOCK):
-                raw, starts, row, number = _lines(lowered(batch.column(0).slice(a, b - a)))
+                raw, starts, row, number = _lines(batch.column(0).slice(a, b - a))
                 doc = batch.column(1).slice(a, b - a).to_numpy()
                 at = (doc[row] << PLACE_BITS) | number
                 some = np.flatnonzero(has(table, bits, at))
@@ -567,7 +566,9 @@ def token_rows(docs: DataFrame, named: DataFrame, count: int) -> DataFrame:
                     continue
                 ends = np.append(starts, len(raw))
                 own = np.concatenate([raw[starts[i] : ends[i + 1]] for i in some])
-                h, first = BLANK_WORDS.hashes(own, np.concatenate([[0], np.cumsum(ends[some + 1] - starts[some])]))
+                offsets = np.concatenate([[0], np.cumsum(ends[some + 1] - starts[some])])
+                own = pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(offsets), pa.py_buffer(own))
+                h, first = BLANK_WORDS.hashes(*text_bytes(lowered(own)))
                 h, _, lines, start = token_sets(h, first, None)
                 lists = pa.ListArray.from_arrays(np.append(start, len(h)).astype(np.int32), h.view(np.int64))
                 of = some[lines]
@@ -585,14 +586,6 @@ def later_of(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     return both.where(same).select(F.col("b").alias("at")).distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(at) of the classes b of pairs (a, b), a stashed table, that match an a, a stashed table."""
-    words = stash(token_rows(docs, pairs, 2 * pairs.count()), "line-words")
-    out = stash(later_of(pairs, words, percent), "line-later")
-    discard(words)
-    return out
-
-
 def both_of(*tables: DataFrame | None) -> DataFrame | None:
     """The rows of stashed tables (at), which are deleted, as a stashed table."""
     some = [t for t in tables if t is not None]
@@ -612,23 +605,29 @@ def matches(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     the first, and token sets are shuffled with each pair that is tried."""
     cold = stash(cold_meetings(sets, percent), "line-meetings")
     hot = stash(hot_keys(sets, percent).unionByName(crowd_keys(cold, sets, percent)), "line-hot")
-    settled = settled_by_leaders(docs, hot, percent)
-    left = lambda t: t if settled is None else t.join(settled.select(F.col("at").alias("b")), "b", "left_anti").select(t.columns)
     least = cold.where("pos IS NULL").groupBy("b").agg(F.min("a").alias("a"), (F.max("more") | (F.min("a") < F.max("a"))).alias("more"))
     first = stash(least.select("a", "b", "more"), "line-first")
+    crowd = crowd_of(hot)
     discard(cold)
-    pairs = stash(left(first).select("a", "b"), "line-pairs")
-    settled = both_of(settled, verified(docs, pairs, percent))
-    discard(pairs)
+    named = stash(crowd.select("at").union(first.select("a")).union(first.select("b")).distinct(), "line-named")
+    words = stash(token_rows(docs, named, 4 * named.count()), "line-words")
+    own = stash(words.join(crowd.select("at").distinct(), "at", "left_semi"), "line-crowd-words")
+    settled = settled_by_leaders(crowd, own, percent)
+    left = lambda t: t if settled is None else t.join(settled.select(F.col("at").alias("b")), "b", "left_anti").select(t.columns)
+    settled = both_of(settled, stash(later_of(left(first).select("a", "b"), words, percent), "line-later"))
+    discard(crowd, named, words, own)
     again = stash(left(first.where("more")).select(F.col("b").alias("at")), "line-again")
     found = hot_pairs(hot, settled, percent)
     if not again.isEmpty():
         found = found.union(cold_meetings(sets, percent, again).select("a", "b"))
     pairs = stash(found.distinct(), "line-pairs")
     discard(first, hot, again)
-    out = both_of(settled, verified(docs, pairs, percent))
+    if not pairs.isEmpty():
+        words = stash(token_rows(docs, pairs, 4 * pairs.count()), "line-words")
+        settled = both_of(settled, stash(later_of(pairs, words, percent), "line-later"))
+        discard(words)
     discard(pairs)
-    return out
+    return settled
 
 
 def removals(docs: DataFrame, percent: int = 80) -> DataFrame:
