@@ -444,6 +444,7 @@ def cold_meetings(sets: DataFrame, percent: int, again: DataFrame | None = None)
             ranges = list(zip(cut[:-1], cut[1:], strict=True))
             wide = [full[long[own[a:b]][x["n"][a:b] >= LONG]].tobytes() for a, b in ranges]
             yield pa.RecordBatch.from_pydict({"part": pa.array(part[cut[:-1]]), "rows": pa.array([planes(x[a:b]) for a, b in ranges], pa.binary()), "full": pa.array(wide, pa.binary())})
+        trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, wide, part = [], [], None
@@ -573,6 +574,7 @@ def token_rows(docs: DataFrame, named: DataFrame, count: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.append(start, len(h)).astype(np.int32), h.view(np.int64))
                 of = some[lines]
                 yield pa.RecordBatch.from_pydict({"at": pa.array(at[of]), "w": lists})
+        trim()
 
     return docs.select("text", "doc_row").mapInArrow(scan, "at long, w array<long>")
 
@@ -637,13 +639,15 @@ def removals(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("d"), "text", "doc_row")
     wide = stash(lines_of(docs, percent), "line-wide")
     sets = stash(classes(wide), "line-sets")
+    lines = stash(wide.select("h1", "h2", "n", "doc_row", "line_no"), "line-places")  # the keys are in sets
+    discard(wide)
     later = matches(docs, sets, percent)
     status = sets.select("h1", "h2", "n", "at", "lines").join(later.withColumn("later", F.lit(True)), "at", "left")
     status = status.where("later OR lines > 1").select("h1", "h2", "n", "at", F.coalesce("later", F.lit(False)).alias("later"))
-    gone = wide.select("h1", "h2", "n", "doc_row", "line_no").join(status, ["h1", "h2", "n"])
+    gone = lines.join(status, ["h1", "h2", "n"])
     gone = gone.where(F.col("later") | (place(F.col("doc_row"), F.col("line_no")) != F.col("at")))
     out = stash(gone.groupBy("doc_row").agg(F.collect_list("line_no").alias("gone")), "line-gone")  # as many as a document has lines
-    discard(wide, sets, later)
+    discard(lines, sets, later)
     return out
 
 
