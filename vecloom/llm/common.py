@@ -156,17 +156,20 @@ class Words:
     """Byte classes of a word rule: lower-cases A-Z; bytes in separators part the words."""
 
     def __init__(self, separators: bytes):
-        self.lower = np.arange(256, dtype=np.uint8)
-        self.lower[65:91] += 32
-        self.sep = np.zeros(256, bool)
-        self.sep[list(separators)] = True
-        self.power = self.inverse = np.zeros(0, np.uint64)
+        lower = np.arange(256, dtype=np.uint8)
+        lower[65:91] += 32
+        self.word = np.ones(256, bool)
+        self.word[list(separators)] = False
+        self.word = self.word[lower]
+        self.value = lower.astype(np.uint64) + np.uint64(1)
+        self.power = self.inverse = self.total = np.zeros(0, np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
-            size = max(n, SLICE_BYTES + 1)
+            size = max(n, 2 * len(self.power))
             self.power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, BASE, np.uint64)]))
             self.inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, pow(BASE, -1, 1 << 64), np.uint64)]))
+            self.total = np.zeros(size + 1, np.uint64)  # used again and again: fresh memory costs more than the sums
 
     def hashes(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each word, first word of each text and the number of words)."""
@@ -174,21 +177,20 @@ class Words:
         if n == 0:
             return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
         self._powers(n)
-        low = self.lower[raw]
-        word = ~self.sep[low]
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        before = np.empty(n, bool)
-        before[0] = True
-        np.logical_not(word[:-1], out=before[1:])
-        starts = np.flatnonzero(word & (before | edge[:n]))
-        after = np.empty(n, bool)
-        after[-1] = True
-        np.logical_not(word[1:], out=after[:-1])
-        ends = np.flatnonzero(word & (after | edge[1:]))
-        total = np.cumsum((low.astype(np.uint64) + np.uint64(1)) * self.power[:n])
-        prior = np.where(starts > 0, total[starts - 1], np.uint64(0))
-        h = (total[ends] - prior) * self.inverse[starts]
+        word = self.word.take(raw, mode="clip")
+        turns = np.flatnonzero(word[1:] != word[:-1]) + 1  # where runs of words' bytes begin and, in turn, end
+        turns = np.concatenate([np.zeros(int(word[0]), np.int64), turns, np.full(int(word[-1]), n)])
+        starts, ends = turns[::2], turns[1::2] - 1
+        cuts = offsets[(offsets > 0) & (offsets < n)]
+        cuts = np.unique(cuts[word[cuts] & word[cuts - 1]])  # texts that meet without a separator
+        if len(cuts):
+            starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts - 1]))
+        total = self.total
+        upto = total[1 : n + 1]
+        self.value.take(raw, out=upto, mode="clip")
+        np.multiply(upto, self.power[:n], out=upto)
+        np.cumsum(upto, out=upto)
+        h = (total[ends + 1] - total[starts]) * self.inverse[starts]
         h = mix(h ^ ((ends - starts + 1).astype(np.uint64) * np.uint64(STEP)))
         return h, np.searchsorted(starts, offsets)
 

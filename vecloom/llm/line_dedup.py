@@ -17,14 +17,15 @@ earlier one stays.
    their own share keys, but meet no lines of their size.
 4. A cold key has fewer than 2^HOT classes, so cold keys meet in Arrow tasks, in blocks that are dealt by key, which compare up to
    CROWD classes. Pair keys have no such bound: they, and cold keys of more classes, meet in a join that Spark can split. There,
-   classes of keys that more than LEAD share are first compared with the earliest class of each such key, in ROUNDS rounds: what
-   matches is settled and stands back, so that large groups of near copies need no pairs among themselves. Blocks of cold keys give one
+   classes of keys that more than LEAD share are first compared with the earliest class of each such key, then with the earliest of each of
+   LEADERS parts of it (ROUNDS rounds): what matches is settled and stands back, so that large groups of near copies need few pairs among
+   themselves. Their rows have sketches of 1024 bits, made of the token sets that this needs anyway. Blocks of cold keys give one
    pair a class at first, with the earliest class that it may match; only classes that had more and are not settled by it meet again,
    with all others. This only saves work: what is not settled is compared with all.
 5. Of classes that meet, those stay that pass the length filter, the positional filter (what can still be common) and the parity
    sketch (two token sets differ in at least as many tokens as their sketches in bits). A sketch of few bits lets all pairs of long
-   sets pass, similar or not, so it has 64 bits, 128 from MIDDLE tokens, and in blocks of cold keys 1024 from LONG tokens. A longer
-   one is folded to a shorter one by the exclusive or of its words.
+   sets pass, similar or not, so it has 64 bits, 128 from MIDDLE tokens, and in blocks of cold keys 256 from LONG tokens, 512 from twice
+   as many and 1024 from four times. A longer one is folded to a shorter one by the exclusive or of its words.
 6. What stays is verified on full token sets, which another pass makes of the lines that are named in pairs.
 
 Lines without words are never removed and match nothing. A null text stays null. Null ids come first in the order, with the least
@@ -34,8 +35,8 @@ of one id. An empty table gives no rows. Columns besides doc_id and text are kep
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import BLANK_WORDS, STEP, discard, free_name, mix, numbered, slices, stash, text_bytes, trim
 
 BUCKETS, CHUNK, HOT = 1 << 21, 1 << 12, 12
-CROWD, LEAD, ROUNDS = 512, 32, 5
+CROWD, LEAD, ROUNDS, LEADERS = 512, 32, 2, 32
 #: Text bytes that are tokenized at once: their arrays stay in a core's cache.
 BLOCK = 1 << 17
 #: A line's place is its row number and its number in the row.
@@ -165,11 +166,15 @@ def _partners(a: int, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def by_size(f: Callable, *columns: np.ndarray) -> np.ndarray:
-    """(2, rows): f of each row, which is computed once for equal rows."""
+    """(2, rows): f of each row of one or two columns, which is computed once for equal rows."""
     if not len(columns[0]):
         return np.zeros((2, 0), np.int64)
-    rows, own = np.unique(np.stack(columns, 1), axis=0, return_inverse=True)
-    return np.array([f(*r) for r in rows.tolist()], np.int64).T[:, own.ravel()]
+    code = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        code = code << 32 | c
+    rows, own = np.unique(code, return_inverse=True)
+    cut = lambda r: (r >> 32, r & 0xFFFFFFFF) if len(columns) > 1 else (r,)
+    return np.array([f(*cut(r)) for r in rows.tolist()], np.int64).T[:, own]
 
 
 def token_sets(h: np.ndarray, first: np.ndarray, level: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -198,17 +203,36 @@ def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
 
 
+def widths(n: np.ndarray) -> np.ndarray:
+    """Words of the longest sketch of sets of n tokens: a quarter of WORDS from LONG tokens, a half from twice as many, all from four times."""
+    return np.select([n < LONG, n < 2 * LONG, n < 4 * LONG], [0, WORDS // 4, WORDS // 2], WORDS)
+
+
+def padded(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(rows, WORDS): the longest sketches of sets of n tokens, LONG or more, one after another in words; 0 behind short ones."""
+    out = np.zeros((len(n), WORDS), np.uint64)
+    out[np.arange(WORDS) < widths(n)[:, None]] = words
+    return out
+
+
+def unpadded(full: np.ndarray, n: np.ndarray) -> bytes:
+    """What padded takes: full has a row for each of the sets that has LONG tokens."""
+    return full[np.arange(WORDS) < widths(n[n >= LONG])[:, None]].tobytes()
+
+
 def sketches(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> dict[str, pa.Array]:
     """Parity sketches of token sets: s1, all words of a sketch folded to one; s2, its odd words, from MIDDLE tokens, else 0; and
-    sketch, all WORDS words, from LONG tokens, else empty."""
+    sketch, its words folded to as many as widths tells."""
     word, bit = (h >> np.uint64(60)).astype(np.int64), np.uint64(1) << (h >> np.uint64(54) & np.uint64(63))
     fold = lambda some: np.bitwise_xor.reduceat(some, start)
     s2 = np.where(n >= MIDDLE, fold(np.where(word & 1, bit, np.uint64(0))), np.uint64(0))
     long = n >= LONG
     of, some = np.repeat(np.cumsum(long) - 1, n), np.repeat(long, n)
     full = np.zeros((int(long.sum()), WORDS), np.uint64)
-    np.bitwise_xor.at(full, (of[some], word[some]), bit[some])
-    return {"s1": pa.array(fold(bit).view(np.int64)), "s2": pa.array(s2.view(np.int64)), "sketch": binaries(full.ravel(), np.where(long, WORDS, 0))}
+    wide = widths(n)
+    np.bitwise_xor.at(full, (of[some], word[some] & (np.repeat(wide, n)[some] - 1)), bit[some])
+    full = full[np.arange(WORDS) < wide[long][:, None]]
+    return {"s1": pa.array(fold(bit).view(np.int64)), "s2": pa.array(s2.view(np.int64)), "sketch": binaries(full, wide)}
 
 
 def line_arrays(col: pa.Array, table: np.ndarray, percent: int) -> dict[str, pa.Array]:
@@ -287,6 +311,7 @@ def keys_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw.view(np.uint64), own, np.arange(len(own)) - (at[:-1] // 8)[own]
 
 
+#: d is kept less the row number: where ids follow the rows, that is one number.
 COLD = np.dtype([("key", "<u8"), ("d", "<i8"), ("at", "<i8"), ("s1", "<u8"), ("s2", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("open", "u1")])
 
 
@@ -344,9 +369,12 @@ def met(x: np.ndarray, full: np.ndarray, percent: int, first: bool) -> tuple[np.
         odd = np.where((n[a] >= MIDDLE) & (n[b] >= MIDDLE), s2[a] ^ s2[b], np.uint64(0))
         ok = few(np.bitwise_count(s1[a] ^ s1[b] ^ odd).astype(np.int64) + np.bitwise_count(odd), both)
         a, b, both = a[ok], b[ok], both[ok]
-        ok, wide = np.ones(len(a), bool), np.flatnonzero((n[a] >= LONG) & (n[b] >= LONG))
-        for some in np.split(wide, range(WIDE, len(wide), WIDE)):
-            ok[some] = few(np.bitwise_count(full[spot[a[some]]] ^ full[spot[b[some]]]).sum(axis=1, dtype=np.int64), both[some])
+        ok, least = np.ones(len(a), bool), widths(np.minimum(n[a], n[b]))
+        for width in (WORDS // 4, WORDS // 2, WORDS):
+            wide = np.flatnonzero(least == width)
+            for some in np.split(wide, range(WIDE, len(wide), WIDE)):
+                differ = np.bitwise_xor.reduce((full[spot[a[some]]] ^ full[spot[b[some]]]).reshape(-1, WORDS // width, width), axis=1)
+                ok[some] = few(np.bitwise_count(differ).sum(axis=1, dtype=np.int64), both[some])
         a, b = a[ok], b[ok]
         later = (x["d"][a] > x["d"][b]) | ((x["d"][a] == x["d"][b]) & (place_of[a] > place_of[b]))
         a, b = np.where(later, b, a), np.where(later, a, b)
@@ -392,8 +420,8 @@ def banded(key: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def cold_meetings(sets: DataFrame, percent: int, again: DataFrame | None = None) -> DataFrame:
-    """(a, b, pos, more): pairs of classes, a the earlier, that share a cold key and pass the filters (pos null), of each block and b the one
-    with the earliest a, and whether there are more; and for cold keys of more than CROWD classes key, class and place (pos). With
+    """(a, b, more, pos, d, n, s1, s2): pairs of classes, a the earlier, that share a cold key and pass the filters (pos null), of each block
+    and b the one with the earliest a, and whether there are more; and for cold keys of more than CROWD classes key, class, its place (pos) and columns. With
     again (at): all pairs of these classes b, and of some others, but for keys of more than CROWD classes. Keys are dealt by a hash, in
     blocks of bytes, as a row a key would cost more than the work on it."""
     spark = sets.sparkSession
@@ -432,17 +460,19 @@ def cold_meetings(sets: DataFrame, percent: int, again: DataFrame | None = None)
             x = np.zeros(len(key), COLD)
             x["key"], x["pos"] = key, pos
             x["d"], x["at"], x["n"] = (batch.column(c).to_numpy()[own] for c in (0, 1, 2))
+            x["d"] -= x["at"] >> PLACE_BITS
             x["s1"], x["s2"] = (batch.column(c).to_numpy().view(np.uint64)[own] for c in (3, 4))
             if opened:
                 x["open"] = has(marks, opened[1], batch.column(1).to_numpy())[own]
-            long = np.cumsum(batch.column(2).to_numpy() >= LONG) - 1
-            full = text_bytes(batch.column(5))[0].view(np.uint64).reshape(-1, WORDS)
+            size = batch.column(2).to_numpy()
+            long = np.cumsum(size >= LONG) - 1
+            full = padded(text_bytes(batch.column(5))[0].view(np.uint64), size[size >= LONG])
             part = ((x["key"] >> np.uint64(64 - HASH_BITS)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
             order = np.lexsort((x["n"], part))
             x, own, part = x[order], own[order], part[order].astype(np.int64)
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
             ranges = list(zip(cut[:-1], cut[1:], strict=True))
-            wide = [full[long[own[a:b]][x["n"][a:b] >= LONG]].tobytes() for a, b in ranges]
+            wide = [unpadded(full[long[own[a:b]][x["n"][a:b] >= LONG]], x["n"][a:b]) for a, b in ranges]
             yield pa.RecordBatch.from_pydict({"part": pa.array(part[cut[:-1]]), "rows": pa.array([planes(x[a:b]) for a, b in ranges], pa.binary()), "full": pa.array(wide, pa.binary())})
         trim()
 
@@ -450,14 +480,17 @@ def cold_meetings(sets: DataFrame, percent: int, again: DataFrame | None = None)
         held, wide, part = [], [], None
 
         def pairs() -> pa.RecordBatch:
-            x, full = np.concatenate(held), np.frombuffer(b"".join(wide), np.uint64).reshape(-1, WORDS)
+            x = np.concatenate(held)
+            x["d"] += x["at"] >> PLACE_BITS
+            full = padded(np.frombuffer(b"".join(wide), np.uint64), x["n"][x["n"] >= LONG])
             few, many = crowded(x)
             spot, some = np.cumsum(x["n"] >= LONG) - 1, few[x["n"][few] >= LONG]
             got, more = met(x[few], full[spot[some]], percent, first)
             many = x[many if first else many[:0]]
             a, b = (np.concatenate([got[:, i], y]) for i, y in ((0, many["key"].view(np.int64)), (1, many["at"])))
-            pos = pa.array(np.concatenate([np.zeros(len(got)), many["pos"]]).astype(np.int32), mask=np.arange(len(a)) < len(got))
-            return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "pos": pos, "more": pa.array(np.concatenate([more, np.zeros(len(many), bool)]))})
+            none = np.arange(len(a)) < len(got)
+            own = {c: pa.array(np.concatenate([np.zeros(len(got), kind), many[c].astype(kind)]), mask=none) for c, kind in (("pos", "i4"), ("d", "i8"), ("n", "i4"), ("s1", "i8"), ("s2", "i8"))}
+            return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "more": pa.array(np.concatenate([more, np.zeros(len(many), bool)]))} | own)
 
         for batch in batches:
             for p, rows, full in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -472,7 +505,7 @@ def cold_meetings(sets: DataFrame, percent: int, again: DataFrame | None = None)
         trim()
 
     dealt = sets.select("d", "at", "n", "s1", "s2", "sketch", "cold").mapInArrow(deal, "part long, rows binary, full binary")
-    return dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long, pos int, more boolean")
+    return dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long, more boolean, pos int, d long, n int, s1 long, s2 long")
 
 
 HOT_KEYS = "key long, d long, at long, n int, pos int, s1 long, s2 long, small boolean, large boolean"
@@ -498,38 +531,65 @@ def hot_keys(sets: DataFrame, percent: int) -> DataFrame:
     return some.select("d", "at", "n", "s1", "s2", "cold", "hot").mapInArrow(scan, HOT_KEYS)
 
 
-def crowd_keys(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def crowd_keys(meetings: DataFrame, percent: int) -> DataFrame:
     """HOT_KEYS of the cold keys that more than CROWD classes share."""
-    rows = meetings.where("pos IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("at"), "pos").join(sets.select("d", "at", "n", "s1", "s2"), "at")
+    rows = meetings.where("pos IS NOT NULL").select(F.col("a").alias("key"), "d", F.col("b").alias("at"), "n", "pos", "s1", "s2")
     n = F.col("n").cast("long")
     of_own_size = n - F.ceil(n * 2 * percent / (100 + percent)) + 1  # the least overlap with a set of no fewer tokens is that with one of as many
     return rows.select("key", "d", "at", "n", "pos", "s1", "s2", (F.col("pos") < of_own_size).alias("small"), F.lit(True).alias("large"))
 
 
-def fits(a: str, b: str, percent: int) -> Column:
-    """The length filter and the parity sketch of rows a and b."""
+def bits(words: Iterable[tuple[Column, Column]]) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in words])
+
+
+def fits(a: str, b: str, percent: int, long: bool = False) -> Column:
+    """The length filter and the parity sketch of rows a and b; with long, that of LONG_SKETCH."""
     na, nb = (F.col(f"{x}.n").cast("long") for x in (a, b))
-    odd = F.when((na >= MIDDLE) & (nb >= MIDDLE), F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2"))).otherwise(F.lit(0).cast("long"))
-    bits = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")).bitwiseXOR(odd)) + F.bit_count(odd)
-    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (bits * (100 + percent) <= (na + nb) * (100 - percent))
+    if long:
+        differ = bits((F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in LONG_SKETCH)
+    else:
+        odd = F.when((na >= MIDDLE) & (nb >= MIDDLE), F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2"))).otherwise(F.lit(0).cast("long"))
+        differ = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")).bitwiseXOR(odd)) + F.bit_count(odd)
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def crowd_of(hot: DataFrame) -> DataFrame:
-    """The rows of keys that more than LEAD classes share, a stashed table."""
-    heavy = hot.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAD).select("key")
-    return stash(hot.join(heavy, "key"), "line-crowd")
+def crowd_of(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of keys that more than LEAD classes share, a stashed table, and the others."""
+    heavy = stash(hot.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAD).select("key"), "line-heavy")
+    return stash(hot.join(heavy, "key").select(hot.columns), "line-crowd"), hot.join(heavy, "key", "left_anti")
+
+
+#: Columns of the sketches that rows of crowded keys get from their token sets.
+LONG_SKETCH = [f"t{i}" for i in range(WORDS)]
+
+
+def long_sketches(words: DataFrame) -> DataFrame:
+    """(at, LONG_SKETCH) of token sets (at, w): those of 64 bits let many pairs pass of a group of near copies that differ too much."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = batch.column(1).flatten().to_numpy().view(np.uint64), batch.column(1).value_lengths().to_numpy()
+            full = np.zeros((len(n), WORDS), np.uint64)
+            np.bitwise_xor.at(full, (np.repeat(np.arange(len(n)), n), (h >> np.uint64(60)).astype(np.int64)), np.uint64(1) << (h >> np.uint64(54) & np.uint64(63)))
+            yield pa.RecordBatch.from_pydict({"at": batch.column(0)} | {c: pa.array(full[:, i].view(np.int64)) for i, c in enumerate(LONG_SKETCH)})
+
+    return words.select("at", "w").mapInArrow(scan, ", ".join(["at long", *(f"{c} long" for c in LONG_SKETCH)]))
 
 
 def settled_by_leaders(crowd: DataFrame, words: DataFrame, percent: int) -> DataFrame | None:
-    """(at) of classes that match the earliest class of a key of crowd, by the token sets words, a stashed table; None without any."""
+    """(at) of classes that match an early class of a key of crowd, by the token sets words, a stashed table; None without any. In each round
+    the classes of a key that are left are dealt by a hash, in more parts each time, and all are compared with the earliest of each part."""
     settled, live = None, crowd
-    for _ in range(ROUNDS):
-        lead = live.groupBy("key").agg(F.min(F.struct("d", "at", "n", "s1", "s2")).alias("a"), F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAD)
-        both = live.alias("b").join(lead.select("key", "a").alias("h"), "key").where((F.col("a.at") != F.col("b.at")) & fits("a", "b", percent))
-        new = stash(later_of(both.select(F.col("a.at").alias("a"), F.col("b.at").alias("b")).distinct(), words, percent), "line-settled")
-        if new.isEmpty():
-            discard(new)
-            break
+    for i in range(ROUNDS):
+        part = F.pmod(F.xxhash64("at", F.lit(i)), F.lit(LEADERS**i))
+        heavy = live.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAD).select("key")
+        lead = live.groupBy("key", part.alias("part")).agg(F.min(F.struct("d", "at", "n", *LONG_SKETCH)).alias("a"))
+        later = (F.col("a.d") < F.col("b.d")) | ((F.col("a.d") == F.col("b.d")) & (F.col("a.at") < F.col("b.at")))
+        both = live.alias("b").join(lead.join(heavy, "key", "left_semi").select("key", "a").alias("h"), "key").where(later & fits("a", "b", percent, long=True))
+        # a leader that is late has few to lead; the earliest that fits is verified
+        first = both.groupBy(F.col("b.at").alias("b")).agg(F.min(F.struct("a.d", "a.at")).alias("a")).select("a.at", "b").withColumnRenamed("at", "a")
+        new = stash(later_of(first, words, percent), "line-settled")
         if settled is None:
             settled = new
         else:
@@ -539,12 +599,12 @@ def settled_by_leaders(crowd: DataFrame, words: DataFrame, percent: int) -> Data
     return settled
 
 
-def hot_pairs(hot: DataFrame, settled: DataFrame | None, percent: int) -> DataFrame:
+def hot_pairs(hot: DataFrame, settled: DataFrame | None, percent: int, long: bool = False) -> DataFrame:
     """(a, b): classes that share a key and pass the filters, a the earlier, b not settled."""
     small, large = hot.where("small"), hot.where("large")
     na, nb, pa_, pb = (F.col(x).cast("long") for x in ("a.n", "b.n", "a.pos", "b.pos"))
     most = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
-    on = (F.col("a.key") == F.col("b.key")) & (na <= nb) & (F.col("a.at") != F.col("b.at")) & (most * (100 + percent) >= (na + nb) * percent) & fits("a", "b", percent)
+    on = (F.col("a.key") == F.col("b.key")) & (na <= nb) & (F.col("a.at") != F.col("b.at")) & (most * (100 + percent) >= (na + nb) * percent) & fits("a", "b", percent, long)
     b_later = (F.col("a.d") < F.col("b.d")) | ((F.col("a.d") == F.col("b.d")) & (F.col("a.at") < F.col("b.at")))
     left = lambda t: t if settled is None else t.join(settled, "at", "left_anti").select(t.columns)
     one = small.alias("a").join(left(large).alias("b"), on & b_later).select(F.col("a.at").alias("a"), F.col("b.at").alias("b"))
@@ -606,24 +666,31 @@ def matches(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     earliest of these first, and then, if they had more and did not match, with all: most pairs are of groups whose members all match
     the first, and token sets are shuffled with each pair that is tried."""
     cold = stash(cold_meetings(sets, percent), "line-meetings")
-    hot = stash(hot_keys(sets, percent).unionByName(crowd_keys(cold, sets, percent)), "line-hot")
+    hot = stash(hot_keys(sets, percent).unionByName(crowd_keys(cold, percent)), "line-hot")
     least = cold.where("pos IS NULL").groupBy("b").agg(F.min("a").alias("a"), (F.max("more") | (F.min("a") < F.max("a"))).alias("more"))
     first = stash(least.select("a", "b", "more"), "line-first")
-    crowd = crowd_of(hot)
+    crowd, sparse = crowd_of(hot)
+    some = not crowd.isEmpty()
     discard(cold)
     named = stash(crowd.select("at").union(first.select("a")).union(first.select("b")).distinct(), "line-named")
     words = stash(token_rows(docs, named, 4 * named.count()), "line-words")
-    own = stash(words.join(crowd.select("at").distinct(), "at", "left_semi"), "line-crowd-words")
-    settled = settled_by_leaders(crowd, own, percent)
+    settled = None
+    if some:
+        own = stash(words.join(crowd.select("at").distinct(), "at", "left_semi"), "line-crowd-words")
+        old, crowd = crowd, stash(crowd.join(long_sketches(own), "at"), "line-crowd")
+        settled = settled_by_leaders(crowd, own, percent)
+        discard(old, own)
     left = lambda t: t if settled is None else t.join(settled.select(F.col("at").alias("b")), "b", "left_anti").select(t.columns)
     settled = both_of(settled, stash(later_of(left(first).select("a", "b"), words, percent), "line-later"))
-    discard(crowd, named, words, own)
+    discard(named, words)
     again = stash(left(first.where("more")).select(F.col("b").alias("at")), "line-again")
-    found = hot_pairs(hot, settled, percent)
+    found = hot_pairs(sparse, settled, percent)
+    if some:
+        found = found.union(hot_pairs(crowd, settled, percent, long=True))
     if not again.isEmpty():
         found = found.union(cold_meetings(sets, percent, again).select("a", "b"))
     pairs = stash(found.distinct(), "line-pairs")
-    discard(first, hot, again)
+    discard(first, hot, crowd, again)
     if not pairs.isEmpty():
         words = stash(token_rows(docs, pairs, 4 * pairs.count()), "line-words")
         settled = both_of(settled, stash(later_of(pairs, words, percent), "line-later"))
@@ -652,8 +719,10 @@ def removals(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def _rest(rows: DataFrame, gone: DataFrame, row: str, own: str, cut: str) -> DataFrame:
-    """rows with own, the numbers of the lines to remove, cut, the lines, and the remaining text in the column text."""
-    joined = rows.join(gone.select(F.col("doc_row").alias(row), F.col("gone").alias(own)), row, "left").withColumn(cut, F.split("text", "\n", -1))
+    """rows with own, the numbers of the lines to remove, cut, the lines of texts that lose some, and the remaining text in the column text."""
+    # by a merge join at any size: broadcast to small inputs, the plan and what is shuffled would change as inputs grow
+    joined = rows.join(gone.select(F.col("doc_row").alias(row), F.col("gone").alias(own)).hint("merge"), row, "left")
+    joined = joined.withColumn(cut, F.when(F.col(own).isNotNull(), F.split("text", "\n", -1)))
     # numbers that stay, by a hashed difference: linear in the lines. The lines are a column that is used twice, so not split anew for each
     stay = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(own))
     text = F.array_join(F.transform(stay, lambda i: F.get(F.col(cut), i)), "\n")
@@ -672,6 +741,6 @@ def line_report(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_lines, n_removed, text)"""
     rows = numbered(docs, row := free_name(docs, "_row"), "line-docs")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("doc_row"))
-    out = _rest(rows, removals(rows, percent), "doc_row", "gone", "cut")
-    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
-    return out.select("doc_id", count("cut").alias("n_lines"), count("gone").alias("n_removed"), "text")
+    lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    out = _rest(rows.withColumn("n_lines", lines), removals(rows, percent), "doc_row", "gone", "cut")
+    return out.select("doc_id", "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"), "text")
