@@ -70,3 +70,20 @@ def test_against_composed_stages(spark, tmp_path):
 def test_without_n_chars_and_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert corpus_pipeline.lines(spark, docs, "").columns == docs.columns
+
+
+def test_batches_for_workers_have_few_bytes(spark):
+    """Batches of 10000 rows, whatever their size, took the pipeline over an executor's memory."""
+    import pyarrow as pa
+
+    from vecloom.llm.common import BATCH_BYTES, discard, stash
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    docs = spark.range(0, 4000, numPartitions=1).selectExpr("repeat('long text ', 1000) AS text")
+    got = stash(docs.mapInArrow(sizes, "n long"), "batch-sizes")
+    most = max(r.n for r in got.collect())
+    discard(got)
+    assert most < 2 * BATCH_BYTES

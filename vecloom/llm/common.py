@@ -19,7 +19,9 @@ MASK = (1 << 64) - 1
 #: Fixed odd multipliers of the hashes.
 BASE, STEP, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Text bytes that are hashed at once; longer texts go alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Bytes of the batches that stashed queries hand to workers: a task holds several of them, in the JVM and in its worker.
+BATCH_BYTES = 4 << 20
 
 
 #: Paths of the tables that are stashed and not yet discarded.
@@ -28,15 +30,17 @@ _stashed: list[str] = []
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: later stages and retries read files, not lineage.
-    Spark removes the shuffle files of the query when it has ended."""
-    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting, None)
+    Spark removes the shuffle files of the query when it has ended; batches for Python have about BATCH_BYTES."""
+    spark, settings = df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    spark.conf.set(setting, "true")
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     _stashed.append(path)
@@ -113,6 +117,11 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on, batches of this session's queries have about BATCH_BYTES too where they are written by others."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -166,7 +175,7 @@ class Words:
 
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
-            size = max(n, 2 * len(self.power))
+            size = 1 << max(17, (n - 1).bit_length())
             self.power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, BASE, np.uint64)]))
             self.inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, pow(BASE, -1, 1 << 64), np.uint64)]))
             self.total = np.zeros(size + 1, np.uint64)  # used again and again: fresh memory costs more than the sums

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import Words, shingles, slices, text_bytes
+from vecloom.llm.common import Words, shingles, slices, text_bytes, trim
 
 #: Everything in ASCII but letters and digits parts words.
 PLAIN_WORDS = Words(bytes(b for b in range(128) if not chr(b).isalnum()))
@@ -116,12 +116,13 @@ def decontaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int =
 
         def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                text = batch.column(at)
-                clean = np.ones(len(text), bool)
-                for a, b in slices(text):
-                    for r, _, _ in block.hits(text.slice(a, b - a)):
-                        clean[a + r] = False
-                yield batch.filter(pa.array(clean))
+                for a, b in slices(batch.column(at)):
+                    part = batch.slice(a, b - a)
+                    clean = np.ones(b - a, bool)
+                    for r, _, _ in block.hits(part.column(at)):
+                        clean[r] = False
+                    yield part.filter(pa.array(clean))
+            trim()
 
         docs = docs.mapInArrow(scan, docs.schema)
     return docs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import BLANK_WORDS, STEP, discard, mix, shingles, slices, stash, text_bytes
+from vecloom.llm.common import BLANK_WORDS, STEP, discard, mix, shingles, slices, stash, text_bytes, trim
 from vecloom.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -77,6 +77,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                     [ids.slice(a, b - a), pa.array([len(u) for u in sets], pa.int64()), pa.array([digest(u) if len(u) else None for u in sets], pa.binary()), pa.array(flat, pa.list_(pa.int64())), *(x.slice(a, b - a) for x in numbers)],
                     ["doc_id", "n", "cid", "bands", *rows],
                 )
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rows).mapInArrow(scan, ", ".join(["doc_id long, n long, cid binary, bands array<long>", *(f"{c} long" for c in rows)]))
 
@@ -94,6 +95,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [rid.slice(a, b - a).take(pa.array(own, pa.int64())), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], ["rid", "shingles"]
                 )
+        trim()
 
     # without ids that are null, but for classes that have no other
     texts = docs.select(F.col("doc_id").cast("long").alias("min_doc"), "text")

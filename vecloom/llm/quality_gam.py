@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import BLANK_WORDS, slices, text_bytes
+from vecloom.llm.common import BLANK_WORDS, slices, text_bytes, trim
 
 SAMPLE_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -209,7 +209,10 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(model.score(features(b.column(at))) >= 0.5))
+        for batch in batches:
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(model.score(features(part.column(at))) >= 0.5))
+        trim()
 
     return docs.mapInArrow(scan, docs.schema)
